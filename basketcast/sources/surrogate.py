@@ -131,11 +131,3 @@ fact AS (
               WHEN hour >= 15 AND hour < 19 THEN 2 ELSE 3 END AS time_period
   FROM session JOIN target USING (session_id))"""
 VIEWS = {"session": SESSION_SQL, "log": LOG_SQL, "target": TARGET_SQL, "fact": FACT_SQL}
-
-
-def with_views(sql: str, *names: str) -> str:
-    """Prefix a statement with the views it needs, in order."""
-    needs = {"session": ["session"], "log": ["log"], "target": ["session", "log", "target"],
-             "fact": ["session", "log", "target", "fact"]}
-    wanted = [v for v in VIEWS if any(v in needs[n] for n in names)]
-    return "WITH " + ",".join(VIEWS[v] for v in wanted) + ("," if sql.lstrip().startswith(",") else "") + sql.lstrip().lstrip(",")
