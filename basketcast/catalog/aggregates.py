@@ -11,6 +11,7 @@ from basketcast.operators.clean import filter_returns, map_category
 from basketcast.operators.encode import decile_edges
 from basketcast.operators.factorise import category_rows, truncated_svd
 from basketcast.functions.scalars import coalesce_category
+from basketcast.session import materialise
 from basketcast.sources.surrogate import BRANDS, MONEY
 
 ALL_BRANDS = [f"Brand#{i}" for i in range(1, 26)]
@@ -148,6 +149,7 @@ GROUPS = {"weekday": "weekday", "band": "time_band", "phase": "month_start, mont
     f"SELECT '{n}' AS grouping_name, concat_ws('|', {', '.join(f'CAST({k} AS VARCHAR)' for k in keys.split(', '))}) AS key, {each('avg({t}) AS {t}')} "
     f"FROM fact WHERE split = 'train' AND {keys.split(', ')[0]} IS NOT NULL GROUP BY {keys}" for n, keys in GROUPS.items())))
 def group_mean(retail):
+    retail.keep()
     parts = []
     for name, keys in GROUPS.items():
         cols = keys.split(", ")
@@ -268,7 +270,7 @@ DIMENSION_SQL = " UNION ALL ".join(
 
 
 def scored_edges(retail):
-    rows = scored(retail)
+    rows = materialise(scored(retail))
     return rows, decile_edges(bayes.long_scores(rows, TARGETS, "bayes_", []), ["target"], "score")
 
 

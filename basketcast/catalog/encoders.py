@@ -32,6 +32,8 @@ binned AS (SELECT long.*, CAST(COALESCE((SELECT min(i) - 2 FROM (SELECT unnest(e
 
 
 def scored(retail):
+    """Validation sessions with the posterior for the default confidence."""
+    retail.keep()
     return bayes_posterior(retail.history, retail.validation, TARGETS, DEFAULT_CONFIDENCE)
 
 
@@ -39,7 +41,7 @@ def scored(retail):
     f"CASE WHEN {c} = '{v}' THEN 1 ELSE 0 END AS {c}_is_{i}" for c, vs in LEVELS.items() for i, v in enumerate(vs)) + " FROM session"))
 def one_hot(retail):
     base = retail.sessions.select("session_id", *LEVELS)
-    levels = {c: encode.category_names(base, c) for c in LEVELS}
+    levels = encode.category_levels(base, list(LEVELS))
     wide = encode.one_hot(base, list(LEVELS), levels)
     return wide.select("session_id", *[F.col(f"`{c}_{v}`").alias(f"{c}_is_{i}") for c in LEVELS for i, v in enumerate(levels[c])])
 
@@ -66,6 +68,7 @@ def folds(retail):
 
 
 def dealt(retail):
+    retail.keep()
     return attach_fold(retail.facts.select("session_id", "customer_id", *LEVELS, *TARGETS),
                        stratified_group_folds(retail.facts, TARGETS))
 

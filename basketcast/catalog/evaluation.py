@@ -60,12 +60,14 @@ GRID = (HISTORY_SQL, VALID_SQL, SEGMENT_SQL, CUSTOMER_SQL, OVERALL_SQL, *GRID_SQ
 
 @query("confidence_scores", twin("fact", "SELECT target, c AS confidence, auc FROM aucs", *GRID))
 def confidence_scores(retail):
+    retail.keep()
     return evaluate.confidence_scores(retail.history, retail.validation, TARGETS, evaluate.log_grid())
 
 
 @query("confidence_grid", twin("fact", """
 SELECT target, c AS confidence, auc FROM aucs QUALIFY ROW_NUMBER() OVER (PARTITION BY target ORDER BY auc DESC, c) = 1""", *GRID))
 def confidence_grid(retail):
+    retail.keep()
     return evaluate.confidence_grid(retail.history, retail.validation, TARGETS)
 
 

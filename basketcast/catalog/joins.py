@@ -12,6 +12,7 @@ from basketcast.operators.assemble import assemble_features, split_long
 from basketcast.operators.encode import target_encode_oof
 from basketcast.operators.sequences import basket_triples, purchase_sequence
 from basketcast.operators.stats import customer_money, purchase_indicators, purchase_ratio, session_category_sum, session_money
+from basketcast.session import materialise
 from basketcast.sources.surrogate import BRANDS
 
 MARGINAL_SQL = tuple(
@@ -50,6 +51,7 @@ def purchase_history(retail):
 SELECT session_id, {each('CAST(COALESCE(n_{t}, 0) AS BIGINT) AS {t}_count, CAST(COALESCE(s_{t}, 0) AS BIGINT) AS {t}_sum, CAST(COALESCE(cn_{t}, 0) AS BIGINT) AS {t}_count_customer, CAST(COALESCE(cs_{t}, 0) AS BIGINT) AS {t}_sum_customer')}
 FROM pred LEFT JOIN seg USING (age_band, gender, store) LEFT JOIN cust USING (customer_id)""", HISTORY_SQL, VALID_SQL, SEGMENT_SQL, CUSTOMER_SQL))
 def attach_group_stats(retail):
+    retail.keep()
     segments = bayes.bayes_counts(retail.history, ("age_band", "gender", "store"), TARGETS)
     people = bayes.bayes_counts(retail.history, ["customer_id"], TARGETS)
     out = bayes.attach_group_stats(retail.validation, segments, people, TARGETS)
@@ -60,7 +62,7 @@ def attach_group_stats(retail):
     each(f"COALESCE({m}_{{t}}, -1) AS {m}_{{t}}") for m in ("segment", "weekday", "band", "phase", "store")) + f" FROM pred {MARGINAL_JOINS}",
     HISTORY_SQL, VALID_SQL, *MARGINAL_SQL))
 def lookup_marginals(retail):
-    table = bayes.marginal_table(retail.history, TARGETS)
+    table = bayes.marginal_table(retail.keep().history, TARGETS)
     out = bayes.lookup_marginals(retail.validation, table, TARGETS)
     return out.select("session_id", *[F.coalesce(f"{m}_{t}", F.lit(-1.0)).alias(f"{m}_{t}") for m in bayes.MARGINALS for t in TARGETS])
 
@@ -82,7 +84,7 @@ ASSEMBLE_CTES = tuple(
     FOLD_SQL, "dealt AS (SELECT fact.*, fold FROM fact JOIN folds USING (customer_id))", RATIO_SQL, *ASSEMBLE_CTES))
 def assembled(retail):
     keys = ("customer_id", *LEVELS)
-    base = dealt(retail)
+    base = materialise(dealt(retail))
     quantity = session_category_sum(clean.filter_returns(retail.log), retail.products, "quantity")
     indicators = purchase_indicators(quantity, list(BRANDS.values())).withColumnsRenamed({b: t for t, b in BRANDS.items()})
     ratios = purchase_ratio(retail.sessions.filter("split = 'train'"), indicators, TARGETS, keys)
@@ -101,7 +103,7 @@ SELECT a.customer_id, CAST(a.pos AS BIGINT) AS pos, a.item AS c1, b.item AS c2,
 FROM items a JOIN items b ON a.customer_id = b.customer_id AND b.pos = a.pos + 1
 JOIN baskets c ON c.customer_id = a.customer_id AND c.pos = a.pos + 2""",
     f"""baskets AS (SELECT customer_id, ROW_NUMBER() OVER (PARTITION BY customer_id ORDER BY sale_date, session_id) - 1 AS pos,
-      list_filter([{each("CASE WHEN {t} > 0 THEN '{t}' END")}], x -> x IS NOT NULL) AS items
+      string_split(concat_ws(',', {each("CASE WHEN {t} > 0 THEN '{t}' END")}), ',') AS items
       FROM fact WHERE split = 'train' AND {each('{t}', ' + ')} > 0)""",
     "items AS (SELECT customer_id, pos, unnest(items) AS item FROM baskets)"))
 def triples(retail):

@@ -27,7 +27,7 @@ def nmf(retail):
 
 
 def learning_frame(retail):
-    train = retail.sessions.filter("split = 'train'")
+    train = retail.keep().history
     factors = boosted.fit_factors(retail.log, retail.products, train, dim=4, rounds=3)
     tables = boosted.keyed_features(retail.log, retail.products, train, factors, list(retail_brands()))
     return boosted.training_frame(retail.validation, tables, boosted.session_features(retail.sessions, LEVELS))

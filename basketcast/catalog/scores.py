@@ -9,7 +9,9 @@ from basketcast.catalog.registry import (CUSTOMER_SQL, DEFAULT_C, HISTORY_SQL, O
 from basketcast.catalog.sequences import BASKET_SQL, LATEST_SQL, PATTERN_SQL
 from basketcast.constants import (BLEND_WEIGHTS, CORRELATION_PAIRS, CORRELATION_STRENGTH, PRODUCTION_CONFIDENCE, TARGETS)
 from basketcast.operators import bayes
+from basketcast.operators.stats import conditional_purchase
 from basketcast.plans.bayes_score import blended_scores, production_scores
+from basketcast.session import materialise
 
 BLEND_SQL = "blended AS (SELECT *, " + ", ".join(
     " + ".join(f"COALESCE({'p' if part == 'sequence' else part}_{t}, 0) * CAST({w!r} AS DOUBLE)" for part, w in BLEND_WEIGHTS[t].items())
@@ -48,6 +50,7 @@ def bayes_posterior(retail):
 
 @query("bayes_score", twin("fact", f"SELECT session_id, {each('round(final_{t}, 12) AS blend_{t}')} FROM final_{LAST}", *PRODUCTION))
 def bayes_score(retail):
+    retail.keep()
     out = blended_scores(retail.history, retail.validation)
     return out.select("session_id", *[F.round(f"blend_{t}", 12).alias(f"blend_{t}") for t in TARGETS])
 
@@ -65,7 +68,7 @@ def weighted_blend(retail):
 @query("correlation_correction", twin("fact", f"SELECT session_id, {each('round(fixed_{t}, 12) AS bayes_{t}')} FROM fixed_{LAST}",
                                       *SCORED, COND_SQL, correction_sql("scored", "bayes_", "fixed")))
 def correlation_correction(retail):
-    out = bayes.correlation_correction(scored(retail), bayes.conditionals_of(retail.history, TARGETS), TARGETS, prefix="bayes_")
+    out = bayes.correlation_correction(scored(retail), conditional_purchase(retail.history, TARGETS), TARGETS, prefix="bayes_")
     return out.select("session_id", *[F.round(f"bayes_{t}", 12).alias(f"bayes_{t}") for t in TARGETS])
 
 
@@ -80,7 +83,7 @@ CORRECTED = (*SCORED, long_sql(), EDGE_SQL, BIN_SQL, ERROR_SQL, FIXED_SQL)
 
 
 def corrected(retail):
-    rows = scored(retail)
+    rows = materialise(scored(retail))
     model, edges = bayes.error_model(rows, TARGETS, "bayes_")
     return bayes.error_correction(rows, model, edges, TARGETS, "bayes_", 0.5)
 
@@ -109,6 +112,6 @@ def fold_average(retail):
 
 @query("production_scores")
 def production(retail):
-    test = retail.facts.filter("split = 'test'")
+    test = retail.keep().facts.filter("split = 'test'")
     out = production_scores(retail.history, retail.validation, test)
     return out.select("session_id", *[F.round(f"corrected_{t}", 9).alias(t) for t in TARGETS])

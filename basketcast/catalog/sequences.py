@@ -11,7 +11,7 @@ from basketcast.sources.surrogate import MONEY
 
 BASKET_SQL = f"""
 baskets AS (SELECT customer_id, sale_date, session_id, ROW_NUMBER() OVER (PARTITION BY customer_id ORDER BY sale_date, session_id) - 1 AS pos,
-      list_filter([{each("CASE WHEN {t} > 0 THEN '{t}' END")}], x -> x IS NOT NULL) AS items
+      string_split(concat_ws(',', {each("CASE WHEN {t} > 0 THEN '{t}' END")}), ',') AS items
       FROM fact WHERE split = 'train' AND {each('{t}', ' + ')} > 0)"""
 PATTERN_SQL = f"""
 items AS (SELECT customer_id, pos, unnest(items) AS item FROM baskets),
@@ -49,6 +49,7 @@ def latest_sequence(retail):
 SELECT session_id, {each('COALESCE(p_{t}, 0) AS p_{t}')} FROM fact LEFT JOIN latest USING (customer_id) LEFT JOIN patterns USING (c1, c2)
 WHERE split = 'valid'""", BASKET_SQL, PATTERN_SQL, LATEST_SQL))
 def sequence_score(retail):
+    retail.keep()
     patterns = sequences.sequence_patterns(sequences.purchase_sequence(retail.history, TARGETS), TARGETS)
     out = sequences.sequence_score(retail.validation.select("session_id", "customer_id"),
                                    sequences.latest_sequence(retail.history, TARGETS), patterns, TARGETS)

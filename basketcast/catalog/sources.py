@@ -1,5 +1,6 @@
 """Reading, keying and ordering of tables."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from basketcast.catalog.registry import each, query, text_date, twin
@@ -39,9 +40,8 @@ SELECT o.ord, o.session_id, COALESCE(CAST(f.choc + f.beer + f.hair + f.rice AS D
 FROM (SELECT session_id, ROW_NUMBER() OVER (PARTITION BY customer_id ORDER BY session_id DESC) AS ord FROM session) o
 LEFT JOIN (SELECT * FROM fact WHERE split = 'test') f USING (session_id)"""))
 def restore_order(retail):
-    from pyspark.sql import Window
     order = retail.sessions.select("session_id", F.row_number().over(
-        Window.partitionBy("customer_id").orderBy(F.desc("session_id"))).alias("ord"))
+        Window.partitionBy("customer_id").orderBy(F.desc("session_id"))).cast("long").alias("ord"))
     scores = retail.facts.filter("split = 'test'").select(
         "session_id", sum((F.col(t) for t in TARGETS), F.lit(0)).cast("double").alias("score"))
     return sinks.restore_order(scores, order).withColumn("score", F.coalesce("score", F.lit(-1.0)))

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from basketcast.session import one_row
+
 
 def clip01(value: Column | str) -> Column:
     column = F.col(value) if isinstance(value, str) else value
@@ -62,14 +64,15 @@ def max_normalise(df: DataFrame, values: Sequence[str] = (), codes: Sequence[str
     that reaches the rows as a scalar subquery.
     """
     fitted = df if fit_on is None else df.filter(fit_on)
-    maxima = fitted.agg(F.struct(*[F.max(c).alias(c) for c in (*values, *codes)]).alias("m")).scalar()
+    maxima = F.col("_maxima")
     scaled = {}
     for c in values:
         top = F.coalesce(maxima[c].cast("double"), F.lit(0.0))
         scaled[f"{c}_scaled"] = F.col(c).cast("double") / F.when(top == 0, 1.0).otherwise(top)
     for c in codes:
         scaled[f"{c}_scaled"] = F.col(c) / (maxima[c] + F.lit(1))
-    return df.withColumns(scaled)
+    limits = one_row(fitted.agg(*[F.max(c).alias(c) for c in (*values, *codes)]))
+    return df.withColumn("_maxima", limits).withColumns(scaled).drop("_maxima")
 
 
 def coalesce_category(columns: Sequence[str], item: str = "jan") -> Column:

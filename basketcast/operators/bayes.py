@@ -11,8 +11,8 @@ from basketcast.constants import (ATTRIBUTES, BLEND_WEIGHTS, CORRELATION_PAIRS,
                                   MODEL_BLEND)
 from basketcast.functions.scalars import clip01
 from basketcast.operators.encode import bin_lookup, decile_edges
-from basketcast.operators.stats import conditional_purchase, overall_mean
-from basketcast.session import broadcast_if_small, materialise
+from basketcast.operators.stats import overall_mean
+from basketcast.session import broadcast_if_small, materialise, one_row, row_counts
 
 # Key columns of the marginal means the blend reads.
 MARGINALS = {
@@ -67,54 +67,66 @@ def posterior(target: str, confidence: Column | float, overall: Column) -> Colum
 def bayes_posterior(history: DataFrame, sessions: DataFrame, targets: Sequence[str],
                     confidence: Mapping[str, float], attributes: Sequence[str] = ATTRIBUTES,
                     customer: str = "customer_id", segment_counts: DataFrame | None = None,
-                    weights: Mapping[str, str] | None = None) -> DataFrame:
-    """Sessions with one posterior ``bayes_{t}`` per target."""
+                    overall: DataFrame | None = None, weights: Mapping[str, str] | None = None) -> DataFrame:
+    """Sessions with one posterior ``bayes_{t}`` per target.
+
+    Segment counts and the overall mean may be passed in when already known.
+    """
     segments = segment_counts if segment_counts is not None else bayes_counts(
         history, attributes, targets, weights)
     customers = bayes_counts(history, [customer], targets, weights)
-    means = overall_mean(history, targets).select(F.struct(*targets).alias("m")).scalar()
+    means = one_row(overall if overall is not None else overall_mean(history, targets))
     joined = attach_group_stats(sessions, segments, customers, targets, attributes, customer)
-    return joined.select(*sessions.columns, *[
-        posterior(t, confidence[t], means[t]).alias(f"bayes_{t}") for t in targets])
+    return joined.withColumn("_overall", means).select(*sessions.columns, *[
+        posterior(t, confidence[t], F.col("_overall")[t]).alias(f"bayes_{t}") for t in targets])
 
 
 def marginal_table(history: DataFrame, targets: Sequence[str],
                    marginals: Mapping[str, Sequence[str]] = MARGINALS) -> DataFrame:
-    """Counts and sums for every marginal in one pass over the history.
+    """Counts and sums for every marginal, and overall, in one pass.
 
     The grouping sets share one scan and combine on the map side. The stored
     result is small: one row per observed value of each marginal.
     """
     keys = list(dict.fromkeys(k for columns in marginals.values() for k in columns))
-    grouped = history.groupingSets([list(c) for c in marginals.values()], *keys).agg(
+    grouped = history.groupingSets([*[list(c) for c in marginals.values()], []], *keys).agg(
         F.grouping_id().alias("_gid"),
         *[f for t in targets for f in (F.count(t).alias(f"{t}_count"), F.sum(t).alias(f"{t}_sum"))])
     # In a grouping id the bits of the grouped keys are 0.
     bit = {k: 1 << (len(keys) - 1 - i) for i, k in enumerate(keys)}
     everything = sum(bit.values())
-    name = None
+    name = F.when(F.col("_gid") == everything, "overall")
     for label, columns in marginals.items():
         hit = F.col("_gid") == everything - sum(bit[k] for k in columns)
-        name = F.when(hit, label) if name is None else name.when(hit, label)
+        name = name.when(hit, label)
     return materialise(grouped.select(name.alias("marginal"), *keys, *[
         f"{t}_{s}" for t in targets for s in ("count", "sum")]))
 
 
-def marginal_counts(table: DataFrame, label: str, targets: Sequence[str],
+def marginal_counts(table: DataFrame, label: str, targets: Sequence[str], rows: int | None = None,
                     marginals: Mapping[str, Sequence[str]] = MARGINALS) -> DataFrame:
     """Counts and sums of one marginal, broadcast when they prove small."""
     keys = list(marginals[label])
     part = table.filter(F.col("marginal") == label).dropna(subset=keys)
-    return broadcast_if_small(part.select(*keys, *[f"{t}_{s}" for t in targets for s in ("count", "sum")]))
+    part = part.select(*keys, *[f"{t}_{s}" for t in targets for s in ("count", "sum")])
+    return broadcast_if_small(part, rows)
+
+
+def marginal_overall(table: DataFrame, targets: Sequence[str]) -> DataFrame:
+    """Overall target means, as one row."""
+    return table.filter(F.col("marginal") == "overall").agg(*[
+        F.try_divide(F.first(f"{t}_sum"), F.first(f"{t}_count")).alias(t) for t in targets])
 
 
 def lookup_marginals(sessions: DataFrame, table: DataFrame, targets: Sequence[str],
-                     marginals: Mapping[str, Sequence[str]] = MARGINALS) -> DataFrame:
+                     marginals: Mapping[str, Sequence[str]] = MARGINALS,
+                     rows: Mapping[str, int] | None = None) -> DataFrame:
     """Marginal means ``{marginal}_{t}`` next to each session, null if unseen."""
     out = sessions
+    rows = rows if rows is not None else row_counts(table, "marginal")
     for label, keys in marginals.items():
         means = {f"{label}_{t}": F.try_divide(F.col(f"{t}_sum"), F.col(f"{t}_count")) for t in targets}
-        part = marginal_counts(table, label, targets, marginals)
+        part = marginal_counts(table, label, targets, rows.get(label, 0), marginals)
         out = out.join(part, list(keys), "left").withColumns(means).drop(
             *[f"{t}_{s}" for t in targets for s in ("count", "sum")])
     return out.select(*sessions.columns, *[f"{label}_{t}" for label in marginals for t in targets])
@@ -140,8 +152,8 @@ def correlation_correction(df: DataFrame, conditionals: DataFrame, targets: Sequ
     A later target sees the already corrected values of the earlier ones, so
     the columns are chained on purpose.
     """
-    share = conditionals.select(F.struct("*").alias("p")).scalar()
-    out = df
+    share = F.col("_share")
+    out = df.withColumn("_share", one_row(conditionals))
     for t in targets:
         value = F.col(f"{prefix}{t}")
         pull = F.lit(0.0)
@@ -150,12 +162,7 @@ def correlation_correction(df: DataFrame, conditionals: DataFrame, targets: Sequ
                 weight = pairs.get((other, t), strength[t])
                 pull = pull + F.col(f"{prefix}{other}") * F.coalesce(share[f"{other}_to_{t}"], F.lit(0.0)) * F.lit(weight)
         out = out.withColumn(f"{prefix}{t}", clip01(value + pull))
-    return out
-
-
-def conditionals_of(history: DataFrame, targets: Sequence[str]) -> DataFrame:
-    """Stored one-row table of conditional purchase shares."""
-    return materialise(conditional_purchase(history, targets))
+    return out.drop("_share")
 
 
 # --- error model ----------------------------------------------------------
@@ -206,12 +213,13 @@ def error_correction(df: DataFrame, model: DataFrame, edges: DataFrame, targets:
     sessions stay one row each and meet each dimension in one join.
     """
     out = df
+    rows = row_counts(model.select("dimension", "value").distinct(), "dimension")
     shifts = {t: F.lit(0.0) for t in targets}
     for d in dimensions:
         wide = (model.filter(F.col("dimension") == d).groupBy("value").agg(
             *[F.max(F.when(F.col("target") == t, F.col("mean_error"))).alias(f"_{d}_{t}") for t in targets])
             .withColumnRenamed("value", f"_{d}"))
-        out = out.join(broadcast_if_small(wide), F.col(d).cast("string") == F.col(f"_{d}"), "left").drop(f"_{d}")
+        out = out.join(broadcast_if_small(wide, rows.get(d, 0)), F.col(d).cast("string") == F.col(f"_{d}"), "left").drop(f"_{d}")
         for t in targets:
             shifts[t] = shifts[t] + F.coalesce(F.col(f"_{d}_{t}"), F.lit(0.0))
     bins = F.map_from_entries(F.collect_list(F.struct(

@@ -7,12 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from basketcast.operators.stats import category_names
+from basketcast.operators.stats import category_levels
 
 
 def one_hot(df: DataFrame, columns: Sequence[str], levels: dict[str, list[str]] | None = None) -> DataFrame:
     """Indicator column ``{column}_{level}`` for each level; null has no level."""
-    levels = levels or {c: category_names(df, c) for c in columns}
+    levels = levels or category_levels(df, columns)
     flags = {f"{c}_{level}": F.coalesce((F.col(c) == level).cast("int"), F.lit(0))
              for c in columns for level in levels[c]}
     return df.withColumns(flags)

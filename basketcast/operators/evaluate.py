@@ -11,6 +11,7 @@ from basketcast.operators.bayes import (attach_group_stats, bayes_counts, error_
                                         posterior)
 from basketcast.operators.encode import exact_quantiles
 from basketcast.operators.stats import overall_mean
+from basketcast.session import one_row
 
 
 def roc_auc(scores: DataFrame, groups: Sequence[str], score: str = "score", y: str = "y",
@@ -62,7 +63,8 @@ def weighted_logloss(scores: DataFrame, weights: Mapping[str, float] | DataFrame
     if isinstance(weights, DataFrame):
         pairs = weights.unpivot([], list(weights.columns), "target", "weight").agg(
             F.map_from_entries(F.collect_list(F.struct("target", "weight"))).alias("m"))
-        weight = F.try_element_at(pairs.scalar(), F.col("target"))
+        scores = scores.withColumn("_weights", pairs.scalar())
+        weight = F.try_element_at("_weights", F.col("target"))
     else:
         weight = F.try_element_at(F.create_map(*[F.lit(x) for kv in weights.items() for x in kv]), F.col("target"))
 
@@ -96,8 +98,9 @@ def confidence_scores(history: DataFrame, validation: DataFrame, targets: Sequen
         F.col(f"{t}_{n}").alias(f"x_{n}") for n in names]) for t in targets]))
     shapes = (joined.select(cells).groupBy("target", "y", *[f"x_{n}" for n in names])
               .agg(F.count("*").alias("rows")))
-    means = overall_mean(history, targets).select(F.struct(*targets).alias("m")).scalar()
+    means = F.col("_overall")
     overall = F.coalesce(*[F.when(F.col("target") == t, means[t]) for t in targets])
+    shapes = shapes.withColumn("_overall", one_row(overall_mean(history, targets)))
     tried = shapes.withColumn("confidence", F.explode(F.array(*[F.lit(float(c)) for c in grid])))
     scored = tried.withColumn("score", posterior("x", F.col("confidence"), overall))
     return roc_auc(scored, ["target", "confidence"], rows="rows")

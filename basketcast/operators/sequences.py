@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from basketcast.constants import RANDOM_CUT, SEQUENCE_LENGTH, SEQUENCE_SUPPORT
 from basketcast.functions.scalars import CYCLE_DIVISORS
 from basketcast.operators.ordering import BLOCK_ROWS, halo_blocks, last_rows, with_position
+from basketcast.session import one_row
 
 # Calendar cells of a customer's history, in time order.
 DAY = ("sale_date",)
@@ -165,37 +166,43 @@ BASE_FEATURES = (*CYCLE_DIVISORS, "holiday_or_weekend", "store_code", "age_code"
 
 def step_features(sessions: DataFrame, embeddings: DataFrame, session_stats: DataFrame,
                   customer_stats: DataFrame, fallback: DataFrame, money: Sequence[str], dim: int,
-                  fit_on: Column, customer: str = "customer_id",
-                  session_money_from: Column | None = None) -> DataFrame:
+                  fit_on: Column, customer: str = "customer_id") -> DataFrame:
     """One feature vector per session.
 
     Nine calendar and code features, the embedding, the session's money, the
-    customer's money and two presence flags. Every number is scaled by the
-    maximum over the rows ``fit_on`` selects. ``session_money_from`` restricts
-    which sessions may show their own lines; the rest get zeros.
+    customer's money and two presence flags. Money is scaled by the maximum over
+    the rows ``fit_on`` selects. ``customer_stats`` and ``fallback`` have a
+    ``known`` column that says for which ``money_from`` of a session they hold.
     """
     s_cols = [f"s_{c}" for c in money]
     c_cols = [f"c_{c}" for c in money]
+    codes = ("store_code", "age_code", "gender_code")
     own = session_stats.select("session_id", F.lit(1.0).alias("has_session"),
                                *[F.col(c).cast("double").alias(f"s_{c}") for c in money])
-    theirs = customer_stats.select(customer, F.lit(1.0).alias("has_customer"),
+    theirs = customer_stats.select(customer, F.col("known").alias("money_from"),
                                    *[F.col(c).alias(f"c_{c}") for c in money])
+    # One row per kind of history.
+    defaults = F.broadcast(fallback.select(F.col("known").alias("money_from"),
+                                           *[F.col(c).alias(f"d_{c}") for c in money]))
     joined = (sessions.join(embeddings.select("session_id", "embedding"), "session_id", "left")
-              .join(own, "session_id", "left").join(theirs, customer, "left"))
-    unknown = fallback.agg(F.struct(*[F.first(c).alias(c) for c in money]).alias("d")).scalar()
-    visible = F.lit(True) if session_money_from is None else session_money_from
+              .join(own, "session_id", "left").join(theirs, [customer, "money_from"], "left")
+              .join(defaults, "money_from", "left"))
+    # A default counts as money of the customer, as long as there is one.
+    known = F.coalesce(f"c_{money[0]}", f"d_{money[0]}").isNotNull()
     filled = joined.withColumns(
-        {f"s_{c}": F.when(visible, F.coalesce(f"s_{c}", F.lit(0.0))).otherwise(0.0) for c in money}
-        | {f"c_{c}": F.coalesce(F.col(f"c_{c}"), unknown[c], F.lit(0.0)) for c in money}
-        | {"has_session": F.when(visible, F.coalesce("has_session", F.lit(0.0))).otherwise(0.0),
-           # A default counts as money of the customer, as long as there is one.
-           "has_customer": F.when(F.col("has_customer").isNotNull() | unknown[money[0]].isNotNull(), 1.0)
-           .otherwise(0.0),
-           "embedding": F.when(visible, F.coalesce("embedding", F.array_repeat(F.lit(0.0), dim)))
-           .otherwise(F.array_repeat(F.lit(0.0), dim))})
-    codes = ("store_code", "age_code", "gender_code")
-    top = filled.filter(fit_on).agg(F.struct(
-        *[F.max(c).alias(c) for c in (*s_cols, *c_cols, *codes)]).alias("m")).scalar()
+        {f"s_{c}": F.coalesce(f"s_{c}", F.lit(0.0)) for c in money}
+        | {f"c_{c}": F.coalesce(f"c_{c}", f"d_{c}", F.lit(0.0)) for c in money}
+        | {"has_session": F.coalesce("has_session", F.lit(0.0)), "has_customer": known.cast("double"),
+           "embedding": F.coalesce("embedding", F.array_repeat(F.lit(0.0), dim))})
+    # Maxima of the sessions' inputs, without the joins that no maximum needs.
+    fitted = sessions.filter(fit_on).select("session_id", customer, "money_from", *codes)
+    numbers = (fitted.join(own, "session_id", "left").join(theirs, [customer, "money_from"], "left")
+               .join(defaults, "money_from", "left"))
+    limits = one_row(numbers.agg(
+        *[F.max(F.coalesce(c, F.lit(0.0))).alias(c) for c in s_cols],
+        *[F.max(F.coalesce(f"c_{c}", f"d_{c}", F.lit(0.0))).alias(f"c_{c}") for c in money],
+        *[F.max(c).alias(c) for c in codes]))
+    top = F.col("_top")
 
     def scaled(c: str) -> Column:
         limit = F.coalesce(top[c], F.lit(0.0))
@@ -206,31 +213,39 @@ def step_features(sessions: DataFrame, embeddings: DataFrame, session_stats: Dat
     base += [F.col(c) / (top[c] + 1) for c in codes]
     features = F.concat(F.array(*base), F.col("embedding"), F.array(*[scaled(c) for c in (*s_cols, *c_cols)]),
                         F.array("has_session", "has_customer"))
-    return filled.select("session_id", customer, "split", "sale_date", "hour", features.alias("features"))
+    return filled.withColumn("_top", limits).select("session_id", features.alias("features"))
 
 
 def step_width(money: Sequence[str], dim: int) -> int:
     return len(BASE_FEATURES) + dim + 2 * len(money) + 2
 
 
-def window_features(windows: DataFrame, vectors: DataFrame, width: int, mask: DataFrame | None = None) -> DataFrame:
+def without_own_basket(features: Column, money: Sequence[str], dim: int) -> Column:
+    """A step vector that hides what its session bought and paid."""
+    head, hidden = len(BASE_FEATURES), dim + len(money)
+    kept = F.slice(features, head + hidden + 1, len(money))
+    customer_flag = F.slice(features, head + hidden + len(money) + 2, 1)
+    return F.concat(F.slice(features, 1, head), F.array_repeat(F.lit(0.0), hidden), kept,
+                    F.array(F.lit(0.0)), customer_flag)
+
+
+def window_features(windows: DataFrame, vectors: DataFrame, money: Sequence[str], dim: int,
+                    mask_last: bool = True) -> DataFrame:
     """Windows of session ids to windows of feature vectors, padded with zeros.
 
-    Positions are joined one by one on the session id and put back in order, so
-    long histories never sit together. ``mask`` may hold replacement vectors
-    for the last step, which hide the target session's own basket and money.
+    Steps are joined one by one on the session id and put back in order, so
+    long histories never sit together. ``mask_last`` hides the basket and money
+    of the last step, the session that is to be predicted.
     """
-    zeros = F.array_repeat(F.lit(0.0), width)
-    last = F.size("steps") - 1
+    zeros = F.array_repeat(F.lit(0.0), step_width(money, dim))
     placed = windows.select("*", F.posexplode("steps").alias("step", "step_session"))
     known = vectors.select(F.col("session_id").alias("step_session"), F.col("features").alias("_f"))
-    joined = placed.withColumn("is_last", F.col("step") == last).join(known, "step_session", "left")
     value = F.coalesce("_f", zeros)
-    if mask is not None:
-        hidden = mask.select(F.col("session_id").alias("step_session"), F.col("features").alias("_m"))
-        joined = joined.join(hidden, "step_session", "left")
-        value = F.when(F.col("is_last"), F.coalesce("_m", zeros)).otherwise(value)
+    if mask_last:
+        is_last = F.col("step") == F.size("steps") - 1
+        value = F.when(is_last, without_own_basket(value, money, dim)).otherwise(value)
+    joined = placed.join(known, "step_session", "left").withColumn("_v", value)
     keys = [c for c in windows.columns if c != "steps"]
     return (joined.groupBy(*keys)
-            .agg(F.array_sort(F.collect_list(F.struct("step", value.alias("v")))).alias("_s"))
-            .select(*keys, F.transform("_s", lambda s: s["v"]).alias("steps")))
+            .agg(F.array_sort(F.collect_list(F.struct("step", "_v"))).alias("_s"))
+            .select(*keys, F.transform("_s", lambda s: s["_v"]).alias("steps")))

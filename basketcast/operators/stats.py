@@ -30,6 +30,16 @@ def category_names(products: DataFrame, column: str = "category", limit: int = M
     return [r[0] for r in rows]
 
 
+def category_levels(df: DataFrame, columns: Sequence[str], limit: int = MAX_PIVOT) -> dict[str, list[str]]:
+    """Sorted values of several columns, found in one pass."""
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns])
+    rows = (df.select(F.inline(cells)).filter(F.col("value").isNotNull()).distinct()
+            .limit(limit + 1).collect())
+    if len(rows) > limit:
+        raise ValueError(f"more than {limit} values: encode these columns another way")
+    return {c: sorted(r["value"] for r in rows if r["column"] == c) for c in columns}
+
+
 def category_matrix(rows: DataFrame, key: str, names: Sequence[str], value: str) -> DataFrame:
     """One row per key and one column per category, 0 where nothing was bought."""
     wide = rows.groupBy(key).pivot("category", list(names)).agg(F.sum(value))

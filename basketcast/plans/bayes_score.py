@@ -8,12 +8,13 @@ from pyspark.sql import DataFrame
 
 from basketcast.constants import ERROR_STRENGTH_PRODUCTION, PRODUCTION_CONFIDENCE, TARGETS
 from basketcast.functions.scalars import nan_guard
-from basketcast.operators.bayes import (bayes_posterior, conditionals_of, correlation_correction,
-                                        error_correction, error_model, lookup_marginals, marginal_counts,
-                                        marginal_table, weighted_blend)
+from basketcast.operators.bayes import (bayes_posterior, correlation_correction, error_correction, error_model,
+                                        lookup_marginals, marginal_counts, marginal_overall, marginal_table,
+                                        weighted_blend)
 from basketcast.operators.evaluate import confidence_grid
 from basketcast.operators.sequences import latest_sequence, purchase_sequence, sequence_patterns, sequence_score
-from basketcast.session import materialise
+from basketcast.operators.stats import conditional_purchase
+from basketcast.session import row_counts, store
 
 
 def blended_scores(history: DataFrame, sessions: DataFrame, targets: Sequence[str] = TARGETS,
@@ -25,13 +26,15 @@ def blended_scores(history: DataFrame, sessions: DataFrame, targets: Sequence[st
     customer's own counts and latest pair need a shuffle of the sessions.
     """
     table = marginal_table(history, targets)
-    patterns = materialise(sequence_patterns(purchase_sequence(history, targets), targets))
+    rows = row_counts(table, "marginal")
+    patterns = sequence_patterns(purchase_sequence(history, targets), targets)
     scored = bayes_posterior(history, sessions, targets, confidence,
-                             segment_counts=marginal_counts(table, "segment", targets))
+                             segment_counts=marginal_counts(table, "segment", targets, rows.get("segment", 0)),
+                             overall=marginal_overall(table, targets))
     scored = sequence_score(scored, latest_sequence(history, targets), patterns, targets)
-    scored = lookup_marginals(scored, table, targets).withColumnsRenamed({f"p_{t}": f"sequence_{t}" for t in targets})
+    scored = lookup_marginals(scored, table, targets, rows=rows).withColumnsRenamed({f"p_{t}": f"sequence_{t}" for t in targets})
     blended = weighted_blend(scored, targets)
-    corrected = correlation_correction(blended, conditionals_of(history, targets), targets, prefix="blend_")
+    corrected = correlation_correction(blended, conditional_purchase(history, targets), targets, prefix="blend_")
     return nan_guard(corrected, [f"blend_{t}" for t in targets]).select(
         *sessions.columns, *[f"blend_{t}" for t in targets])
 
@@ -51,7 +54,7 @@ def production_scores(history: DataFrame, validation: DataFrame, sessions: DataF
     Errors are learned by scoring ``validation`` from ``history``; the final
     scores then use both periods as history.
     """
-    validated = blended_scores(history, validation, targets, confidence)
+    validated = store(blended_scores(history, validation, targets, confidence))
     model, edges = error_model(validated, targets, "blend_")
     final = blended_scores(history.unionByName(validation), sessions, targets, confidence)
     return error_correction(final, model, edges, targets, "blend_", strength)

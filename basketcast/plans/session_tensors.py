@@ -16,8 +16,10 @@ from basketcast.operators.encode import label_encode, label_transform
 from basketcast.operators.factorise import category_rows, truncated_svd
 from basketcast.operators.sequences import (customer_sessions, random_cut, recent_history, sequence_labels,
                                             sliding_windows, step_features, step_width, window_features)
+from basketcast.operators.overlap import union_all
 from basketcast.operators.stats import (category_matrix, customer_money, default_money, money_columns,
                                         session_money, top_categories)
+from basketcast.session import store
 
 
 @dataclass
@@ -39,30 +41,28 @@ def encoded_sessions(sessions: DataFrame) -> DataFrame:
 
 
 def session_vectors(sessions: DataFrame, log: DataFrame, products: DataFrame, money: Sequence[str],
-                    category_columns: Sequence[str], dim: int = EMBED_DIM, hide_own: bool = False,
-                    include_valid: bool = False) -> tuple[DataFrame, int]:
-    """(feature vector per session, its length).
+                    category_columns: Sequence[str], dim: int = EMBED_DIM) -> tuple[DataFrame, int]:
+    """(feature vector per session, size of the embedding in it).
 
-    ``hide_own`` blanks what the session itself bought. ``include_valid`` lets
-    customer money read the validation sessions too, as scoring the test split
-    does; otherwise only training sessions count.
+    Customer money of training and validation sessions is learned from training
+    sessions; test sessions may also look at the validation period.
     """
     train = sessions.filter(F.col("split") == "train")
-    known = sessions.filter(F.col("split").isin("train", "valid")) if include_valid else train
-    mapped = map_category(log, products, coalesce_category(category_columns))
-    names = [r[0] for r in top_categories(mapped.join(train.select("session_id"), "session_id", "left_semi"),
-                                          TOP_CATEGORIES).select("category").collect()]
-    wide = category_matrix(mapped, "session_id", names, "quantity")
-    rows = category_rows(wide, "session_id", names)
+    both = sessions.filter(F.col("split").isin("train", "valid"))
+    mapped = map_category(log, products, coalesce_category(category_columns)).select("session_id", "category", "quantity")
+    ranked = top_categories(mapped.join(train.select("session_id"), "session_id", "left_semi"), TOP_CATEGORIES)
+    names = [r[0] for r in ranked.select("category").collect()]  # at most TOP_CATEGORIES names
+    rows = store(category_rows(category_matrix(mapped, "session_id", names, "quantity"), "session_id", names))
     fit = rows.join(train.select("session_id"), "session_id", "left_semi")
     embeddings = truncated_svd(fit, rows, len(names), dim=dim, keep_if_narrow=True)
-    size = min(dim, len(names))
-    stats = session_money(log, money)
-    people = customer_money(stats, known, money)
+    stats = store(session_money(log, money))
     columns = money_columns(money)
-    vectors = step_features(sessions, embeddings, stats, people, default_money(people, money), columns, size,
-                            F.col("split") == "train", session_money_from=F.lit(not hide_own))
-    return vectors, step_width(columns, size)
+    people = {name: customer_money(stats, frame, money) for name, frame in (("train", train), ("both", both))}
+    known = union_all(*[df.withColumn("known", F.lit(name)) for name, df in people.items()])
+    fallback = union_all(*[default_money(df, money).withColumn("known", F.lit(name)) for name, df in people.items()])
+    staged = sessions.withColumn("money_from", F.when(F.col("split") == "test", "both").otherwise("train"))
+    size = min(dim, len(names))
+    return step_features(staged, embeddings, stats, known, fallback, columns, size, F.col("split") == "train"), size
 
 
 def session_tensors(sessions: DataFrame, targets_of: DataFrame, log: DataFrame, products: DataFrame,
@@ -72,22 +72,19 @@ def session_tensors(sessions: DataFrame, targets_of: DataFrame, log: DataFrame,
     """Samples of ``length`` steps for training, validation and test.
 
     With ``mask_target_step`` the last step never shows the basket and money of
-    the session that is to be predicted.
+    the session that is to be predicted. Step vectors are written once and read
+    by the three sample sets.
     """
-    coded = encoded_sessions(sessions)
+    coded = store(encoded_sessions(sessions))
     train, valid, test = [coded.filter(F.col("split") == s) for s in ("train", "valid", "test")]
-    vectors, width = session_vectors(coded, log, products, money, category_columns, dim)
-    masked = session_vectors(coded, log, products, money, category_columns, dim, hide_own=True)[0] if mask_target_step else None
+    vectors, size = session_vectors(coded, log, products, money, category_columns, dim)
+    vectors, columns = store(vectors), money_columns(money)
 
-    def samples(windows: DataFrame, known: DataFrame, hidden: DataFrame | None) -> DataFrame:
-        return window_features(windows, known, width, hidden)
+    def samples(windows: DataFrame) -> DataFrame:
+        return window_features(windows, vectors, columns, size, mask_target_step)
 
     runs = random_cut(sliding_windows(customer_sessions(train), length), cut)
-    x_train = sequence_labels(samples(runs, vectors, masked), targets_of, targets)
-    x_valid = sequence_labels(samples(recent_history(valid, train, length), vectors, masked), targets_of, targets)
-    later, _ = session_vectors(coded, log, products, money, category_columns, dim, include_valid=True)
-    later_masked = session_vectors(coded, log, products, money, category_columns, dim, hide_own=True,
-                                   include_valid=True)[0] if mask_target_step else None
-    past = train.unionByName(valid)
-    x_test = samples(recent_history(test, past, length), later, later_masked)
-    return Tensors(x_train, x_valid, x_test, width)
+    x_train = sequence_labels(samples(runs), targets_of, targets)
+    x_valid = sequence_labels(samples(recent_history(valid, train, length)), targets_of, targets)
+    x_test = samples(recent_history(test, train.unionByName(valid), length))
+    return Tensors(x_train, x_valid, x_test, step_width(columns, size))

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Run-time settings the operators rely on. Shuffle width, memory and the
@@ -44,13 +46,9 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8) -> SparkSe
     return tune(spark)
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a checkpoint in the cluster's shared folder.
-
-    Used for results that several branches must see with identical content,
-    and for small statistics that many joins read.
-    """
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's shared checkpoint folder; local runs may get their own."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = context.getConf().get("spark.checkpoint.dir")
         if folder is None:
@@ -58,13 +56,48 @@ def materialise(df: DataFrame) -> DataFrame:
                 raise ValueError("set spark.checkpoint.dir to a folder all executors share")
             folder = tempfile.mkdtemp(prefix="basketcast-")
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """Cut the lineage of small statistics with a checkpoint."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only when a count proves the table small.
+def store(df: DataFrame, partition_by: Sequence[str] = ()) -> DataFrame:
+    """Write a large intermediate once as a table in the shared folder.
+
+    Readers prune its columns and partitions, which a checkpoint does not allow,
+    and a lost executor costs no recomputation.
+    """
+    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    writer = df.write.partitionBy(*partition_by) if partition_by else df.write
+    writer.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def broadcast_if_small(df: DataFrame, rows: int | None = None, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Hint a broadcast only when the number of rows proves the table small.
+
+    ``df`` should be materialised: without a known count it is counted, which
+    then reads stored rows. Larger tables are returned unchanged, and the join
+    shuffles.
+    """
+    if rows is None:
+        rows = df.limit(max_rows + 1).count()
+    return F.broadcast(df) if rows <= max_rows else df
+
+
+def row_counts(df: DataFrame, label: str) -> dict[str, int]:
+    """Rows per label of a materialised table with a handful of labels."""
+    return {r[0]: r[1] for r in df.groupBy(label).count().collect()}
+
+
+def one_row(df: DataFrame) -> Column:
+    """A one-row frame as a struct column, through a scalar subquery.
 
-    ``df`` should be materialised: the count then reads the stored rows. Larger
-    tables are returned unchanged, and the join shuffles.
+    Attach it once as a column and read its fields from there: every further
+    use of the subquery itself would be planned again.
     """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    return df.select(F.struct("*").alias("row")).scalar()

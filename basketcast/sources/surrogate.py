@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from basketcast.constants import TARGETS
 from basketcast.functions.calendar import calendar_features
 from basketcast.operators.clean import temporal_split
-from basketcast.session import tune
+from basketcast.session import store, tune
 
 TRAIN_END, VALID_END = "2000-06-30", "2000-12-31"
 BRANDS = {t: f"Brand#{i}" for i, t in enumerate(TARGETS, start=1)}
@@ -27,6 +27,7 @@ class Retail:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = tune(spark)
         self.folder = folder
+        self._kept = False
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
@@ -61,25 +62,41 @@ class Retail:
             F.col("p_type").alias("division"))
 
     @cached_property
-    def targets(self) -> DataFrame:
-        """Target flags of every session: a kept line of the target's brand."""
+    def kept_targets(self) -> DataFrame:
+        """Target flags of sessions with a kept line of a target's brand."""
         wanted = self.products.filter(F.col("category").isin(*BRANDS.values())).select("jan", "category")
-        kept = (self.log.filter(F.col("quantity") > 0).select("session_id", "jan").join(wanted, "jan")
+        return (self.log.filter(F.col("quantity") > 0).select("session_id", "jan").join(wanted, "jan")
                 .groupBy("session_id").agg(*[
                     F.max((F.col("category") == b).cast("int")).alias(t) for t, b in BRANDS.items()]))
+
+    @cached_property
+    def targets(self) -> DataFrame:
+        """Target flags of every session."""
         return (self.table("orders").select(F.col("o_orderkey").alias("session_id"))
-                .join(kept, "session_id", "left").fillna(0, subset=list(TARGETS)))
+                .join(self.kept_targets, "session_id", "left").fillna(0, subset=list(TARGETS)))
+
+    @cached_property
+    def base(self) -> DataFrame:
+        return self.sessions.join(self.kept_targets, "session_id", "left").fillna(0, subset=list(TARGETS))
+
+    def keep(self) -> "Retail":
+        """Write the session facts once, for queries that read them repeatedly."""
+        if not self._kept:
+            self.base = store(self.base, ["split"])
+            self.__dict__.pop("facts", None)
+            self._kept = True
+        return self
 
     @cached_property
     def facts(self) -> DataFrame:
         """Sessions with calendar features and targets."""
-        return calendar_features(self.sessions).join(self.targets, "session_id")
+        return calendar_features(self.base)
 
-    @cached_property
+    @property
     def history(self) -> DataFrame:
         return self.facts.filter(F.col("split") == "train")
 
-    @cached_property
+    @property
     def validation(self) -> DataFrame:
         return self.facts.filter(F.col("split") == "valid")
 
