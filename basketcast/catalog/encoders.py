@@ -16,12 +16,10 @@ LEVELS = {
     "gender": ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"],
 }
 FOLD_SQL = """
-prof AS (SELECT customer_id, count(*) AS size, """ + ", ".join(
-    f"sum(CASE WHEN choc + 2 * beer + 4 * hair + 8 * rice = {s} THEN 1 ELSE 0 END) AS n{s}" for s in range(1, 16)) + """
-  FROM fact GROUP BY customer_id),
-sig AS (SELECT customer_id, size, concat_ws(',', """ + ", ".join(f"CAST(n{s} AS VARCHAR)" for s in range(1, 16)) + """) AS signature FROM prof),
+prof AS (SELECT customer_id, count(*) AS size, bit_or(1 << (choc + 2 * beer + 4 * hair + 8 * rice)) AS signature FROM fact GROUP BY customer_id),
 folds AS (SELECT customer_id, size, signature, CAST((ROW_NUMBER() OVER (PARTITION BY signature
-            ORDER BY size DESC, substr(md5(CAST(customer_id AS VARCHAR)), 1, 3), customer_id) - 1) % 4 AS INTEGER) AS fold FROM sig)"""
+            ORDER BY size DESC, substr(md5(CAST(customer_id AS VARCHAR)), 1, 3), customer_id) - 1
+            + CAST('0x' || substr(md5(CAST(signature AS VARCHAR)), 1, 4) AS BIGINT)) % 4 AS INTEGER) AS fold FROM prof)"""
 EDGE_SQL = """
 edges AS (SELECT target, list_sort(list_distinct(quantile_cont(score, [0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1]))) AS e
           FROM long GROUP BY target)"""
@@ -62,7 +60,7 @@ def label_transform_unknown(retail):
     return encode.label_transform(retail.sessions.select("session_id", "store"), codes, "store").select("session_id", "code")
 
 
-@query("stratified_group_folds", twin("fact", "SELECT customer_id, CAST(size AS BIGINT) AS size, signature, fold FROM folds", FOLD_SQL))
+@query("stratified_group_folds", twin("fact", "SELECT customer_id, CAST(size AS BIGINT) AS size, CAST(signature AS INTEGER) AS signature, fold FROM folds", FOLD_SQL))
 def folds(retail):
     return stratified_group_folds(retail.facts, TARGETS)
 

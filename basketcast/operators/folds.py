@@ -16,21 +16,19 @@ def stratified_group_folds(sessions: DataFrame, targets: Sequence[str], folds: i
                            customer: str = "customer_id") -> DataFrame:
     """One fold per customer.
 
-    A customer's signature holds how often each target combination occurs in
-    the sessions. Customers of one signature are dealt out in turn, larger ones
-    first, which spreads every combination over all folds. Signatures with many
-    customers are numbered in hashed slices, not in one sorted task.
+    A customer's signature says which target combinations occur in the
+    sessions. Customers of one signature are dealt out in turn, larger ones
+    first, which spreads every combination over all folds; each signature
+    starts at a fold of its own, so that rare ones do not pile up in the first.
+    Signatures with many customers are numbered in hashed slices, not in one
+    sorted task.
     """
-    strata = 1 << len(targets)
-    profile = (sessions.withColumn("_s", bitmask_stratum(targets))
-               .groupBy(customer).agg(F.count("*").alias("size"),
-                                      *[F.count_if(F.col("_s") == s).alias(f"_n{s}") for s in range(1, strata)]))
-    signature = F.concat_ws(",", *[F.col(f"_n{s}").cast("string") for s in range(1, strata)])
-    keyed = profile.select(
-        customer, "size", signature.alias("signature"),
-        F.substring(F.md5(F.col(customer).cast("string").cast("binary")), 1, 3).alias("slice"))
+    seen = F.bit_or(F.call_function("shiftleft", F.lit(1), bitmask_stratum(targets)))
+    profile = sessions.groupBy(customer).agg(F.count("*").alias("size"), seen.alias("signature"))
+    keyed = profile.withColumn("slice", F.substring(F.md5(F.col(customer).cast("string").cast("binary")), 1, 3))
     dealt = with_position(keyed, ["signature"], ["size", "slice"], [customer], descending=["size"])
-    return dealt.select(customer, "size", "signature", F.pmod(F.col("pos"), F.lit(folds)).cast("int").alias("fold"))
+    start = F.conv(F.substring(F.md5(F.col("signature").cast("string").cast("binary")), 1, 4), 16, 10).cast("long")
+    return dealt.select(customer, "size", "signature", F.pmod(F.col("pos") + start, F.lit(folds)).cast("int").alias("fold"))
 
 
 def attach_fold(sessions: DataFrame, folds: DataFrame, customer: str = "customer_id") -> DataFrame:
