@@ -10,8 +10,8 @@ from basketcast.operators import bayes, evaluate, stats
 from basketcast.operators.clean import filter_returns, map_category
 from basketcast.operators.encode import decile_edges
 from basketcast.operators.factorise import category_rows, truncated_svd
-from basketcast.functions.scalars import coalesce_category
-from basketcast.session import materialise
+from basketcast.functions.scalars import coalesce_category, cycle_proximity as rule
+from basketcast.session import materialise, store
 from basketcast.sources.surrogate import BRANDS, MONEY
 
 ALL_BRANDS = [f"Brand#{i}" for i in range(1, 26)]
@@ -48,7 +48,7 @@ SELECT customer_id, {pivot_sql('quantity')} FROM session LEFT JOIN (SELECT * FRO
 WHERE split = 'train' GROUP BY customer_id"""))
 def customer_category_matrix(retail):
     names = stats.category_names(retail.products)
-    wide = stats.customer_category_matrix(retail.sessions.filter("split = 'train'"), category_sums(retail, "quantity"), names, "quantity")
+    wide = stats.customer_category_matrix(retail.visits.filter("split = 'train'"), category_sums(retail, "quantity"), names, "quantity")
     return ascii_names(wide, names, "customer_id")
 
 
@@ -79,8 +79,9 @@ def purchase_ratio(retail):
 def embeddings(retail, dim=8):
     """(embedding per session, dimension): a real reduction of the 25 brands."""
     names = stats.category_names(retail.products)
-    rows = category_rows(stats.category_matrix(category_sums(retail, "quantity"), "session_id", names, "quantity"), "session_id", names)
-    fit = rows.join(retail.sessions.filter("split = 'train'").select("session_id"), "session_id", "left_semi")
+    # The fit and the projection read the same rows.
+    rows = store(category_rows(stats.category_matrix(category_sums(retail, "quantity"), "session_id", names, "quantity"), "session_id", names))
+    fit = rows.join(retail.visits.filter("split = 'train'").select("session_id"), "session_id", "left_semi")
     return truncated_svd(fit, rows, len(names), dim=dim), dim
 
 
@@ -111,7 +112,7 @@ RECENCY = [f"{t}_{s}" for t in TARGETS for s in ("days", "count", "gap", "proxim
 r AS (SELECT customer_id, {each('min(CASE WHEN {t} > 0 THEN sale_date END) AS {t}_first, max(CASE WHEN {t} > 0 THEN sale_date END) AS {t}_last, sum({t}) AS {t}_n')}
       FROM fact GROUP BY customer_id)"""))
 def recency_global(retail):
-    return stats.recency_global(retail.facts, retail.facts, TARGETS).select("session_id", *RECENCY)
+    return stats.recency_global(retail.outcomes, retail.outcomes, TARGETS).select("session_id", *RECENCY)
 
 
 @query("recency_asof", twin("fact", f"SELECT session_id, {recency_select()} FROM r", f"""
@@ -119,16 +120,15 @@ r AS (SELECT session_id, any_value(f.sale_date) AS sale_date, {each('min(CASE WH
       FROM fact f LEFT JOIN (SELECT customer_id, sale_date AS h_date, {each('{t} AS h_{t}')} FROM fact) h
       ON h.customer_id = f.customer_id AND h_date < f.sale_date GROUP BY session_id)"""))
 def recency_asof(retail):
-    return stats.recency_asof(retail.facts, retail.facts, TARGETS).select("session_id", *RECENCY)
+    return stats.recency_asof(retail.outcomes, retail.outcomes, TARGETS).select("session_id", *RECENCY)
 
 
 @query("cycle_proximity", twin("fact", """
 SELECT session_id, greatest(least(7.0::DOUBLE / greatest(date_diff('day', sale_date, DATE '2001-08-01'), 1), 1.0::DOUBLE), 0.0::DOUBLE) AS weekly,
        0.0::DOUBLE AS never FROM session"""))
 def cycle_proximity(retail):
-    from basketcast.functions.scalars import cycle_proximity as rule
     days = F.datediff(F.to_date(F.lit("2001-08-01")), "sale_date")
-    return retail.sessions.select("session_id", rule(F.lit(7.0), days).alias("weekly"), rule(F.lit(999.0), days).alias("never"))
+    return retail.visits.select("session_id", rule(F.lit(7.0), days).alias("weekly"), rule(F.lit(999.0), days).alias("never"))
 
 
 @query("purchase_gaps", twin("fact", """
@@ -137,7 +137,7 @@ SELECT customer_id, target, CAST(sale_date AS VARCHAR) AS sale_date, CAST(same_d
 FROM b""", "b AS (SELECT customer_id, target, sale_date, count(*) - 1 AS same_day FROM (" + " UNION ALL ".join(
     f"SELECT customer_id, sale_date, '{t}' AS target FROM fact WHERE {t} > 0" for t in TARGETS) + ") GROUP BY ALL)"))
 def purchase_gaps(retail):
-    return text_date(stats.purchase_gaps(retail.facts, TARGETS), "sale_date").fillna(-1, subset=["gap"])
+    return text_date(stats.purchase_gaps(retail.outcomes, TARGETS), "sale_date").fillna(-1, subset=["gap"])
 
 
 # --- target means ----------------------------------------------------------
@@ -149,16 +149,11 @@ GROUPS = {"weekday": "weekday", "band": "time_band", "phase": "month_start, mont
     f"SELECT '{n}' AS grouping_name, concat_ws('|', {', '.join(f'CAST({k} AS VARCHAR)' for k in keys.split(', '))}) AS key, {each('avg({t}) AS {t}')} "
     f"FROM fact WHERE split = 'train' AND {keys.split(', ')[0]} IS NOT NULL GROUP BY {keys}" for n, keys in GROUPS.items())))
 def group_mean(retail):
-    retail.keep()
-    parts = []
-    for name, keys in GROUPS.items():
-        cols = keys.split(", ")
-        parts.append(stats.group_mean(retail.history, cols, TARGETS).select(
-            F.lit(name).alias("grouping_name"), F.concat_ws("|", *[F.col(c).cast("string") for c in cols]).alias("key"), *TARGETS))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    table = bayes.marginal_table(retail.history, TARGETS).filter("marginal <> 'overall'")
+    key = F.coalesce(*[F.when(F.col("marginal") == name, F.concat_ws("|", *[F.col(c).cast("string") for c in keys]))
+                       for name, keys in bayes.MARGINALS.items()])
+    return table.select(F.col("marginal").alias("grouping_name"), key.alias("key"), *[
+        F.try_divide(f"{t}_sum", f"{t}_count").alias(t) for t in TARGETS]).filter("key <> ''")
 
 
 @query("bayes_counts", twin("fact", f"""
@@ -185,23 +180,23 @@ def weighted_bayes_counts(retail):
 @query("conditional_purchase", twin("fact", "SELECT " + ", ".join(
     f"avg(CASE WHEN {a} > 0 THEN {b} END) AS {a}_to_{b}" for a in TARGETS for b in TARGETS if a != b) + " FROM fact WHERE split = 'train'"))
 def conditional_purchase(retail):
-    return stats.conditional_purchase(retail.history, TARGETS)
+    return stats.conditional_purchase(retail.outcomes.filter("split = 'train'"), TARGETS)
 
 
 @query("overall_mean", twin("fact", f"SELECT {each('avg({t}) AS {t}')} FROM fact WHERE split = 'train'"))
 def overall_mean(retail):
-    return stats.overall_mean(retail.history, TARGETS)
+    return stats.overall_mean(retail.outcomes.filter("split = 'train'"), TARGETS)
 
 
 @query("class_weights", twin("fact", f"SELECT {each('least(sum(1 - {t}) / CAST(nullif(sum({t}), 0) AS DOUBLE), 15.0::DOUBLE) AS {t}')} FROM fact WHERE split = 'train'"))
 def class_weights(retail):
-    return stats.class_weights(retail.history, TARGETS)
+    return stats.class_weights(retail.outcomes.filter("split = 'train'"), TARGETS)
 
 
 @query("date_extent", twin("session", """
 SELECT split, CAST(min(sale_date) AS VARCHAR) AS first_date, CAST(max(sale_date) AS VARCHAR) AS last_date, CAST(count(*) AS BIGINT) AS n FROM session GROUP BY split"""))
 def date_extent(retail):
-    return text_date(stats.date_extent(retail.sessions), "first_date", "last_date")
+    return text_date(stats.date_extent(retail.visits), "first_date", "last_date")
 
 
 # --- money -----------------------------------------------------------------
@@ -230,16 +225,16 @@ SELECT 'train' AS known, customer_id, {', '.join(MONEY_NAMES)} FROM cm
 UNION ALL SELECT 'train+valid', customer_id, {', '.join(MONEY_NAMES)} FROM cv""",
     SESSION_MONEY_SQL, CUSTOMER_MONEY_SQL, customer_money_sql("cv", "split IN ('train', 'valid')")))
 def customer_money(retail):
-    per_session = stats.session_money(retail.log, MONEY)
-    train = stats.customer_money(per_session, retail.sessions.filter("split = 'train'"), MONEY)
-    both = stats.customer_money(per_session, retail.sessions.filter("split in ('train', 'valid')"), MONEY)
+    per_session = store(stats.session_money(retail.log, MONEY))
+    train = stats.customer_money(per_session, retail.visits.filter("split = 'train'"), MONEY)
+    both = stats.customer_money(per_session, retail.visits.filter("split in ('train', 'valid')"), MONEY)
     return train.select(F.lit("train").alias("known"), "*").unionByName(both.select(F.lit("train+valid").alias("known"), "*"))
 
 
 @query("default_money", twin("session log", "SELECT " + ", ".join(f"round(avg({c}), 4) AS {c}" for c in MONEY_NAMES) + " FROM cm",
                              SESSION_MONEY_SQL, CUSTOMER_MONEY_SQL))
 def default_money(retail):
-    people = stats.customer_money(stats.session_money(retail.log, MONEY), retail.sessions.filter("split = 'train'"), MONEY)
+    people = stats.customer_money(stats.session_money(retail.log, MONEY), retail.visits.filter("split = 'train'"), MONEY)
     return stats.default_money(people, MONEY).select(*[F.round(c, 4).alias(c) for c in MONEY_NAMES])
 
 
@@ -250,8 +245,8 @@ FROM session s LEFT JOIN sm USING (session_id) LEFT JOIN cm USING (customer_id)"
     SESSION_MONEY_SQL, CUSTOMER_MONEY_SQL))
 def presence_flags(retail):
     per_session = stats.session_money(retail.log, MONEY)
-    people = stats.customer_money(per_session, retail.sessions.filter("split = 'train'"), MONEY)
-    return stats.presence_flags(retail.sessions.select("session_id", "customer_id"), per_session, people).drop("customer_id")
+    people = stats.customer_money(per_session, retail.visits.filter("split = 'train'"), MONEY)
+    return stats.presence_flags(retail.visits.select("session_id", "customer_id"), per_session, people).drop("customer_id")
 
 
 @query("category_frequency", twin("log", """

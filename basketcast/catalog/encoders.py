@@ -56,13 +56,13 @@ def label_encode(retail):
 @query("label_transform_unknown", twin("session", """
 SELECT session_id, CASE store WHEN '1-URGENT' THEN 0 WHEN '2-HIGH' THEN 1 WHEN '3-MEDIUM' THEN 2 WHEN '4-NOT SPECIFIED' THEN 3 ELSE -1 END AS code FROM session"""))
 def label_transform_unknown(retail):
-    codes = encode.label_encode(retail.sessions.filter("store <> '5-LOW'"), "store")
-    return encode.label_transform(retail.sessions.select("session_id", "store"), codes, "store").select("session_id", "code")
+    codes = encode.label_encode(retail.visits.filter("store <> '5-LOW'"), "store")
+    return encode.label_transform(retail.visits.select("session_id", "store"), codes, "store").select("session_id", "code")
 
 
 @query("stratified_group_folds", twin("fact", "SELECT customer_id, CAST(size AS BIGINT) AS size, CAST(signature AS INTEGER) AS signature, fold FROM folds", FOLD_SQL))
 def folds(retail):
-    return stratified_group_folds(retail.facts, TARGETS)
+    return stratified_group_folds(retail.outcomes, TARGETS)
 
 
 def dealt(retail):

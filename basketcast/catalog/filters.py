@@ -9,6 +9,7 @@ from basketcast.operators import clean
 from basketcast.operators.bayes import bayes_posterior
 from basketcast.operators.folds import attach_fold, stratified_group_folds
 from basketcast.catalog.encoders import FOLD_SQL
+from basketcast.session import materialise
 from basketcast.sources.surrogate import BRANDS
 
 BRAND_LIST = ", ".join(f"'{b}'" for b in BRANDS.values())
@@ -36,22 +37,21 @@ UNION ALL SELECT session_id, 'target' FROM session WHERE sale_date BETWEEN DATE
 def date_range(retail):
     periods = {"input": ("1999-07-01", "1999-09-30"), "shifted": ("1999-08-01", "1999-10-31"),
                "target": ("1999-10-01", "1999-10-30")}
-    base = retail.table("orders").select(F.col("o_orderkey").alias("session_id"), F.to_date("o_orderdate").alias("sale_date"))
-    parts = [clean.date_range(base, *bounds).select("session_id", F.lit(name).alias("period"))
+    parts = [clean.date_range(retail.visits, *bounds).select("session_id", F.lit(name).alias("period"))
              for name, bounds in periods.items()]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 @query("temporal_split", twin("session", "SELECT session_id, split FROM session"))
 def temporal_split(retail):
-    return retail.sessions.select("session_id", "split")
+    return retail.visits.select("session_id", "split")
 
 
 @query("month_split", twin("session", """
 SELECT session_id, CASE WHEN month(sale_date) IN (7, 8, 9) THEN 'train' ELSE 'valid' END AS part
 FROM session WHERE month(sale_date) IN (7, 8, 9, 10)"""))
 def month_split(retail):
-    return (retail.sessions.select("session_id", clean.month_split().alias("part"))
+    return (retail.visits.select("session_id", clean.month_split().alias("part"))
             .filter(F.col("part").isNotNull()))
 
 
@@ -60,8 +60,8 @@ SELECT fold AS held_fold, CAST((SELECT count(*) FROM fact) - count(*) AS BIGINT)
        CAST(count(*) AS BIGINT) AS held_rows
 FROM fact JOIN folds USING (customer_id) GROUP BY fold""", FOLD_SQL))
 def fold_split(retail):
-    dealt = attach_fold(retail.facts.select("session_id", "customer_id"),
-                        stratified_group_folds(retail.facts, TARGETS))
+    dealt = materialise(attach_fold(retail.visits.select("session_id", "customer_id"),
+                                    stratified_group_folds(retail.outcomes, TARGETS)))
     parts = []
     for k in range(4):
         train, held = clean.fold_split(dealt, k)
@@ -87,7 +87,7 @@ def clip01(retail):
 SELECT session_id, COALESCE(CAST(sum(quantity) AS DOUBLE), 0) AS quantity
 FROM (SELECT o_orderkey AS session_id FROM orders) LEFT JOIN log USING (session_id) GROUP BY session_id"""))
 def fill_null(retail):
-    keys = retail.table("orders").select(F.col("o_orderkey").alias("session_id"))
+    keys = retail.visits.select("session_id")
     sums = retail.log.groupBy("session_id").agg(F.sum("quantity").alias("quantity"))
     return scalars.fill_null(keys.join(sums, "session_id", "left"), ["quantity"], 0.0)
 
@@ -97,7 +97,7 @@ SELECT CAST(count(*) - count(q) AS BIGINT) AS missing, CAST(count(*) AS BIGINT)
 FROM (SELECT o_orderkey AS session_id FROM orders) LEFT JOIN (
   SELECT session_id, sum(quantity) AS q FROM log GROUP BY session_id) USING (session_id)"""))
 def nan_guard(retail):
-    keys = retail.table("orders").select(F.col("o_orderkey").alias("session_id"))
+    keys = retail.visits.select("session_id")
     sums = keys.join(retail.log.groupBy("session_id").agg(F.sum("quantity").alias("q")), "session_id", "left")
     guarded = scalars.nan_guard(sums, ["q"]).agg(F.count("*").alias("n"), F.sum("q").alias("total"))
     return guarded.withColumn("missing", scalars.nan_report(sums, ["q"]).scalar())
@@ -105,14 +105,14 @@ def nan_guard(retail):
 
 @query("debug_sample")
 def debug_sample(retail):
-    return text_date(clean.debug_sample(retail.sessions, 100), "sale_date")
+    return text_date(clean.debug_sample(retail.visits, 100), "sale_date")
 
 
 @query("exclude_return_sessions", twin("session log", f"""
 SELECT session_id, customer_id, store FROM session WHERE session_id NOT IN (
   SELECT session_id FROM log JOIN jan USING (jan) WHERE quantity <= 0 AND category IN ({BRAND_LIST}))"""))
 def exclude_return_sessions(retail):
-    return clean.exclude_return_sessions(retail.sessions.select("session_id", "customer_id", "store"),
+    return clean.exclude_return_sessions(retail.visits.select("session_id", "customer_id", "store"),
                                          retail.log, retail.products, list(BRANDS.values()))
 
 

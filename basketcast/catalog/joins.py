@@ -12,7 +12,7 @@ from basketcast.operators.assemble import assemble_features, split_long
 from basketcast.operators.encode import target_encode_oof
 from basketcast.operators.sequences import basket_triples, purchase_sequence
 from basketcast.operators.stats import customer_money, purchase_indicators, purchase_ratio, session_category_sum, session_money
-from basketcast.session import materialise
+from basketcast.session import materialise, store
 from basketcast.sources.surrogate import BRANDS
 
 MARGINAL_SQL = tuple(
@@ -38,13 +38,13 @@ def returns_with_product(retail):
 @query("restrict_to_sessions", twin("session log", """
 SELECT session_id, jan, quantity FROM log WHERE session_id IN (SELECT session_id FROM session WHERE split = 'train')"""))
 def restrict_to_sessions(retail):
-    return clean.restrict_to_sessions(retail.log.select("session_id", "jan", "quantity"), retail.sessions.filter("split = 'train'"))
+    return clean.restrict_to_sessions(retail.log.select("session_id", "jan", "quantity"), retail.visits.filter("split = 'train'"))
 
 
 @query("purchase_history", twin("fact", f"""
 SELECT session_id, {each('{t}')}, customer_id, CAST(sale_date AS VARCHAR) AS sale_date FROM target LEFT JOIN session USING (session_id)"""))
 def purchase_history(retail):
-    return text_date(clean.purchase_history(retail.targets, retail.sessions, ["customer_id", "sale_date"]), "sale_date")
+    return text_date(clean.purchase_history(retail.targets, retail.visits, ["customer_id", "sale_date"]), "sale_date")
 
 
 @query("attach_group_stats", twin("fact", f"""
@@ -87,10 +87,10 @@ def assembled(retail):
     base = materialise(dealt(retail))
     quantity = session_category_sum(clean.filter_returns(retail.log), retail.products, "quantity")
     indicators = purchase_indicators(quantity, list(BRANDS.values())).withColumnsRenamed({b: t for t, b in BRANDS.items()})
-    ratios = purchase_ratio(retail.sessions.filter("split = 'train'"), indicators, TARGETS, keys)
+    ratios = store(purchase_ratio(retail.history, indicators, TARGETS, keys), ["dimension"])
     kinds = {"customer_id": "bigint"}
     tables = {k: [split_long(ratios, TARGETS, k, "ratio_", kinds.get(k, "string"))] for k in keys}
-    calendar = weekday1_dom(retail.sessions.select("session_id", "sale_date", "hour")).drop("sale_date")
+    calendar = weekday1_dom(retail.visits.select("session_id", "sale_date", "hour")).drop("sale_date")
     out = assemble_features(base, tables, [calendar], {k: target_encode_oof(base, k, TARGETS) for k in LEVELS})
     names = [f"{k}_ratio_{t}" for k in keys for t in TARGETS]
     return out.select("session_id", "fold", "weekday1", "day_of_month", "hour",
@@ -107,7 +107,7 @@ JOIN baskets c ON c.customer_id = a.customer_id AND c.pos = a.pos + 2""",
       FROM fact WHERE split = 'train' AND {each('{t}', ' + ')} > 0)""",
     "items AS (SELECT customer_id, pos, unnest(items) AS item FROM baskets)"))
 def triples(retail):
-    out = basket_triples(purchase_sequence(retail.history, TARGETS))
+    out = basket_triples(purchase_sequence(retail.outcomes.filter("split = 'train'"), TARGETS))
     return out.select("customer_id", "pos", "c1", "c2", F.concat_ws(",", "third").alias("following"))
 
 
@@ -118,8 +118,8 @@ FROM session LEFT JOIN m USING (session_id) LEFT JOIN p USING (customer_id)""",
     "p AS (SELECT customer_id, CAST(sum(s) AS DOUBLE) / count(*) AS c FROM session JOIN m USING (session_id) WHERE split = 'train' GROUP BY customer_id)"))
 def dict_lookups(retail):
     stats = session_money(retail.log, ["amount"])
-    people = customer_money(stats, retail.sessions.filter("split = 'train'"), ["amount"])
+    people = customer_money(stats, retail.visits.filter("split = 'train'"), ["amount"])
     own = stats.select("session_id", F.col("amount_sum").cast("double").alias("session_amount"))
     theirs = people.select("customer_id", F.col("amount_sum").alias("customer_amount"))
-    return (retail.sessions.select("session_id", "customer_id").join(own, "session_id", "left").join(theirs, "customer_id", "left")
+    return (retail.visits.select("session_id", "customer_id").join(own, "session_id", "left").join(theirs, "customer_id", "left")
             .fillna(-1.0, subset=["session_amount", "customer_amount"]))

@@ -10,7 +10,7 @@ from basketcast.operators.boosting import oof_macro_auc
 from basketcast.operators.factorise import category_rows, nmf_fit, nmf_transform
 from basketcast.plans import boosted
 from basketcast.plans.session_tensors import session_tensors
-from basketcast.sources.surrogate import MONEY
+from basketcast.sources.surrogate import BRANDS, MONEY
 from basketcast.catalog.encoders import LEVELS
 from basketcast.catalog.sequences import retail_calendar
 
@@ -26,16 +26,11 @@ def nmf(retail):
         "customer_id", *[F.get("nmf", F.lit(i)).alias(f"w{i}") for i in range(8)])
 
 
-def learning_frame(retail):
+def learning_frame(retail, folds):
     train = retail.keep().history
     factors = boosted.fit_factors(retail.log, retail.products, train, dim=4, rounds=3)
-    tables = boosted.keyed_features(retail.log, retail.products, train, factors, list(retail_brands()))
-    return boosted.training_frame(retail.validation, tables, boosted.session_features(retail.sessions, LEVELS))
-
-
-def retail_brands():
-    from basketcast.sources.surrogate import BRANDS
-    return BRANDS.values()
+    tables = boosted.keyed_features(retail.log, retail.products, train, factors, list(BRANDS.values()))
+    return boosted.training_frame(retail.validation, tables, boosted.session_features(retail.sessions, LEVELS), folds=folds)
 
 
 ROUNDS = {"maxIter": 3, "maxDepth": 3}
@@ -43,13 +38,13 @@ ROUNDS = {"maxIter": 3, "maxDepth": 3}
 
 @query("boosted_multi_target")
 def boosted_multi_target(retail):
-    oof, _, _ = boosted.boosted_scores(learning_frame(retail), None, folds=2, params=ROUNDS)
+    oof, _, _ = boosted.boosted_scores(learning_frame(retail, 2), None, folds=2, params=ROUNDS)
     return oof.select("session_id", *[f"score_{t}" for t in TARGETS])
 
 
 @query("oof_cv_loop")
 def oof_cv_loop(retail):
-    oof, _, _ = boosted.boosted_scores(learning_frame(retail), None, folds=4, params=ROUNDS)
+    oof, _, _ = boosted.boosted_scores(learning_frame(retail, 4), None, folds=4, params=ROUNDS)
     return oof_macro_auc(oof, TARGETS)
 
 

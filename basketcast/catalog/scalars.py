@@ -87,16 +87,14 @@ def nth_friday(retail):
 @query("days_from_max", twin("session", """
 SELECT session_id, CAST(date_diff('day', sale_date, (SELECT max(sale_date) FROM session)) AS INTEGER) AS days_from_max FROM session"""))
 def days_from_max(retail):
-    base = retail.table("orders").select(F.col("o_orderkey").alias("session_id"), F.to_date("o_orderdate").alias("sale_date"))
-    return calendar.days_from_max(base).select("session_id", "days_from_max")
+    return calendar.days_from_max(retail.visits).select("session_id", "days_from_max")
 
 
 @query("time_decay_weight", twin("session", "SELECT session_id, " + ", ".join(
     f"round(exp(-{rate!r}::DOUBLE * date_diff('day', sale_date, (SELECT max(sale_date) FROM session))), 9) AS weight_{t}"
     for t, rate in DECAY_RATES.items()) + " FROM session"))
 def decay(retail):
-    base = retail.table("orders").select(F.col("o_orderkey").alias("session_id"), F.to_date("o_orderdate").alias("sale_date"))
-    weighted = time_decay_weight(base)
+    weighted = time_decay_weight(retail.visits)
     return weighted.select("session_id", *[F.round(f"weight_{t}", 9).alias(f"weight_{t}") for t in DECAY_RATES])
 
 
@@ -104,7 +102,7 @@ def decay(retail):
 SELECT session_id, hour / 24.0::DOUBLE AS hour_scaled, weekday / 6.0::DOUBLE AS weekday_scaled, day / 31.0::DOUBLE AS day_scaled,
        month / 12.0::DOUBLE AS month_scaled, time_period / 3.0::DOUBLE AS time_period_scaled FROM fact"""))
 def cyclic_scaling(retail):
-    scaled = scalars.cyclic_scaling(calendar.calendar_features(retail.sessions))
+    scaled = scalars.cyclic_scaling(calendar.calendar_features(retail.visits))
     return scaled.select("session_id", *[c for c in scaled.columns if c.endswith("_scaled")])
 
 
@@ -114,7 +112,7 @@ SELECT session_id, CAST(a AS DOUBLE) / (SELECT max(CAST(a AS DOUBLE)) FROM j WHE
     "j AS (SELECT session_id, hour, split, COALESCE(a, 0) AS a FROM session LEFT JOIN (SELECT session_id, sum(amount) AS a FROM log GROUP BY session_id) USING (session_id))"))
 def max_normalise(retail):
     sums = session_money(retail.log, ["amount"]).select("session_id", "amount_sum")
-    joined = retail.sessions.select("session_id", "hour", "split").join(sums, "session_id", "left").fillna(0, subset=["amount_sum"])
+    joined = retail.visits.select("session_id", "hour", "split").join(sums, "session_id", "left").fillna(0, subset=["amount_sum"])
     out = scalars.max_normalise(joined, ["amount_sum"], ["hour"], F.col("split") == "train")
     return out.select("session_id", F.col("amount_sum_scaled").alias("amount_scaled"), "hour_scaled")
 
@@ -136,5 +134,5 @@ def bitmask_stratum(retail):
 SELECT session_id, (dense_rank() OVER (ORDER BY store) - 1) / (SELECT CAST(count(DISTINCT store) AS DOUBLE) FROM session) AS store_scaled
 FROM session"""))
 def label_scaling(retail):
-    coded = label_transform(retail.sessions.select("session_id", "store"), label_encode(retail.sessions, "store"), "store")
+    coded = label_transform(retail.visits.select("session_id", "store"), label_encode(retail.visits, "store"), "store")
     return scalars.max_normalise(coded, codes=["code"]).select("session_id", F.col("code_scaled").alias("store_scaled"))

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from basketcast.catalog.aggregates import embeddings
+from basketcast.functions.calendar import calendar_features
 from basketcast.catalog.registry import each, query, text_date, twin
 from basketcast.constants import TARGETS
 from basketcast.operators import sequences
@@ -28,37 +29,40 @@ ORDERED_SQL = """
 ordered AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY customer_id, split ORDER BY sale_date, hour, session_id) - 1 AS pos FROM session)"""
 
 
+def train_outcomes(retail):
+    return retail.outcomes.filter("split = 'train'")
+
+
 @query("purchase_sequence", twin("fact", """
 SELECT customer_id, session_id, CAST(pos AS BIGINT) AS pos, array_to_string(items, ',') AS basket FROM baskets""", BASKET_SQL))
 def purchase_sequence(retail):
-    out = sequences.purchase_sequence(retail.history, TARGETS)
+    out = sequences.purchase_sequence(train_outcomes(retail), TARGETS)
     return out.select("customer_id", "session_id", "pos", F.concat_ws(",", "basket").alias("basket"))
 
 
 @query("sequence_patterns", twin("fact", f"SELECT c1, c2, CAST(total AS BIGINT) AS total, {each('p_{t}')} FROM patterns", BASKET_SQL, PATTERN_SQL))
 def sequence_patterns(retail):
-    return sequences.sequence_patterns(sequences.purchase_sequence(retail.history, TARGETS), TARGETS)
+    return sequences.sequence_patterns(sequences.purchase_sequence(train_outcomes(retail), TARGETS), TARGETS)
 
 
 @query("latest_sequence", twin("fact", "SELECT customer_id, c1, c2 FROM latest", BASKET_SQL, LATEST_SQL))
 def latest_sequence(retail):
-    return sequences.latest_sequence(retail.history, TARGETS)
+    return sequences.latest_sequence(train_outcomes(retail), TARGETS)
 
 
 @query("sequence_score", twin("fact", f"""
 SELECT session_id, {each('COALESCE(p_{t}, 0) AS p_{t}')} FROM fact LEFT JOIN latest USING (customer_id) LEFT JOIN patterns USING (c1, c2)
 WHERE split = 'valid'""", BASKET_SQL, PATTERN_SQL, LATEST_SQL))
 def sequence_score(retail):
-    retail.keep()
-    patterns = sequences.sequence_patterns(sequences.purchase_sequence(retail.history, TARGETS), TARGETS)
-    out = sequences.sequence_score(retail.validation.select("session_id", "customer_id"),
-                                   sequences.latest_sequence(retail.history, TARGETS), patterns, TARGETS)
+    patterns = sequences.sequence_patterns(sequences.purchase_sequence(train_outcomes(retail), TARGETS), TARGETS)
+    out = sequences.sequence_score(retail.visits.filter("split = 'valid'").select("session_id", "customer_id"),
+                                   sequences.latest_sequence(train_outcomes(retail), TARGETS), patterns, TARGETS)
     return out.drop("customer_id")
 
 
 @query("customer_sessions", twin("session", "SELECT customer_id, split, session_id, CAST(pos AS BIGINT) AS pos FROM ordered", ORDERED_SQL))
 def customer_sessions(retail):
-    return sequences.customer_sessions(retail.sessions).select("customer_id", "split", "session_id", "pos")
+    return sequences.customer_sessions(retail.visits).select("customer_id", "split", "session_id", "pos")
 
 
 WINDOW_SQL = """
@@ -68,7 +72,7 @@ windows AS (SELECT a.customer_id, a.pos AS start, string_agg(CAST(b.session_id A
 
 
 def train_windows(retail):
-    return sequences.sliding_windows(sequences.customer_sessions(retail.sessions.filter("split = 'train'")))
+    return sequences.sliding_windows(sequences.customer_sessions(retail.visits.filter("split = 'train'")))
 
 
 @query("sliding_windows", twin("session", "SELECT customer_id, CAST(start AS BIGINT) AS start, session_id, steps FROM windows", ORDERED_SQL, WINDOW_SQL))
@@ -99,12 +103,12 @@ def padded(windows):
 
 @query("valid_history", twin("session", history_sql("valid", "'train'")))
 def valid_history(retail):
-    return padded(sequences.recent_history(retail.sessions.filter("split = 'valid'"), retail.sessions.filter("split = 'train'")))
+    return padded(sequences.recent_history(retail.visits.filter("split = 'valid'"), retail.visits.filter("split = 'train'")))
 
 
 @query("test_history", twin("session", history_sql("test", "'train', 'valid'")))
 def test_history(retail):
-    return padded(sequences.recent_history(retail.sessions.filter("split = 'test'"), retail.sessions.filter("split in ('train', 'valid')")))
+    return padded(sequences.recent_history(retail.visits.filter("split = 'test'"), retail.visits.filter("split in ('train', 'valid')")))
 
 
 @query("step_features")
@@ -115,7 +119,6 @@ def step_features(retail):
 
 
 def retail_calendar(retail):
-    from basketcast.functions.calendar import calendar_features
     return calendar_features(retail.sessions).drop("holiday_or_weekend")
 
 

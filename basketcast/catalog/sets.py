@@ -14,7 +14,7 @@ from basketcast.operators.stats import top_categories as top
 
 @query("multi_key_sort", twin("session", "SELECT customer_id, CAST(sale_date AS VARCHAR) AS sale_date, hour, session_id FROM session"))
 def multi_key_sort(retail):
-    return text_date(overlap.multi_key_sort(retail.sessions.select("customer_id", "sale_date", "hour", "session_id")), "sale_date")
+    return text_date(overlap.multi_key_sort(retail.visits.select("customer_id", "sale_date", "hour", "session_id")), "sale_date")
 
 
 @query("top_categories", twin("log", """
@@ -37,7 +37,7 @@ def worst_segments(retail):
 
 @query("union_all", twin("session", "SELECT session_id, customer_id, store FROM session"))
 def union_all(retail):
-    base = retail.sessions.select("session_id", "customer_id", "store", "split")
+    base = retail.visits.select("session_id", "customer_id", "store", "split")
     parts = [base.filter(F.col("split") == s).drop("split") for s in overlap.SPLITS]
     return overlap.union_all(*parts)
 
@@ -46,7 +46,7 @@ def union_all(retail):
 SELECT a || '_' || b AS pair, CAST(count(DISTINCT session_id) AS BIGINT) AS shared FROM (VALUES ('train', 'valid'), ('train', 'test'), ('valid', 'test')) v(a, b)
 LEFT JOIN (SELECT x.session_id, x.split AS s1, y.split AS s2 FROM session x JOIN session y ON x.session_id = y.session_id) ON s1 = a AND s2 = b GROUP BY a, b"""))
 def split_overlap(retail):
-    return overlap.split_overlap(retail.sessions)
+    return overlap.split_overlap(retail.visits)
 
 
 @query("customer_overlap", twin("session", """
@@ -55,9 +55,9 @@ SELECT CAST(count_if(t AND v) AS BIGINT) AS train_valid, CAST(count_if(t AND x)
        CAST(count_if(x AND NOT t AND NOT v) AS BIGINT) AS test_only
 FROM (SELECT customer_id, bool_or(split = 'train') AS t, bool_or(split = 'valid') AS v, bool_or(split = 'test') AS x FROM session GROUP BY customer_id)"""))
 def customer_overlap(retail):
-    return overlap.customer_overlap(retail.sessions)
+    return overlap.customer_overlap(retail.visits)
 
 
 @query("distinct_map", twin("session", "SELECT DISTINCT session_id, customer_id FROM session"))
 def distinct_map(retail):
-    return overlap.distinct_map(retail.sessions)
+    return overlap.distinct_map(retail.visits)

@@ -26,13 +26,13 @@ def load_tables(retail):
 @query("date_parsing_read", twin("session", """
 SELECT CAST(sale_date AS VARCHAR) AS sale_date, CAST(count(*) AS BIGINT) AS n FROM session GROUP BY sale_date"""))
 def date_parsing_read(retail):
-    return text_date(retail.sessions.groupBy("sale_date").agg(F.count("*").alias("n")), "sale_date")
+    return text_date(retail.visits.groupBy("sale_date").agg(F.count("*").alias("n")), "sale_date")
 
 
 @query("attach_targets", twin("target", f"""
 SELECT session_id, customer_id, {each('{t}')} FROM session LEFT JOIN target USING (session_id)"""))
 def attach_targets(retail):
-    return tables.attach_targets(retail.sessions.select("session_id", "customer_id"), retail.targets, TARGETS)
+    return tables.attach_targets(retail.visits.select("session_id", "customer_id"), retail.targets, TARGETS)
 
 
 @query("restore_order", twin("fact", """
@@ -40,9 +40,9 @@ SELECT o.ord, o.session_id, COALESCE(CAST(f.choc + f.beer + f.hair + f.rice AS D
 FROM (SELECT session_id, ROW_NUMBER() OVER (PARTITION BY customer_id ORDER BY session_id DESC) AS ord FROM session) o
 LEFT JOIN (SELECT * FROM fact WHERE split = 'test') f USING (session_id)"""))
 def restore_order(retail):
-    order = retail.sessions.select("session_id", F.row_number().over(
+    order = retail.visits.select("session_id", F.row_number().over(
         Window.partitionBy("customer_id").orderBy(F.desc("session_id"))).cast("long").alias("ord"))
-    scores = retail.facts.filter("split = 'test'").select(
+    scores = retail.outcomes.filter("split = 'test'").select(
         "session_id", sum((F.col(t) for t in TARGETS), F.lit(0)).cast("double").alias("score"))
     return sinks.restore_order(scores, order).withColumn("score", F.coalesce("score", F.lit(-1.0)))
 
@@ -51,7 +51,7 @@ def restore_order(retail):
 SELECT customer_id, session_id, store, hour FROM (
   SELECT *, ROW_NUMBER() OVER (PARTITION BY customer_id ORDER BY session_id DESC) AS r FROM session) WHERE r = 1"""))
 def dedupe_keep_last(retail):
-    return sinks.dedupe_keep_last(retail.sessions.select("customer_id", "session_id", "store", "hour"),
+    return sinks.dedupe_keep_last(retail.visits.select("customer_id", "session_id", "store", "hour"),
                                   "customer_id", "session_id")
 
 
@@ -79,7 +79,7 @@ def prefixed(retail):
 
 @query("preview_head", twin("session", "SELECT session_id, customer_id, store FROM session ORDER BY session_id LIMIT 5"))
 def preview_head(retail):
-    return sinks.preview_head(retail.sessions.select("session_id", "customer_id", "store"), ["session_id"])
+    return sinks.preview_head(retail.visits.select("session_id", "customer_id", "store"), ["session_id"])
 
 
 @query("row_alignment_check", twin("target", """
@@ -89,4 +89,4 @@ SELECT CAST((SELECT count(*) FROM session) AS BIGINT) AS session_rows,
        CAST((SELECT count(*) FROM target WHERE session_id NOT IN (SELECT session_id FROM session)) AS BIGINT) AS targets_without_session,
        CAST((SELECT count(*) FROM (SELECT session_id FROM session GROUP BY session_id HAVING count(*) > 1)) AS BIGINT) AS repeated_keys"""))
 def row_alignment_check(retail):
-    return tables.alignment_report(retail.sessions, retail.targets)
+    return tables.alignment_report(retail.visits, retail.targets)

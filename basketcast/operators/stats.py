@@ -148,11 +148,10 @@ def recency_asof(sessions: DataFrame, history: DataFrame, targets: Sequence[str]
     History is reduced to one row per customer and day first, so the running
     window is bounded by the calendar, whatever the size of a customer.
     """
-    days = history.groupBy(customer, date).agg(
-        *[F.count(F.when(F.col(t) > 0, 1)).alias(t) for t in targets])
-    # Dates that only occur in ``sessions`` need a row as well.
-    dates = sessions.select(customer, date).distinct()
-    cells = dates.join(days, [customer, date], "full")
+    # Dates that only occur in ``sessions`` need a row as well: they count 0.
+    asked = sessions.select(customer, date, *[F.lit(0).alias(t) for t in targets])
+    known = history.select(customer, date, *[(F.col(t) > 0).cast("int").alias(t) for t in targets])
+    cells = asked.unionByName(known).groupBy(customer, date).agg(*[F.sum(t).alias(t) for t in targets])
     before = (Window.partitionBy(customer).orderBy(date)
               .rowsBetween(Window.unboundedPreceding, -1))
     past = cells.select(customer, date, *[f for t in targets for f in (

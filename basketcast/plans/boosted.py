@@ -20,7 +20,7 @@ from basketcast.operators.folds import attach_fold, stratified_group_folds
 from basketcast.operators.stats import (attribute_mean_embedding, category_matrix, category_names,
                                         customer_category_matrix, purchase_indicators, purchase_ratio,
                                         session_category_sum)
-from basketcast.session import materialise
+from basketcast.session import materialise, store
 
 KEYS = ("customer_id", "gender", "age_band", "store")
 ENCODED = ("store", "gender", "age_band")
@@ -43,7 +43,8 @@ def fit_factors(log: DataFrame, products: DataFrame, window: DataFrame, dim: int
     basis, factor = {}, {}
     for value in VALUES:
         sums = session_category_sum(filter_returns(log), products, value)
-        sessions = category_rows(category_matrix(sums, "session_id", names, value), "session_id", names)
+        # Spark reads the rows more than once while it adds up the Gram matrix.
+        sessions = store(category_rows(category_matrix(sums, "session_id", names, value), "session_id", names))
         basis[value] = svd_fit(sessions, len(names), dim)[0]
         people = category_rows(customer_category_matrix(window, sums, names, value), "customer_id", names)
         factor[value] = nmf_fit(people, len(names), min(dim, len(names)), rounds)[0]
@@ -60,8 +61,8 @@ def keyed_features(log: DataFrame, products: DataFrame, window: DataFrame, facto
         sums = session_category_sum(filter_returns(log), products, value)
         dim = factors.basis[value].shape[1]
         sessions = category_rows(category_matrix(sums, "session_id", names, value), "session_id", names)
-        means = spread(attribute_mean_embedding(window, project(sessions, factors.basis[value], "session_id"), dim, KEYS),
-                       "embedding", dim, f"svd_{value}_")
+        means = store(spread(attribute_mean_embedding(window, project(sessions, factors.basis[value], "session_id"), dim, KEYS),
+                             "embedding", dim, f"svd_{value}_"), ["dimension"])
         for k in KEYS:
             tables[k].append(split_long(means, [f"svd_{value}_{i}" for i in range(dim)], k, "", kinds[k]))
         people = category_rows(customer_category_matrix(window, sums, names, value), "customer_id", names)
@@ -70,11 +71,11 @@ def keyed_features(log: DataFrame, products: DataFrame, window: DataFrame, facto
                                             "nmf", rank, f"nmf_{value}_"))
     quantity = session_category_sum(filter_returns(log), products, "quantity")
     indicators = purchase_indicators(quantity, ratio_names)
-    ratios = purchase_ratio(window, indicators, ratio_names, KEYS)
+    # Four tables are cut from each long one: write it once, by dimension.
+    ratios = store(purchase_ratio(window, indicators.withColumnsRenamed(
+        {n: f"r{i}" for i, n in enumerate(ratio_names)}), [f"r{i}" for i in range(len(ratio_names))], KEYS), ["dimension"])
     for k in KEYS:
-        ratio = split_long(ratios, ratio_names, k, "ratio_", kinds[k])
-        tables[k].append(ratio.withColumnsRenamed(
-            {f"{k}_ratio_{n}": f"{k}_ratio_{i}" for i, n in enumerate(ratio_names)}))
+        tables[k].append(split_long(ratios, [f"r{i}" for i in range(len(ratio_names))], k, "ratio_", kinds[k]))
     return tables
 
 

@@ -33,17 +33,22 @@ class Retail:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
     @cached_property
-    def sessions(self) -> DataFrame:
-        people = (self.table("customer")
-                  .join(self.table("nation"), F.col("c_nationkey") == F.col("n_nationkey"), "left")
-                  .join(self.table("region"), F.col("n_regionkey") == F.col("r_regionkey"), "left")
-                  .select("c_custkey", F.col("c_mktsegment").alias("age_band"), F.col("r_name").alias("gender")))
-        orders = self.table("orders").select(
+    def visits(self) -> DataFrame:
+        """Sessions without their customer's attributes: no join at all."""
+        return self.table("orders").select(
             F.col("o_orderkey").alias("session_id"), F.col("o_custkey").alias("customer_id"),
             F.to_date("o_orderdate").alias("sale_date"), (F.col("o_orderkey") % 24).cast("int").alias("hour"),
-            F.col("o_orderpriority").alias("store"))
-        return (orders.join(people, F.col("customer_id") == F.col("c_custkey"), "left").drop("c_custkey")
-                .withColumn("split", temporal_split(TRAIN_END, VALID_END)))
+            F.col("o_orderpriority").alias("store")).withColumn("split", temporal_split(TRAIN_END, VALID_END))
+
+    def with_attributes(self, visits: DataFrame) -> DataFrame:
+        places = self.table("nation").join(self.table("region"), F.col("n_regionkey") == F.col("r_regionkey"), "left")
+        people = (self.table("customer").join(places, F.col("c_nationkey") == F.col("n_nationkey"), "left")
+                  .select("c_custkey", F.col("c_mktsegment").alias("age_band"), F.col("r_name").alias("gender")))
+        return visits.join(people, F.col("customer_id") == F.col("c_custkey"), "left").drop("c_custkey")
+
+    @cached_property
+    def sessions(self) -> DataFrame:
+        return self.with_attributes(self.visits)
 
     @cached_property
     def log(self) -> DataFrame:
@@ -63,21 +68,29 @@ class Retail:
 
     @cached_property
     def kept_targets(self) -> DataFrame:
-        """Target flags of sessions with a kept line of a target's brand."""
+        """Target flags of sessions with a kept line of a target's brand.
+
+        The filter is spelled on the stored columns, so that the scan can use it.
+        """
         wanted = self.products.filter(F.col("category").isin(*BRANDS.values())).select("jan", "category")
-        return (self.log.filter(F.col("quantity") > 0).select("session_id", "jan").join(wanted, "jan")
+        kept = self.table("lineitem").filter((F.col("l_returnflag") != "R") & (F.col("l_quantity") > 0))
+        return (kept.select(F.col("l_orderkey").alias("session_id"), F.col("l_partkey").alias("jan")).join(wanted, "jan")
                 .groupBy("session_id").agg(*[
                     F.max((F.col("category") == b).cast("int")).alias(t) for t, b in BRANDS.items()]))
 
+    @cached_property
+    def outcomes(self) -> DataFrame:
+        """Visits with their target flags."""
+        return self.visits.join(self.kept_targets, "session_id", "left").fillna(0, subset=list(TARGETS))
+
     @cached_property
     def targets(self) -> DataFrame:
         """Target flags of every session."""
-        return (self.table("orders").select(F.col("o_orderkey").alias("session_id"))
-                .join(self.kept_targets, "session_id", "left").fillna(0, subset=list(TARGETS)))
+        return self.outcomes.select("session_id", *TARGETS)
 
     @cached_property
     def base(self) -> DataFrame:
-        return self.sessions.join(self.kept_targets, "session_id", "left").fillna(0, subset=list(TARGETS))
+        return self.with_attributes(self.outcomes)
 
     def keep(self) -> "Retail":
         """Write the session facts once, for queries that read them repeatedly."""
