@@ -10,6 +10,7 @@ from basketcast.functions.calendar import weekday1_dom
 from basketcast.operators import bayes, clean
 from basketcast.operators.assemble import assemble_features, split_long
 from basketcast.operators.encode import target_encode_oof
+from basketcast.operators.skew import join_statistics
 from basketcast.operators.sequences import basket_triples, purchase_sequence
 from basketcast.operators.stats import customer_money, purchase_indicators, purchase_ratio, session_category_sum, session_money
 from basketcast.session import materialise, store
@@ -52,7 +53,7 @@ SELECT session_id, {each('CAST(COALESCE(n_{t}, 0) AS BIGINT) AS {t}_count, CAST(
 FROM pred LEFT JOIN seg USING (age_band, gender, store) LEFT JOIN cust USING (customer_id)""", HISTORY_SQL, VALID_SQL, SEGMENT_SQL, CUSTOMER_SQL))
 def attach_group_stats(retail):
     retail.keep()
-    segments = bayes.bayes_counts(retail.history, ("age_band", "gender", "store"), TARGETS)
+    segments = bayes.segment_stats(retail.history, TARGETS)
     people = bayes.bayes_counts(retail.history, ["customer_id"], TARGETS)
     out = bayes.attach_group_stats(retail.validation, segments, people, TARGETS)
     return out.select("session_id", *[f"{t}_{s}" for t in TARGETS for s in ("count", "sum", "count_customer", "sum_customer")])
@@ -121,5 +122,5 @@ def dict_lookups(retail):
     people = customer_money(stats, retail.visits.filter("split = 'train'"), ["amount"])
     own = stats.select("session_id", F.col("amount_sum").cast("double").alias("session_amount"))
     theirs = people.select("customer_id", F.col("amount_sum").alias("customer_amount"))
-    return (retail.visits.select("session_id", "customer_id").join(own, "session_id", "left").join(theirs, "customer_id", "left")
+    return (join_statistics(retail.visits.select("session_id", "customer_id"), theirs, "customer_id").join(own, "session_id", "left")
             .fillna(-1.0, subset=["session_amount", "customer_amount"]))

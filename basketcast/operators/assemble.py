@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from basketcast.operators.skew import heavy_keys, join_statistics
 from basketcast.session import broadcast_if_small, materialise
 
 
@@ -30,14 +31,16 @@ def assemble_features(sessions: DataFrame, by_key: Mapping[str, Sequence[DataFra
 
     Tables that share a key are merged first, so each key is joined once. The
     tables of ``small_keys`` and the encodings are stored and broadcast when
-    their row count proves small; customers and sessions are joined by shuffle.
+    their row count proves small; customers are joined by shuffle with hot
+    ones salted, sessions by shuffle.
     """
     out = sessions
     for key, tables in by_key.items():
         merged = merge_by_key(tables, key)
         if key in small_keys:
-            merged = broadcast_if_small(materialise(merged))
-        out = out.join(merged, key, "left")
+            out = out.join(broadcast_if_small(materialise(merged)), key, "left")
+        else:
+            out = join_statistics(out, merged, key, heavy_keys(sessions, key))
     for table in by_session:
         out = out.join(table, "session_id", "left")
     for key, table in (encodings or {}).items():

@@ -11,6 +11,7 @@ from basketcast.constants import (ATTRIBUTES, BLEND_WEIGHTS, CORRELATION_PAIRS,
                                   MODEL_BLEND)
 from basketcast.functions.scalars import clip01
 from basketcast.operators.encode import bin_lookup, decile_edges
+from basketcast.operators.skew import HeavyKeys, join_statistics
 from basketcast.operators.stats import overall_mean
 from basketcast.session import broadcast_if_small, materialise, one_row, row_counts
 
@@ -40,13 +41,22 @@ def bayes_counts(history: DataFrame, keys: Sequence[str], targets: Sequence[str]
         *[f for t in targets for f in (count(t).alias(f"{t}_count"), total(t).alias(f"{t}_sum"))])
 
 
+def segment_stats(history: DataFrame, targets: Sequence[str], attributes: Sequence[str] = ATTRIBUTES,
+                  weights: Mapping[str, str] | None = None) -> DataFrame:
+    """Stored counts per segment, broadcast when they prove small.
+
+    A shuffle join would send all sessions of a segment to one task.
+    """
+    return broadcast_if_small(materialise(bayes_counts(history, attributes, targets, weights)))
+
+
 def attach_group_stats(sessions: DataFrame, segment_counts: DataFrame, customer_counts: DataFrame,
                        targets: Sequence[str], attributes: Sequence[str] = ATTRIBUTES,
-                       customer: str = "customer_id") -> DataFrame:
+                       customer: str = "customer_id", heavy: HeavyKeys | None = None) -> DataFrame:
     """Segment and customer counts next to each session, 0 where unknown."""
     names = [f"{t}_{s}" for t in targets for s in ("count", "sum")]
     theirs = customer_counts.withColumnsRenamed({n: f"{n}_customer" for n in names})
-    joined = sessions.join(segment_counts, list(attributes), "left").join(theirs, customer, "left")
+    joined = join_statistics(sessions, theirs, customer, heavy).join(segment_counts, list(attributes), "left")
     return joined.fillna(0, subset=[*names, *[f"{n}_customer" for n in names]])
 
 
@@ -67,16 +77,17 @@ def posterior(target: str, confidence: Column | float, overall: Column) -> Colum
 def bayes_posterior(history: DataFrame, sessions: DataFrame, targets: Sequence[str],
                     confidence: Mapping[str, float], attributes: Sequence[str] = ATTRIBUTES,
                     customer: str = "customer_id", segment_counts: DataFrame | None = None,
-                    overall: DataFrame | None = None, weights: Mapping[str, str] | None = None) -> DataFrame:
+                    overall: DataFrame | None = None, weights: Mapping[str, str] | None = None,
+                    heavy: HeavyKeys | None = None) -> DataFrame:
     """Sessions with one posterior ``bayes_{t}`` per target.
 
     Segment counts and the overall mean may be passed in when already known.
     """
-    segments = segment_counts if segment_counts is not None else bayes_counts(
-        history, attributes, targets, weights)
+    segments = segment_counts if segment_counts is not None else segment_stats(
+        history, targets, attributes, weights)
     customers = bayes_counts(history, [customer], targets, weights)
     means = one_row(overall if overall is not None else overall_mean(history, targets))
-    joined = attach_group_stats(sessions, segments, customers, targets, attributes, customer)
+    joined = attach_group_stats(sessions, segments, customers, targets, attributes, customer, heavy)
     return joined.withColumn("_overall", means).select(*sessions.columns, *[
         posterior(t, confidence[t], F.col("_overall")[t]).alias(f"bayes_{t}") for t in targets])
 

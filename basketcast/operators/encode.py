@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from basketcast.operators.stats import category_levels
+from basketcast.session import broadcast_if_small, materialise
 
 
 def one_hot(df: DataFrame, columns: Sequence[str], levels: dict[str, list[str]] | None = None) -> DataFrame:
@@ -19,18 +20,19 @@ def one_hot(df: DataFrame, columns: Sequence[str], levels: dict[str, list[str]]
 
 
 def label_encode(df: DataFrame, column: str, name: str = "code") -> DataFrame:
-    """Code table of the sorted distinct values: 0 .. n-1.
+    """Fitted code table of the sorted distinct values: 0 .. n-1.
 
-    The window has no key, but holds one row per distinct label only.
+    The window has no key, but holds one row per distinct label only. The table
+    is stored, as a fitted encoder is used on several frames.
     """
     labels = df.select(column).dropna().distinct()
-    return labels.withColumn(name, F.row_number().over(Window.orderBy(column)) - 1)
+    return materialise(labels.withColumn(name, F.row_number().over(Window.orderBy(column)) - 1))
 
 
 def label_transform(df: DataFrame, codes: DataFrame, column: str, name: str = "code",
                     unknown: int = -1) -> DataFrame:
     """Look codes up; values not seen while fitting get ``unknown``."""
-    return df.join(codes, column, "left").withColumn(name, F.coalesce(name, F.lit(unknown)))
+    return df.join(broadcast_if_small(codes), column, "left").withColumn(name, F.coalesce(name, F.lit(unknown)))
 
 
 def target_encode_oof(df: DataFrame, category: str, targets: Sequence[str], fold: str = "fold",

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from basketcast.operators.bayes import (attach_group_stats, bayes_counts, error_by_dimension, long_scores,
-                                        posterior)
+                                        posterior, segment_stats)
 from basketcast.operators.encode import exact_quantiles
 from basketcast.operators.stats import overall_mean
 from basketcast.session import one_row
@@ -90,7 +90,7 @@ def confidence_scores(history: DataFrame, validation: DataFrame, targets: Sequen
     with equal counts share every posterior; they are merged before the grid
     multiplies the rows.
     """
-    segments = bayes_counts(history, ("age_band", "gender", "store"), targets)
+    segments = segment_stats(history, targets)
     customers = bayes_counts(history, ("customer_id",), targets)
     joined = attach_group_stats(validation, segments, customers, targets)
     names = ("count", "sum", "count_customer", "sum_customer")

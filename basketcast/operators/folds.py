@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from basketcast.constants import FOLDS
 from basketcast.functions.scalars import bitmask_stratum
 from basketcast.operators.ordering import with_position
+from basketcast.operators.skew import join_statistics
 
 
 def stratified_group_folds(sessions: DataFrame, targets: Sequence[str], folds: int = FOLDS,
@@ -32,4 +33,4 @@ def stratified_group_folds(sessions: DataFrame, targets: Sequence[str], folds: i
 
 
 def attach_fold(sessions: DataFrame, folds: DataFrame, customer: str = "customer_id") -> DataFrame:
-    return sessions.join(folds.select(customer, "fold"), customer, "left")
+    return join_statistics(sessions, folds.select(customer, "fold"), customer)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from basketcast.constants import RANDOM_CUT, SEQUENCE_LENGTH, SEQUENCE_SUPPORT
 from basketcast.functions.scalars import CYCLE_DIVISORS
 from basketcast.operators.ordering import BLOCK_ROWS, halo_blocks, last_rows, with_position
+from basketcast.operators.skew import HeavyKeys, heavy_keys, join_statistics
 from basketcast.session import one_row
 
 # Calendar cells of a customer's history, in time order.
@@ -83,14 +84,14 @@ def latest_sequence(history: DataFrame, targets: Sequence[str], customer: str =
 
 
 def sequence_score(sessions: DataFrame, latest: DataFrame, patterns: DataFrame, targets: Sequence[str],
-                   customer: str = "customer_id") -> DataFrame:
+                   customer: str = "customer_id", heavy: HeavyKeys | None = None) -> DataFrame:
     """Pattern share of a customer's latest pair; 0 without a pair or pattern.
 
     Patterns have one row per ordered pair of targets, so they are broadcast.
     """
     scored = latest.join(F.broadcast(patterns.select("c1", "c2", *[f"p_{t}" for t in targets])),
                          ["c1", "c2"]).drop("c1", "c2")
-    return sessions.join(scored, customer, "left").fillna(0.0, subset=[f"p_{t}" for t in targets])
+    return join_statistics(sessions, scored, customer, heavy).fillna(0.0, subset=[f"p_{t}" for t in targets])
 
 
 # --- session windows ------------------------------------------------------
@@ -106,10 +107,13 @@ def sliding_windows(numbered: DataFrame, length: int = SEQUENCE_LENGTH, customer
     """Every run of ``length`` consecutive sessions, oldest first.
 
     ``start`` is the position of the first one. Shorter histories give none.
+    ``step`` names what a step holds: the session id, or its feature vector.
     """
     blocks = halo_blocks(numbered, reach_back=length - 1, block_rows=block_rows)
     run = (Window.partitionBy(customer, "block").orderBy("pos").rowsBetween(-(length - 1), 0))
-    return (blocks.withColumn("steps", F.collect_list(step).over(run))
+    # Wrapped in a struct, because collecting drops nulls.
+    steps = F.transform(F.collect_list(F.struct(step)).over(run), lambda s: s[step])
+    return (blocks.withColumn("steps", steps)
             .filter((F.size("steps") == length) & F.col("owned"))
             .select(customer, (F.col("pos") - (length - 1)).alias("start"), "session_id", "steps"))
 
@@ -131,7 +135,7 @@ def random_cut(windows: DataFrame, probability: float = RANDOM_CUT, seed: int =
     span = F.col("_last") - F.col("start") + 1
     moved = F.col("start") + F.floor(draw(2) * span).cast("long")
     chosen = F.when((draw(1) < probability) & (F.col("start") > 0), moved).otherwise(F.col("start"))
-    picks = windows.select(customer, "start").join(last, customer).select(
+    picks = join_statistics(windows.select(customer, "start", "session_id"), last, customer).select(
         customer, F.col("start").alias("origin"), chosen.alias("start"))
     return picks.join(windows, [customer, "start"])
 
@@ -146,9 +150,8 @@ def recent_history(current: DataFrame, history: DataFrame, length: int = SEQUENC
     columns = list(dict.fromkeys([customer, step, *order]))
     newest = last_rows(history.select(*columns), [customer], list(order), length - 1)
     kept = newest.groupBy(customer).agg(*[
-        F.max(F.when(F.col("back") == b, F.struct(step))).alias(f"_h{b}") for b in range(1, length)])
-    joined = current.select(customer, "session_id", *([step] if step != "session_id" else [])).join(
-        kept, customer, "left")
+        F.first(F.when(F.col("back") == b, F.struct(step)), ignorenulls=True).alias(f"_h{b}") for b in range(1, length)])
+    joined = join_statistics(current.select(customer, "session_id", *([step] if step != "session_id" else [])), kept, customer)
     past = [F.col(f"_h{b}")[step] for b in range(length - 1, 0, -1)]
     return joined.select(customer, "session_id", F.array(*past, F.col(step)).alias("steps"))
 
@@ -184,9 +187,10 @@ def step_features(sessions: DataFrame, embeddings: DataFrame, session_stats: Dat
     # One row per kind of history.
     defaults = F.broadcast(fallback.select(F.col("known").alias("money_from"),
                                            *[F.col(c).alias(f"d_{c}") for c in money]))
-    joined = (sessions.join(embeddings.select("session_id", "embedding"), "session_id", "left")
-              .join(own, "session_id", "left").join(theirs, [customer, "money_from"], "left")
-              .join(defaults, "money_from", "left"))
+    heavy = heavy_keys(sessions, customer)
+    joined = (join_statistics(sessions, theirs, customer, heavy, ["money_from"])
+              .join(embeddings.select("session_id", "embedding"), "session_id", "left")
+              .join(own, "session_id", "left").join(defaults, "money_from", "left"))
     # A default counts as money of the customer, as long as there is one.
     known = F.coalesce(f"c_{money[0]}", f"d_{money[0]}").isNotNull()
     filled = joined.withColumns(
@@ -196,8 +200,8 @@ def step_features(sessions: DataFrame, embeddings: DataFrame, session_stats: Dat
            "embedding": F.coalesce("embedding", F.array_repeat(F.lit(0.0), dim))})
     # Maxima of the sessions' inputs, without the joins that no maximum needs.
     fitted = sessions.filter(fit_on).select("session_id", customer, "money_from", *codes)
-    numbers = (fitted.join(own, "session_id", "left").join(theirs, [customer, "money_from"], "left")
-               .join(defaults, "money_from", "left"))
+    numbers = (join_statistics(fitted, theirs, customer, heavy, ["money_from"])
+               .join(own, "session_id", "left").join(defaults, "money_from", "left"))
     limits = one_row(numbers.agg(
         *[F.max(F.coalesce(c, F.lit(0.0))).alias(c) for c in s_cols],
         *[F.max(F.coalesce(f"c_{c}", f"d_{c}", F.lit(0.0))).alias(f"c_{c}") for c in money],
@@ -229,23 +233,17 @@ def without_own_basket(features: Column, money: Sequence[str], dim: int) -> Colu
                     F.array(F.lit(0.0)), customer_flag)
 
 
-def window_features(windows: DataFrame, vectors: DataFrame, money: Sequence[str], dim: int,
-                    mask_last: bool = True) -> DataFrame:
-    """Windows of session ids to windows of feature vectors, padded with zeros.
+def window_features(windows: DataFrame, money: Sequence[str], dim: int, mask_last: bool = True) -> DataFrame:
+    """Windows of step vectors, with zeros for missing steps.
 
-    Steps are joined one by one on the session id and put back in order, so
-    long histories never sit together. ``mask_last`` hides the basket and money
-    of the last step, the session that is to be predicted.
+    ``mask_last`` hides the basket and money of the last step, the session that
+    is to be predicted. A projection: nothing is shuffled here.
     """
     zeros = F.array_repeat(F.lit(0.0), step_width(money, dim))
-    placed = windows.select("*", F.posexplode("steps").alias("step", "step_session"))
-    known = vectors.select(F.col("session_id").alias("step_session"), F.col("features").alias("_f"))
-    value = F.coalesce("_f", zeros)
-    if mask_last:
-        is_last = F.col("step") == F.size("steps") - 1
-        value = F.when(is_last, without_own_basket(value, money, dim)).otherwise(value)
-    joined = placed.join(known, "step_session", "left").withColumn("_v", value)
-    keys = [c for c in windows.columns if c != "steps"]
-    return (joined.groupBy(*keys)
-            .agg(F.array_sort(F.collect_list(F.struct("step", "_v"))).alias("_s"))
-            .select(*keys, F.transform("_s", lambda s: s["_v"]).alias("steps")))
+    last = F.size("steps") - 1
+
+    def step(vector: Column, index: Column) -> Column:
+        value = F.coalesce(vector, zeros)
+        return F.when(index == last, without_own_basket(value, money, dim)).otherwise(value) if mask_last else value
+
+    return windows.withColumn("steps", F.transform("steps", step))

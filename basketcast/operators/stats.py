@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from basketcast.constants import CLASS_WEIGHT_CAP, DECAY_RATES, NEVER, SINGLE_PURCHASE_GAP
 from basketcast.functions.calendar import days_from_max
 from basketcast.functions.scalars import cycle_proximity
+from basketcast.operators.skew import join_statistics
 
 MAX_PIVOT = 10_000
 
@@ -136,7 +137,7 @@ def recency_global(sessions: DataFrame, history: DataFrame, targets: Sequence[st
         *[f for t in targets for f in (F.min(bought[t]).alias(f"{t}_first"),
                                        F.max(bought[t]).alias(f"{t}_last"),
                                        F.count(bought[t]).alias(f"{t}_n"))])
-    joined = sessions.join(stats, customer, "left")
+    joined = join_statistics(sessions, stats, customer)
     features = _recency_columns(targets, date)
     return joined.select(*sessions.columns, *[c.alias(n) for n, c in features.items()])
 
@@ -253,5 +254,5 @@ def presence_flags(sessions: DataFrame, session_stats: DataFrame, customer_stats
     """1 where a session, or its customer, has money statistics."""
     has_session = session_stats.select("session_id", F.lit(1).alias("has_session_money"))
     has_customer = customer_stats.select(customer, F.lit(1).alias("has_customer_money"))
-    return (sessions.join(has_session, "session_id", "left").join(has_customer, customer, "left")
+    return (join_statistics(sessions, has_customer, customer).join(has_session, "session_id", "left")
             .fillna(0, subset=["has_session_money", "has_customer_money"]))

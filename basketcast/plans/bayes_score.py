@@ -13,6 +13,7 @@ from basketcast.operators.bayes import (bayes_posterior, correlation_correction,
                                         weighted_blend)
 from basketcast.operators.evaluate import confidence_grid
 from basketcast.operators.sequences import latest_sequence, purchase_sequence, sequence_patterns, sequence_score
+from basketcast.operators.skew import heavy_keys
 from basketcast.operators.stats import conditional_purchase
 from basketcast.session import row_counts, store
 
@@ -27,11 +28,12 @@ def blended_scores(history: DataFrame, sessions: DataFrame, targets: Sequence[st
     """
     table = marginal_table(history, targets)
     rows = row_counts(table, "marginal")
+    heavy = heavy_keys(sessions, "customer_id")
     patterns = sequence_patterns(purchase_sequence(history, targets), targets)
     scored = bayes_posterior(history, sessions, targets, confidence,
                              segment_counts=marginal_counts(table, "segment", targets, rows.get("segment", 0)),
-                             overall=marginal_overall(table, targets))
-    scored = sequence_score(scored, latest_sequence(history, targets), patterns, targets)
+                             overall=marginal_overall(table, targets), heavy=heavy)
+    scored = sequence_score(scored, latest_sequence(history, targets), patterns, targets, heavy=heavy)
     scored = lookup_marginals(scored, table, targets, rows=rows).withColumnsRenamed({f"p_{t}": f"sequence_{t}" for t in targets})
     blended = weighted_blend(scored, targets)
     corrected = correlation_correction(blended, conditional_purchase(history, targets), targets, prefix="blend_")

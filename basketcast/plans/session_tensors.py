@@ -35,7 +35,6 @@ def encoded_sessions(sessions: DataFrame) -> DataFrame:
     out = sessions.withColumn("holiday_or_weekend", is_holiday_or_weekend("sale_date"))
     train = sessions.filter(F.col("split") == "train")
     for column, code in (("store", "store_code"), ("age_band", "age_code"), ("gender", "gender_code")):
-        # One row per label: broadcast by Catalyst below the session's threshold.
         out = label_transform(out, label_encode(train, column, code), column, code)
     return out
 
@@ -76,15 +75,16 @@ def session_tensors(sessions: DataFrame, targets_of: DataFrame, log: DataFrame,
     by the three sample sets.
     """
     coded = store(encoded_sessions(sessions))
-    train, valid, test = [coded.filter(F.col("split") == s) for s in ("train", "valid", "test")]
     vectors, size = session_vectors(coded, log, products, money, category_columns, dim)
-    vectors, columns = store(vectors), money_columns(money)
+    columns = money_columns(money)
+    steps = store(coded.select("session_id", "customer_id", "split", "sale_date", "hour").join(vectors, "session_id"), ["split"])
+    train, valid, test = [steps.filter(F.col("split") == s) for s in ("train", "valid", "test")]
 
     def samples(windows: DataFrame) -> DataFrame:
-        return window_features(windows, vectors, columns, size, mask_target_step)
+        return window_features(windows, columns, size, mask_target_step)
 
-    runs = random_cut(sliding_windows(customer_sessions(train), length), cut)
+    runs = random_cut(sliding_windows(customer_sessions(train), length, step="features"), cut)
     x_train = sequence_labels(samples(runs), targets_of, targets)
-    x_valid = sequence_labels(samples(recent_history(valid, train, length)), targets_of, targets)
-    x_test = samples(recent_history(test, train.unionByName(valid), length))
+    x_valid = sequence_labels(samples(recent_history(valid, train, length, step="features")), targets_of, targets)
+    x_test = samples(recent_history(test, train.unionByName(valid), length, step="features"))
     return Tensors(x_train, x_valid, x_test, step_width(columns, size))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from basketcast.constants import BLEND_WEIGHTS, DEFAULT_CONFIDENCE, PRODUCTION_CONFIDENCE, TARGETS
 from basketcast.functions.calendar import calendar_features
 from basketcast.operators import bayes, evaluate, stats
+from basketcast.operators.skew import heavy_keys
 from basketcast.plans.bayes_score import blended_scores, production_scores, tuned_confidence
 from basketcast.sources.surrogate import Retail
 
@@ -34,6 +35,16 @@ def test_posterior_fallbacks(spark):
     assert out[13] == pytest.approx(1 / 12)  # unknown segment: prior 0, own history stays
 
 
+def test_hot_customers_do_not_change_scores(spark):
+    retail = Retail(spark, "/root/testdata/sf0.001").keep()
+    heavy = heavy_keys(retail.validation, "customer_id", 1)
+    assert heavy.table is not None
+    names = [f"bayes_{t}" for t in TARGETS]
+    plain = bayes.bayes_posterior(retail.history, retail.validation, TARGETS, PRODUCTION_CONFIDENCE).select("session_id", *names)
+    salted = bayes.bayes_posterior(retail.history, retail.validation, TARGETS, PRODUCTION_CONFIDENCE, heavy=heavy).select("session_id", *names)
+    assert plain.exceptAll(salted).count() == 0 and salted.count() == plain.count()
+
+
 def test_marginals_match_separate_groupings(spark):
     rng = np.random.default_rng(1)
     rows = [(i, int(rng.integers(9)), rng.choice(["20s", None]), rng.choice(["f", "m"]), rng.choice(["A", "B"]),

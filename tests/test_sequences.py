@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from basketcast.constants import TARGETS
 from basketcast.operators import sequences, stats
+from basketcast.operators.skew import heavy_keys, join_statistics
 from basketcast.operators.ordering import halo_blocks, last_rows, with_position
 
 DAY0 = date(2024, 1, 1)
@@ -163,3 +164,16 @@ def test_purchase_gaps(spark):
     df = history(spark, [(0, 1, 0, 0, "c"), (0, 2, 5, 0, "c"), (0, 3, 5, 1, "c")])
     rows = stats.purchase_gaps(df, TARGETS).orderBy("sale_date").collect()
     assert [(r["gap"], r["same_day"]) for r in rows] == [(None, 0), (5, 1)]
+
+
+@pytest.mark.parametrize("hot_rows", [50, 700, 10_000])
+def test_hot_keys_are_salted_without_changing_the_join(spark, hot, hot_rows):
+    people = hot.groupBy("customer_id").agg(F.count("*").alias("n"))
+    rows = hot.select("customer_id", "session_id").unionByName(
+        spark.createDataFrame([(None, 9001), (777, 9002)], "customer_id long, session_id long"))
+    heavy = heavy_keys(rows, "customer_id", hot_rows)
+    out = join_statistics(rows, people, "customer_id", heavy)
+    assert out.exceptAll(rows.join(people, "customer_id", "left")).count() == 0 and out.count() == 3002
+    counts = {r["customer_id"]: r["n"] for r in people.collect()}
+    want = {c: -(-n // hot_rows) for c, n in counts.items() if n > hot_rows}
+    assert {r["customer_id"]: r["_slices"] for r in heavy.table.collect()} == want if want else heavy.table is None
