@@ -5,6 +5,6 @@ from basketcast.session import local_session
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session(8, shuffle_partitions=4)
+    session = local_session(8, shuffle_partitions=3)
     yield session
     session.stop()
