@@ -13,8 +13,6 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basketcast.session import materialise
-
 # Rows of one key that one task may join.
 HOT_ROWS = 2_000_000
 
@@ -33,9 +31,12 @@ class HeavyKeys:
 def heavy_keys(rows: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> HeavyKeys:
     """Find the hot keys: one counting pass over the key column."""
     slices = F.ceil(F.col("_n") / F.lit(hot_rows)).cast("int")
-    found = materialise(rows.dropna(subset=[key]).groupBy(key).agg(F.count("*").alias("_n"))
-                        .filter(F.col("_n") > hot_rows).select(key, slices.alias("_slices")))
-    return HeavyKeys(key, None if found.isEmpty() else found)
+    counted = (rows.dropna(subset=[key]).groupBy(key).agg(F.count("*").alias("_n"))
+               .filter(F.col("_n") > hot_rows).select(key, slices.alias("_slices")))
+    # At most rows / hot_rows entries, so they may pass through the driver; as
+    # fixed rows, both sides of a join are sure to see the same slices.
+    found = counted.collect()
+    return HeavyKeys(key, rows.sparkSession.createDataFrame(found, counted.schema) if found else None)
 
 
 def join_statistics(rows: DataFrame, stats: DataFrame, key: str, heavy: HeavyKeys | None = None,
