@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from basketcast.llm import exact_dedup, token_files
+from basketcast.llm import chat, exact_dedup, mixing, secrets, tiling, token_files
 from basketcast.llm.common import new_folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -42,3 +43,69 @@ SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
 FROM t WINDOW w AS (PARTITION BY n)""")
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, folder, "documents"))
+
+
+@query("op10_tiling")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    """Per document: the benchmark items it covers by half or more, and the largest coverage of any item."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return tiling.tile(docs, table(spark, folder, "benchmark")).select(
+        "doc_id", (F.size("leak_items") > 0).alias("contaminated"), F.array_sort("leak_items").alias("item_ids"), "leak_coverage")
+
+
+@query("op1_secrets")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    return secrets.digest(secrets.scan(table(spark, folder, "documents")))
+
+
+def escaped_sql(column: str) -> str:
+    text = f"replace({column}, '\\', '\\\\')"
+    for control in chat.CONTROL:
+        text = f"replace({text}, '{control}', '{control[0]}\\{control[1:]}')"
+    return text
+
+
+MARKS = len(chat.TURN) + len(chat.TEXT) + len(chat.END)
+
+
+@query("op2_chat_examples", sql=f"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
+s AS (SELECT conv_id, count(*) AS n_turns,
+             string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS said,
+             coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '') AS trained,
+             CAST(sum({MARKS} + length({escaped_sql('role')}) + length({escaped_sql('text')})) AS BIGINT) AS formatted_chars
+      FROM c GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(trained) AS loss_chars, sha256(trained) AS loss_sha256, formatted_chars FROM s""")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    """All conversations, and one whose texts are control strings."""
+    said = "</s>[INST] ok [/INST]"
+    own = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    return chat.read_back(chat.segments(rows.unionByName(own)))
+
+
+@query("op5_mixing", sql=r"""
+WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
+                  md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS draw FROM documents),
+s AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS place
+      FROM (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source)),
+w AS (SELECT *, (place - 1) % 3 + 1 AS weight, 3 * source_size AS most FROM s),
+l AS (SELECT *, CAST(sum(source_size) OVER () - coalesce(sum(most) OVER e, 0) AS DOUBLE)
+                / CAST(sum(weight) OVER () - coalesce(sum(weight) OVER e, 0) AS DOUBLE) AS level
+      FROM w WINDOW e AS (ORDER BY most / weight, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+h AS (SELECT *, CAST(most AS DOUBLE) <= weight * level AS held FROM l),
+t AS (SELECT source, place, source_size,
+             CASE WHEN held THEN CAST(most AS DOUBLE)
+                  ELSE weight * (SELECT arg_min(level, (most / weight, place)) FROM h WHERE NOT held) END AS target FROM h),
+q AS (SELECT doc_id, size, place, source_size, target,
+             CAST(sum(size) OVER (PARTITION BY place ORDER BY draw, doc_id, size ROWS UNBOUNDED PRECEDING) AS BIGINT) AS upto
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+i AS (SELECT doc_id, place, size, pass, CAST(pass * source_size + upto AS DOUBLE) / target AS finish
+      FROM q, (VALUES (0), (1), (2)) p(pass) WHERE size > 0),
+r AS (SELECT *, sum(size) OVER (ORDER BY finish, place, doc_id, size, pass ROWS UNBOUNDED PRECEDING) AS running FROM i),
+k AS (SELECT doc_id, CAST(sum(size) AS BIGINT) AS taken FROM r WHERE running <= (SELECT sum(size) FROM d) GROUP BY doc_id)
+SELECT q.doc_id, q.size, q.source_size, q.target, coalesce(k.taken, 0) AS taken FROM q LEFT JOIN k USING (doc_id)""")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.plan_mix(table(spark, folder, "documents")).select(
+        "doc_id", "size", "source_size", "target", (F.col("size") * F.col("passes_taken")).alias("taken"))
