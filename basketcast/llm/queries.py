@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketcast.llm import chat, exact_dedup, mixing, secrets, tiling, token_files
+from basketcast.llm import chat, exact_dedup, mixing, secrets, tiling, token_files, toxicity
 from basketcast.llm.common import new_folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -109,3 +109,12 @@ SELECT q.doc_id, q.size, q.source_size, q.target, coalesce(k.taken, 0) AS taken
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.plan_mix(table(spark, folder, "documents")).select(
         "doc_id", "size", "source_size", "target", (F.col("size") * F.col("passes_taken")).alias("taken"))
+
+
+@query("op3_toxicity")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    grammar = toxicity.fit(docs, table(spark, folder, "labels"))
+    return toxicity.score(docs, grammar).select(
+        "doc_id", toxicity.held_out().alias("held_out"), F.col("toxicity").alias("score"),
+        (F.col("toxicity") >= toxicity.THRESHOLD).cast("int").alias("predicted"), "matched_clauses")
