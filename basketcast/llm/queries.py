@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketcast.llm import chat, exact_dedup, mixing, secrets, tiling, token_files, toxicity
+from basketcast.llm import byte_cnn, chat, exact_dedup, mixing, secrets, tiling, token_files, toxicity
 from basketcast.llm.common import new_folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -118,3 +118,12 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.score(docs, grammar).select(
         "doc_id", toxicity.held_out().alias("held_out"), F.col("toxicity").alias("score"),
         (F.col("toxicity") >= toxicity.THRESHOLD).cast("int").alias("predicted"), "matched_clauses")
+
+
+@query("op6_byte_cnn")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    network = byte_cnn.fit(docs, table(spark, folder, "labels"))
+    return byte_cnn.score(docs, network).select(
+        "doc_id", byte_cnn.held_out().alias("held_out"), F.col("quality").alias("score"),
+        (F.col("quality") >= byte_cnn.THRESHOLD).cast("int").alias("predicted"))
