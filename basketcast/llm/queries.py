@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketcast.llm import byte_cnn, chat, exact_dedup, mixing, secrets, tiling, token_files, toxicity
+from basketcast.llm import byte_cnn, chat, exact_dedup, mixing, near_dedup, secrets, tiling, token_files, toxicity
 from basketcast.llm.common import new_folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -127,3 +127,9 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
     return byte_cnn.score(docs, network).select(
         "doc_id", byte_cnn.held_out().alias("held_out"), F.col("quality").alias("score"),
         (F.col("quality") >= byte_cnn.THRESHOLD).cast("int").alias("predicted"))
+
+
+@query("op4_prob_minhash")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    """The near-duplicate class of every document: the smallest id of its class."""
+    return near_dedup.near_classes(table(spark, folder, "documents"))
