@@ -33,9 +33,13 @@ LAST_ROWS = 10_000       # queued copies among which the stopping point is looke
 MAX_SOURCES = 20_000     # sources that may be broadcast
 
 
+def words_of(text: str) -> Column:
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
 def sizes(docs: DataFrame) -> DataFrame:
     """``doc_id, source, size`` with the number of words."""
-    return docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    return docs.select("doc_id", "source", words_of("text").alias("size"))
 
 
 def targets(thin: DataFrame, weights: tuple[int, ...] = WEIGHTS, passes: int = PASSES) -> DataFrame:
@@ -142,3 +146,24 @@ def mixture(planned: DataFrame, passes: int = PASSES) -> DataFrame:
     """The mix itself, one row per taken copy in order of virtual time (a global range sort)."""
     return copies(planned, passes).filter(F.col("turn") < F.col("passes_taken")).orderBy("key").select(
         "doc_id", "source", "size", F.col("turn").alias("pass"), F.col("key.finish").alias("finish"))
+
+
+def mixed_rows(docs: DataFrame) -> DataFrame:
+    """Rows of ``docs`` as the mix takes them: each as often as it is taken, with its own columns."""
+    planned = stored(plan_mix(docs))
+    ids = stored(planned.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("doc_id").alias("repeated")))
+    taken = planned.filter("passes_taken > 0").select(F.col("doc_id").alias("taken_id"), "passes_taken")
+    once = taken.join(ids, F.col("taken_id").eqNullSafe(F.col("repeated")), "left_anti")
+    rows = docs.join(once, docs["doc_id"].eqNullSafe(once["taken_id"])).select(*[docs[c] for c in docs.columns], once["passes_taken"].alias("passes__"))
+    if not ids.isEmpty():
+        # Rows that share an id are told apart by source and size, in the same order on both sides.
+        def numbered(frame: DataFrame, last: str) -> DataFrame:
+            some = frame.join(ids, F.col("doc_id").eqNullSafe(F.col("repeated")), "left_semi")
+            return some.withColumn("number__", F.row_number().over(Window.partitionBy("doc_id").orderBy("source", "size__", last)))
+
+        left = numbered(docs.withColumn("size__", words_of("text")), "text")
+        right = numbered(planned.withColumnRenamed("size", "size__"), "upto").select(
+            F.col("doc_id").alias("taken_id"), F.col("number__").alias("taken_number"), F.col("passes_taken").alias("passes__"))
+        more = left.join(right, F.col("doc_id").eqNullSafe(F.col("taken_id")) & (F.col("number__") == F.col("taken_number")))
+        rows = rows.unionByName(more.select(*docs.columns, "passes__"))
+    return rows.withColumn("copy__", F.explode(F.array_repeat(F.lit(1), F.col("passes__")))).select(*docs.columns)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketcast.llm import byte_cnn, chat, exact_dedup, mixing, near_dedup, secrets, tiling, token_files, toxicity
+from basketcast.llm import byte_cnn, chat, exact_dedup, mixing, near_dedup, pitman_yor, secrets, tiling, token_files, toxicity
 from basketcast.llm.common import new_folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -133,3 +133,8 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     """The near-duplicate class of every document: the smallest id of its class."""
     return near_dedup.near_classes(table(spark, folder, "documents"))
+
+
+@query("op7_pitman_yor")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    return pitman_yor.score_documents(table(spark, folder, "documents"))

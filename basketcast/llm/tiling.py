@@ -199,4 +199,17 @@ def tile(docs: DataFrame, benchmark: DataFrame, threshold: float = COVERAGE) ->
 
 def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = COVERAGE) -> DataFrame:
     """The rows of ``docs`` that cover no item to ``threshold``, with their own columns."""
-    return tile(docs, benchmark, threshold).filter(F.size("leak_items") == 0).select(*docs.columns)
+    small_batches(docs.sparkSession)
+
+    def search(items: Items):
+        def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for block in gathered(batches):
+                keep = np.ones(len(block), bool)
+                for row, _, share, _ in covered(items, strings(block.column("text"))):
+                    keep[row] &= share < threshold
+                yield block.filter(pa.array(keep))
+        return each
+
+    for items in item_blocks(benchmark):
+        docs = docs.mapInArrow(search(items), docs.schema)
+    return docs

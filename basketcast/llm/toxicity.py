@@ -305,6 +305,16 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, modulus: in
     return Grammar(grammar.exact, grammar.stems, fit_weights(seen[:, :-1], seen[:, -1]) if len(seen) else tuple(PRIOR))
 
 
+def clean(docs: DataFrame, grammar: Grammar, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` that score under ``threshold``, with their own columns."""
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in gathered(batches):
+            yield block.filter(pa.array(probability(event_sums(strings(block.column("text")), grammar), grammar.weights) < threshold))
+
+    small_batches(docs.sparkSession)
+    return docs.mapInArrow(each, docs.schema)
+
+
 def score(docs: DataFrame, grammar: Grammar) -> DataFrame:
     """``docs`` with ``toxicity`` (0 to 1) and ``matched_clauses`` (weight of all events); older columns so named are replaced."""
     small_batches(docs.sparkSession)
