@@ -151,14 +151,14 @@ def mixture(planned: DataFrame, passes: int = PASSES) -> DataFrame:
 def mixed_rows(docs: DataFrame) -> DataFrame:
     """Rows of ``docs`` as the mix takes them: each as often as it is taken, with its own columns."""
     planned = stored(plan_mix(docs))
-    ids = stored(planned.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("doc_id").alias("repeated")))
+    ids = stored(planned.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("doc_id").alias("repeated__")))
     taken = planned.filter("passes_taken > 0").select(F.col("doc_id").alias("taken_id"), "passes_taken")
-    once = taken.join(ids, F.col("taken_id").eqNullSafe(F.col("repeated")), "left_anti")
+    once = taken.join(ids, F.col("taken_id").eqNullSafe(F.col("repeated__")), "left_anti")
     rows = docs.join(once, docs["doc_id"].eqNullSafe(once["taken_id"])).select(*[docs[c] for c in docs.columns], once["passes_taken"].alias("passes__"))
     if not ids.isEmpty():
         # Rows that share an id are told apart by source and size, in the same order on both sides.
         def numbered(frame: DataFrame, last: str) -> DataFrame:
-            some = frame.join(ids, F.col("doc_id").eqNullSafe(F.col("repeated")), "left_semi")
+            some = frame.join(ids, F.col("doc_id").eqNullSafe(F.col("repeated__")), "left_semi")
             return some.withColumn("number__", F.row_number().over(Window.partitionBy("doc_id").orderBy("source", "size__", last)))
 
         left = numbered(docs.withColumn("size__", words_of("text")), "text")
