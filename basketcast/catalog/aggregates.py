@@ -19,7 +19,7 @@ SORTED_BRANDS = sorted(ALL_BRANDS)
 
 
 def category_sums(retail, value, purchases_only=True):
-    log = filter_returns(retail.log) if purchases_only else retail.log
+    log = filter_returns(retail.purchases) if purchases_only else retail.log
     return stats.session_category_sum(log, retail.products, value)
 
 
@@ -48,7 +48,7 @@ SELECT customer_id, {pivot_sql('quantity')} FROM session LEFT JOIN (SELECT * FRO
 WHERE split = 'train' GROUP BY customer_id"""))
 def customer_category_matrix(retail):
     names = stats.category_names(retail.products)
-    wide = stats.customer_category_matrix(retail.visits.filter("split = 'train'"), category_sums(retail, "quantity"), names, "quantity")
+    wide = stats.customer_category_matrix(retail.visits_of("train"), category_sums(retail, "quantity"), names, "quantity")
     return ascii_names(wide, names, "customer_id")
 
 
@@ -72,7 +72,7 @@ def purchase_indicator_matrix(retail):
 def purchase_ratio(retail):
     ind = stats.purchase_indicators(category_sums(retail, "quantity"), list(BRANDS.values())).withColumnsRenamed(
         {b: t for t, b in BRANDS.items()})
-    out = stats.purchase_ratio(retail.sessions.filter("split = 'train'"), ind, TARGETS, ("customer_id", "gender", "age_band", "store"))
+    out = stats.purchase_ratio(retail.with_attributes(retail.visits_of("train")), ind, TARGETS, ("customer_id", "gender", "age_band", "store"))
     return out.fillna(-1.0, subset=list(TARGETS))
 
 
@@ -81,14 +81,14 @@ def embeddings(retail, dim=8):
     names = stats.category_names(retail.products)
     # The fit and the projection read the same rows.
     rows = store(category_rows(stats.category_matrix(category_sums(retail, "quantity"), "session_id", names, "quantity"), "session_id", names))
-    fit = rows.join(retail.visits.filter("split = 'train'").select("session_id"), "session_id", "left_semi")
+    fit = rows.join(retail.visits_of("train").select("session_id"), "session_id", "left_semi")
     return truncated_svd(fit, rows, len(names), dim=dim), dim
 
 
 @query("attribute_mean_embedding")
 def attribute_mean_embedding(retail):
     rows, dim = embeddings(retail)
-    out = stats.attribute_mean_embedding(retail.sessions.filter("split = 'train'"), rows, dim, ("customer_id", "gender", "age_band", "store"))
+    out = stats.attribute_mean_embedding(retail.with_attributes(retail.visits_of("train")), rows, dim, ("customer_id", "gender", "age_band", "store"))
     return out.select("dimension", "value", *[F.get("embedding", F.lit(i)).alias(f"e{i}") for i in range(dim)])
 
 
@@ -226,7 +226,7 @@ UNION ALL SELECT 'train+valid', customer_id, {', '.join(MONEY_NAMES)} FROM cv"""
     SESSION_MONEY_SQL, CUSTOMER_MONEY_SQL, customer_money_sql("cv", "split IN ('train', 'valid')")))
 def customer_money(retail):
     per_session = store(stats.session_money(retail.log, MONEY))
-    train = stats.customer_money(per_session, retail.visits.filter("split = 'train'"), MONEY)
+    train = stats.customer_money(per_session, retail.visits_of("train"), MONEY)
     both = stats.customer_money(per_session, retail.visits.filter("split in ('train', 'valid')"), MONEY)
     return train.select(F.lit("train").alias("known"), "*").unionByName(both.select(F.lit("train+valid").alias("known"), "*"))
 
@@ -234,7 +234,7 @@ def customer_money(retail):
 @query("default_money", twin("session log", "SELECT " + ", ".join(f"round(avg({c}), 4) AS {c}" for c in MONEY_NAMES) + " FROM cm",
                              SESSION_MONEY_SQL, CUSTOMER_MONEY_SQL))
 def default_money(retail):
-    people = stats.customer_money(stats.session_money(retail.log, MONEY), retail.visits.filter("split = 'train'"), MONEY)
+    people = stats.customer_money(stats.session_money(retail.log, MONEY), retail.visits_of("train"), MONEY)
     return stats.default_money(people, MONEY).select(*[F.round(c, 4).alias(c) for c in MONEY_NAMES])
 
 
@@ -245,7 +245,7 @@ FROM session s LEFT JOIN sm USING (session_id) LEFT JOIN cm USING (customer_id)"
     SESSION_MONEY_SQL, CUSTOMER_MONEY_SQL))
 def presence_flags(retail):
     per_session = stats.session_money(retail.log, MONEY)
-    people = stats.customer_money(per_session, retail.visits.filter("split = 'train'"), MONEY)
+    people = stats.customer_money(per_session, retail.visits_of("train"), MONEY)
     return stats.presence_flags(retail.visits.select("session_id", "customer_id"), per_session, people).drop("customer_id")
 
 

@@ -48,7 +48,7 @@ def one_hot(retail):
     f"SELECT '{c}' AS column_name, {c} AS label, CAST(ROW_NUMBER() OVER (ORDER BY {c}) - 1 AS INTEGER) AS code FROM "
     f"(SELECT DISTINCT {c} FROM session WHERE split = 'train')" for c in LEVELS)))
 def label_encode(retail):
-    train = retail.sessions.filter("split = 'train'")
+    train = retail.with_attributes(retail.visits_of("train"))
     parts = [encode.label_encode(train, c).select(F.lit(c).alias("column_name"), F.col(c).alias("label"), "code") for c in LEVELS]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 

@@ -17,12 +17,12 @@ BRAND_LIST = ", ".join(f"'{b}'" for b in BRANDS.values())
 
 @query("filter_returns", twin("log", "SELECT session_id, jan, quantity FROM log WHERE quantity > 0"))
 def filter_returns(retail):
-    return clean.filter_returns(retail.log.select("session_id", "jan", "quantity"))
+    return clean.filter_returns(retail.purchases.select("session_id", "jan", "quantity"))
 
 
 @query("return_rows", twin("log", "SELECT session_id, jan, quantity FROM log WHERE quantity <= 0"))
 def return_rows(retail):
-    return clean.return_rows(retail.log.select("session_id", "jan", "quantity"))
+    return clean.return_rows(retail.returns.select("session_id", "jan", "quantity"))
 
 
 @query("target_category_filter", twin("log", f"SELECT jan, category FROM jan WHERE category IN ({BRAND_LIST})"))
@@ -103,7 +103,9 @@ def nan_guard(retail):
     return guarded.withColumn("missing", scalars.nan_report(sums, ["q"]).scalar())
 
 
-@query("debug_sample")
+@query("debug_sample", twin("session", """
+SELECT session_id, customer_id, CAST(sale_date AS VARCHAR) AS sale_date, hour, store, split FROM session WHERE customer_id IN (
+  SELECT customer_id FROM (SELECT DISTINCT customer_id FROM session) ORDER BY md5(customer_id || '|42'), customer_id LIMIT 100)"""))
 def debug_sample(retail):
     return text_date(clean.debug_sample(retail.visits, 100), "sale_date")
 

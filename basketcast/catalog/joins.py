@@ -39,7 +39,7 @@ def returns_with_product(retail):
 @query("restrict_to_sessions", twin("session log", """
 SELECT session_id, jan, quantity FROM log WHERE session_id IN (SELECT session_id FROM session WHERE split = 'train')"""))
 def restrict_to_sessions(retail):
-    return clean.restrict_to_sessions(retail.log.select("session_id", "jan", "quantity"), retail.visits.filter("split = 'train'"))
+    return clean.restrict_to_sessions(retail.log.select("session_id", "jan", "quantity"), retail.visits_of("train"))
 
 
 @query("purchase_history", twin("fact", f"""
@@ -69,7 +69,7 @@ def lookup_marginals(retail):
 
 
 RATIO_SQL = f"""
-ind AS (SELECT session_id, {', '.join(f"CASE WHEN sum(CASE WHEN category = '{b}' THEN quantity ELSE 0 END) >= 1 THEN 1 ELSE 0 END AS i_{t}" for t, b in BRANDS.items())}
+ind AS (SELECT session_id, {', '.join(f"greatest(least(CAST(sum(CASE WHEN category = '{b}' THEN quantity ELSE 0 END) AS DOUBLE), 1.0::DOUBLE), 0.0::DOUBLE) AS i_{t}" for t, b in BRANDS.items())}
         FROM log JOIN jan USING (jan) WHERE quantity > 0 GROUP BY session_id)"""
 ASSEMBLE_CTES = tuple(
     f"r_{k} AS (SELECT {k}, {each(f'avg(i_{{t}}) AS {k}_ratio_{{t}}')} FROM fact LEFT JOIN ind USING (session_id) WHERE split = 'train' GROUP BY {k})"
@@ -86,7 +86,7 @@ ASSEMBLE_CTES = tuple(
 def assembled(retail):
     keys = ("customer_id", *LEVELS)
     base = materialise(dealt(retail))
-    quantity = session_category_sum(clean.filter_returns(retail.log), retail.products, "quantity")
+    quantity = session_category_sum(clean.filter_returns(retail.purchases), retail.products, "quantity")
     indicators = purchase_indicators(quantity, list(BRANDS.values())).withColumnsRenamed({b: t for t, b in BRANDS.items()})
     ratios = store(purchase_ratio(retail.history, indicators, TARGETS, keys), ["dimension"])
     kinds = {"customer_id": "bigint"}
@@ -119,7 +119,7 @@ FROM session LEFT JOIN m USING (session_id) LEFT JOIN p USING (customer_id)""",
     "p AS (SELECT customer_id, CAST(sum(s) AS DOUBLE) / count(*) AS c FROM session JOIN m USING (session_id) WHERE split = 'train' GROUP BY customer_id)"))
 def dict_lookups(retail):
     stats = session_money(retail.log, ["amount"])
-    people = customer_money(stats, retail.visits.filter("split = 'train'"), ["amount"])
+    people = customer_money(stats, retail.visits_of("train"), ["amount"])
     own = stats.select("session_id", F.col("amount_sum").cast("double").alias("session_amount"))
     theirs = people.select("customer_id", F.col("amount_sum").alias("customer_amount"))
     return (join_statistics(retail.visits.select("session_id", "customer_id"), theirs, "customer_id").join(own, "session_id", "left")

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from basketcast.catalog.aggregates import category_sums
 from basketcast.catalog.registry import query
-from basketcast.constants import TARGETS
+from basketcast.constants import EMBED_DIM, TARGETS
 from basketcast.operators import stats
 from basketcast.operators.boosting import oof_macro_auc
 from basketcast.operators.factorise import category_rows, nmf_fit, nmf_transform
@@ -18,33 +18,30 @@ from basketcast.catalog.sequences import retail_calendar
 @query("nmf")
 def nmf(retail):
     names = stats.category_names(retail.products)
-    train = retail.sessions.filter("split = 'train'")
+    train = retail.with_attributes(retail.visits_of("train"))
     wide = stats.customer_category_matrix(train, category_sums(retail, "quantity"), names, "quantity")
     rows = category_rows(wide, "customer_id", names)
-    factor, _ = nmf_fit(rows, len(names), rank=8, rounds=5)
+    factor, _ = nmf_fit(rows, len(names))
     return nmf_transform(rows, factor, "customer_id").select(
-        "customer_id", *[F.get("nmf", F.lit(i)).alias(f"w{i}") for i in range(8)])
+        "customer_id", *[F.get("nmf", F.lit(i)).alias(f"w{i}") for i in range(EMBED_DIM)])
 
 
 def learning_frame(retail, folds):
     train = retail.keep().history
-    factors = boosted.fit_factors(retail.log, retail.products, train, dim=4, rounds=3)
+    factors = boosted.fit_factors(retail.log, retail.products, train)
     tables = boosted.keyed_features(retail.log, retail.products, train, factors, list(BRANDS.values()))
     return boosted.training_frame(retail.validation, tables, boosted.session_features(retail.sessions, LEVELS), folds=folds)
 
 
-ROUNDS = {"maxIter": 3, "maxDepth": 3}
-
-
 @query("boosted_multi_target")
 def boosted_multi_target(retail):
-    oof, _, _ = boosted.boosted_scores(learning_frame(retail, 2), None, folds=2, params=ROUNDS)
+    oof, _, _ = boosted.boosted_scores(learning_frame(retail, 4), None, folds=4)
     return oof.select("session_id", *[f"score_{t}" for t in TARGETS])
 
 
 @query("oof_cv_loop")
 def oof_cv_loop(retail):
-    oof, _, _ = boosted.boosted_scores(learning_frame(retail, 4), None, folds=4, params=ROUNDS)
+    oof, _, _ = boosted.boosted_scores(learning_frame(retail, 4), None, folds=4)
     return oof_macro_auc(oof, TARGETS)
 
 

@@ -55,7 +55,7 @@ SELECT session_id, {each('COALESCE(p_{t}, 0) AS p_{t}')} FROM fact LEFT JOIN lat
 WHERE split = 'valid'""", BASKET_SQL, PATTERN_SQL, LATEST_SQL))
 def sequence_score(retail):
     patterns = sequences.sequence_patterns(sequences.purchase_sequence(train_outcomes(retail), TARGETS), TARGETS)
-    out = sequences.sequence_score(retail.visits.filter("split = 'valid'").select("session_id", "customer_id"),
+    out = sequences.sequence_score(retail.visits_of("valid").select("session_id", "customer_id"),
                                    sequences.latest_sequence(train_outcomes(retail), TARGETS), patterns, TARGETS)
     return out.drop("customer_id")
 
@@ -72,7 +72,7 @@ windows AS (SELECT a.customer_id, a.pos AS start, string_agg(CAST(b.session_id A
 
 
 def train_windows(retail):
-    return sequences.sliding_windows(sequences.customer_sessions(retail.visits.filter("split = 'train'")))
+    return sequences.sliding_windows(sequences.customer_sessions(retail.visits_of("train")))
 
 
 @query("sliding_windows", twin("session", "SELECT customer_id, CAST(start AS BIGINT) AS start, session_id, steps FROM windows", ORDERED_SQL, WINDOW_SQL))
@@ -103,12 +103,12 @@ def padded(windows):
 
 @query("valid_history", twin("session", history_sql("valid", "'train'")))
 def valid_history(retail):
-    return padded(sequences.recent_history(retail.visits.filter("split = 'valid'"), retail.visits.filter("split = 'train'")))
+    return padded(sequences.recent_history(retail.visits_of("valid"), retail.visits_of("train")))
 
 
 @query("test_history", twin("session", history_sql("test", "'train', 'valid'")))
 def test_history(retail):
-    return padded(sequences.recent_history(retail.visits.filter("split = 'test'"), retail.visits.filter("split in ('train', 'valid')")))
+    return padded(sequences.recent_history(retail.visits_of("test"), retail.visits.filter("split in ('train', 'valid')")))
 
 
 @query("step_features")

@@ -1,13 +1,15 @@
 """Reading, keying and ordering of tables."""
 
-from pyspark.sql import Window
+import uuid
+
 from pyspark.sql import functions as F
 
 from basketcast.catalog.registry import each, query, text_date, twin
 from basketcast.constants import TARGETS
-from basketcast.functions.scalars import prefix_columns
+from basketcast.functions.scalars import coalesce_category, prefix_columns
 from basketcast.operators.clean import feature_columns
 from basketcast.operators.overlap import union_all
+from basketcast.session import delete_at_end, shared_folder
 from basketcast.sources import sinks, tables
 
 
@@ -37,11 +39,11 @@ def attach_targets(retail):
 
 @query("restore_order", twin("fact", """
 SELECT o.ord, o.session_id, COALESCE(CAST(f.choc + f.beer + f.hair + f.rice AS DOUBLE), -1) AS score
-FROM (SELECT session_id, ROW_NUMBER() OVER (PARTITION BY customer_id ORDER BY session_id DESC) AS ord FROM session) o
+FROM (SELECT session_id, -session_id AS ord FROM session) o
 LEFT JOIN (SELECT * FROM fact WHERE split = 'test') f USING (session_id)"""))
 def restore_order(retail):
-    order = retail.visits.select("session_id", F.row_number().over(
-        Window.partitionBy("customer_id").orderBy(F.desc("session_id"))).cast("long").alias("ord"))
+    # Later sessions first: a unique order that needs no window.
+    order = retail.visits.select("session_id", (-F.col("session_id")).alias("ord"))
     scores = retail.outcomes.filter("split = 'test'").select(
         "session_id", sum((F.col(t) for t in TARGETS), F.lit(0)).cast("double").alias("score"))
     return sinks.restore_order(scores, order).withColumn("score", F.coalesce("score", F.lit(-1.0)))
@@ -64,6 +66,29 @@ def detect_columns(retail):
     return counted.agg(*[F.sum(c).cast("double").alias(c) for c in (*found["money"], "quantity")])
 
 
+@query("loaded_money", twin("log", """
+SELECT COALESCE(nullif(category_raw, ''), division) AS filled, CAST(count(*) AS BIGINT) AS n, CAST(sum(amount) AS DOUBLE) AS amount,
+       CAST(sum(discount) AS DOUBLE) AS discount, CAST(sum(quantity) AS DOUBLE) AS quantity
+FROM log JOIN jan USING (jan) GROUP BY ALL"""))
+def loaded_money(retail):
+    """The tables written as CSV files with more columns than the schemas declare, read back and put to use."""
+    spark, folder = retail.spark, f"{shared_folder(retail.spark)}/csv-{uuid.uuid4().hex}"
+    files = {"train_log": retail.log.select("session_id", F.col("jan").alias("JAN"), F.col("quantity").alias("売上数量"),
+                                            F.col("amount").alias("売上金額"), F.col("discount").alias("値引金額")),
+             "jan": retail.products.select(F.col("jan").alias("JAN"), F.col("division").alias("部門"), F.col("category_raw").alias("カテゴリ名"))}
+    for name, df in files.items():
+        df.write.option("header", True).csv(f"{folder}/{name}.csv")
+    delete_at_end(spark, folder)
+    log, products = (tables.read_table(spark, folder, name) for name in files)
+    found = tables.detect_columns(log, products)
+    order = sorted(found["category"], key=lambda c: c != found["chosen_category"])
+    mapped = products.select("jan", coalesce_category(order).alias("filled"))
+    names = {"amount": "amount", "値引金額": "discount"}
+    sums = [F.sum(F.col(c).cast("decimal(18,2)")).cast("double").alias(names[c]) for c in found["money"]]
+    lines = tables.with_quantity(log, found["quantity"]).join(mapped, "jan")
+    return lines.groupBy("filled").agg(F.count("*").alias("n"), *sums, F.sum("quantity").alias("quantity"))
+
+
 @query("feature_columns", twin("fact", """
 SELECT session_id, hour, month, day, weekday, month_start, month_end, time_period FROM fact"""))
 def features_only(retail):

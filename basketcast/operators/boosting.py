@@ -50,7 +50,8 @@ def score_targets(df: DataFrame, models: Models, features: Sequence[str],
     """Purchase probability ``score_{t}`` of each target."""
     out = vectorise(df, features)
     for t, model in models.items():
-        out = model.setPredictionCol("").setRawPredictionCol("").setProbabilityCol("_p").transform(out)
+        # A copy: the fitted model keeps its own column names.
+        out = model.copy().setPredictionCol("").setRawPredictionCol("").setProbabilityCol("_p").transform(out)
         out = out.withColumn(f"score_{t}", F.get(vector_to_array("_p"), F.lit(1))).drop("_p")
     return out.select(*keep, *[f"score_{t}" for t in models])
 

@@ -86,7 +86,8 @@ def map_category(log: DataFrame, products: DataFrame, category: Column, item: st
 
 def debug_sample(df: DataFrame, n: int, seed: int = 42, key: str = "customer_id") -> DataFrame:
     """All rows of ``n`` keys picked by a seeded hash."""
-    picked = df.select(key).distinct().orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+    draw = F.md5(F.concat_ws("|", F.col(key).cast("string"), F.lit(str(seed))).cast("binary"))
+    picked = df.select(key).distinct().orderBy(draw, key).limit(n)
     return df.join(picked, key, "left_semi")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,9 +14,25 @@ from basketcast.session import broadcast_if_small, materialise
 def one_hot(df: DataFrame, columns: Sequence[str], levels: dict[str, list[str]] | None = None) -> DataFrame:
     """Indicator column ``{column}_{level}`` for each level; null has no level."""
     levels = levels or category_levels(df, columns)
-    flags = {f"{c}_{level}": F.coalesce((F.col(c) == level).cast("int"), F.lit(0))
-             for c in columns for level in levels[c]}
-    return df.withColumns(flags)
+    flags = [F.coalesce((F.col(c) == level).cast("int"), F.lit(0)) for c in columns for level in levels[c]]
+    # Named by place: levels may differ only in case, which column lookups do not tell apart.
+    return df.select("*", *flags).toDF(*df.columns, *[f"{c}_{level}" for c in columns for level in levels[c]])
+
+
+def sparse_one_hot(df: DataFrame, columns: Sequence[str], tables: Mapping[str, DataFrame] | None = None,
+                   name: str = "hot") -> DataFrame:
+    """Indices of the set indicators of each row, for any number of levels.
+
+    ``tables`` are fitted code tables (``label_encode``), by column; the levels of each column follow
+    those of the column before. A null or unknown value sets no indicator.
+    """
+    tables = tables or {c: label_encode(df, c) for c in columns}
+    out, offset, parts = df, 0, []
+    for i, c in enumerate(columns):
+        out = label_transform(out, tables[c].select(c, F.col("code").alias(f"code{i}__")), c, f"code{i}__")
+        parts.append(F.when(F.col(f"code{i}__") >= 0, F.col(f"code{i}__") + offset))
+        offset += tables[c].count()
+    return out.withColumn(name, F.array_compact(F.array(*parts))).select(*df.columns, name)
 
 
 def label_encode(df: DataFrame, column: str, name: str = "code") -> DataFrame:
@@ -68,17 +84,16 @@ def target_encode_full(df: DataFrame, category: str, targets: Sequence[str]) ->
 
 
 def exact_quantiles(df: DataFrame, groups: Sequence[str], value: str, probs: Sequence[float],
-                    accuracy: int = 10_000, small: int = 20_000) -> DataFrame:
+                    accuracy: int = 10_000) -> DataFrame:
     """Exact linear-interpolated quantiles: one row per group and probability.
 
     A mergeable sketch brackets each quantile to a sliver of the rows with a
-    guaranteed rank error. Rows below the bracket collapse to one count on the
-    map side; only the sliver is sorted. Groups up to ``small`` rows are sorted
-    whole. Nothing holds a large group in one task. Groups must be few (such as
-    the targets): the brackets, one row per group and probability, are broadcast.
+    guaranteed rank error. Rows outside the bracket collapse to two counts on the
+    map side; only the sliver is sorted, whatever the size of the group. Groups must be few (such as the
+    targets): the brackets, one row per group and probability, are broadcast.
     """
     if not groups:
-        single = exact_quantiles(df.withColumn("_all", F.lit(0)), ["_all"], value, probs, accuracy, small)
+        single = exact_quantiles(df.withColumn("_all", F.lit(0)), ["_all"], value, probs, accuracy)
         return single.drop("_all")
     margin = 4.0 / accuracy
     lows = [max(p - margin, 0.0) for p in probs]
@@ -88,27 +103,27 @@ def exact_quantiles(df: DataFrame, groups: Sequence[str], value: str, probs: Seq
         F.percentile_approx("_v", lows, accuracy).alias("_lo"),
         F.percentile_approx("_v", highs, accuracy).alias("_hi"),
         F.count("*").alias("_total"))
-    whole = F.col("_total") <= small
     brackets = sketch.select(*groups, "_total", F.explode(F.arrays_zip(
         F.array(*[F.lit(float(p)) for p in probs]).alias("p"),
         F.col("_lo").alias("lo"), F.col("_hi").alias("hi"))).alias("_b")).select(
         *groups, "_total", F.col("_b.p").alias("prob"),
-        F.when(~whole, F.col("_b.lo")).alias("_lo"), F.when(~whole, F.col("_b.hi")).alias("_hi"))
+        F.col("_b.lo").alias("_lo"), F.col("_b.hi").alias("_hi"))
     joined = scored.join(F.broadcast(brackets), list(groups))
-    # Null stands for every row below the bracket.
-    kept = joined.filter(F.col("_hi").isNull() | (F.col("_v") <= F.col("_hi")))
-    inside = F.when(F.col("_lo").isNull() | (F.col("_v") >= F.col("_lo")), F.col("_v"))
-    tallies = (kept.withColumn("_v", inside).groupBy(*groups, "prob", "_total", "_v")
-               .agg(F.count("*").alias("_n")))
-    upto = (Window.partitionBy(*groups, "prob").orderBy(F.asc_nulls_first("_v"))
+    # Rows on either side of the bracket collapse to one count with the value next to it: in a small
+    # group the wanted ranks may lie one row outside.
+    side = F.when(F.col("_v") < F.col("_lo"), -1).when(F.col("_v") > F.col("_hi"), 1).otherwise(0)
+    tallies = (joined.withColumns({"_side": side, "_in": F.when(side == 0, F.col("_v"))})
+               .groupBy(*groups, "prob", "_total", "_side", "_in")
+               .agg(F.count("*").alias("_n"), F.min("_v").alias("_least"), F.max("_v").alias("_most")))
+    value = F.when(F.col("_side") < 0, F.col("_most")).otherwise(F.col("_least"))
+    upto = (Window.partitionBy(*groups, "prob").orderBy("_side", "_in")
             .rowsBetween(Window.unboundedPreceding, 0))
     place = (F.col("_total") - 1) * F.col("prob")
     cumulated = tallies.withColumns({"_cum": F.sum("_n").over(upto), "_place": place})
-    reached = F.col("_v").isNotNull()
     ends = cumulated.groupBy(*groups, "prob").agg(
         F.first("_place").alias("_place"),
-        F.min(F.when(reached & (F.col("_cum") > F.floor("_place")), F.col("_v"))).alias("_a"),
-        F.min(F.when(reached & (F.col("_cum") > F.ceil("_place")), F.col("_v"))).alias("_b"))
+        F.min(F.when(F.col("_cum") > F.floor("_place"), value)).alias("_a"),
+        F.min(F.when(F.col("_cum") > F.ceil("_place"), value)).alias("_b"))
     share = F.col("_place") - F.floor("_place")
     return ends.select(*groups, "prob", (F.col("_a") + (F.col("_b") - F.col("_a")) * share).alias("quantile"))
 

@@ -12,8 +12,6 @@ from basketcast.functions.calendar import days_from_max
 from basketcast.functions.scalars import cycle_proximity
 from basketcast.operators.skew import join_statistics
 
-MAX_PIVOT = 10_000
-
 
 # --- lines and categories -------------------------------------------------
 
@@ -23,28 +21,34 @@ def session_category_sum(log: DataFrame, products: DataFrame, value: str) -> Dat
             .groupBy("session_id", "category").agg(F.sum(value).alias(value)))
 
 
-def category_names(products: DataFrame, column: str = "category", limit: int = MAX_PIVOT) -> list[str]:
-    """Sorted category names, for use as pivot columns; too many is an error."""
-    rows = products.select(column).dropna().distinct().orderBy(column).limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"more than {limit} categories: pivot the top ones instead")
+def category_names(products: DataFrame, column: str = "category") -> list[str]:
+    """Sorted category names, the columns of a wide matrix: a list of the size of its header."""
+    rows = products.select(column).dropna().distinct().orderBy(column).collect()
     return [r[0] for r in rows]
 
 
-def category_levels(df: DataFrame, columns: Sequence[str], limit: int = MAX_PIVOT) -> dict[str, list[str]]:
-    """Sorted values of several columns, found in one pass."""
+def category_levels(df: DataFrame, columns: Sequence[str]) -> dict[str, list[str]]:
+    """Sorted values of several columns, found in one pass; ``encode.sparse_one_hot`` needs no such list."""
     cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns])
-    rows = (df.select(F.inline(cells)).filter(F.col("value").isNotNull()).distinct()
-            .limit(limit + 1).collect())
-    if len(rows) > limit:
-        raise ValueError(f"more than {limit} values: encode these columns another way")
+    rows = df.select(F.inline(cells)).filter(F.col("value").isNotNull()).distinct().collect()
     return {c: sorted(r["value"] for r in rows if r["column"] == c) for c in columns}
 
 
+def coded_matrix(rows: DataFrame, key: str, names: Sequence[str], value: str) -> tuple[DataFrame, list[str]]:
+    """One row per key and one column per category, named by its place in ``names``; also the column names.
+
+    Category names may hold dots or differ only in case, which column names may not.
+    """
+    code = F.array_position(F.array(*[F.lit(n) for n in names]), F.col("category")) - 1
+    places = [str(i) for i in range(len(names))]
+    wide = rows.withColumn("code__", code.cast("string")).groupBy(key).pivot("code__", places).agg(F.sum(value))
+    columns = [f"c{i}" for i in places]
+    return wide.toDF(key, *columns).fillna(0, subset=columns), columns
+
+
 def category_matrix(rows: DataFrame, key: str, names: Sequence[str], value: str) -> DataFrame:
     """One row per key and one column per category, 0 where nothing was bought."""
-    wide = rows.groupBy(key).pivot("category", list(names)).agg(F.sum(value))
-    return wide.fillna(0, subset=list(names))
+    return coded_matrix(rows, key, names, value)[0].toDF(key, *names)
 
 
 def customer_category_matrix(sessions: DataFrame, category_sums: DataFrame, names: Sequence[str],
@@ -56,10 +60,10 @@ def customer_category_matrix(sessions: DataFrame, category_sums: DataFrame, name
 
 def purchase_indicators(category_sums: DataFrame, names: Sequence[str], value: str = "quantity",
                         key: str = "session_id") -> DataFrame:
-    """Sessions by category, 1 where the net quantity is at least one."""
-    wide = category_matrix(category_sums, key, names, value)
-    return wide.withColumns({n: F.greatest(F.least(F.col(f"`{n}`"), F.lit(1)), F.lit(0)).cast("int")
-                             for n in names})
+    """Sessions by category: the net quantity held to [0, 1], so part of a unit counts as that part."""
+    wide, columns = coded_matrix(category_sums, key, names, value)
+    held = [F.greatest(F.least(F.col(c).cast("double"), F.lit(1.0)), F.lit(0.0)) for c in columns]
+    return wide.select(key, *held).toDF(key, *names)
 
 
 def category_frequency(mapped_log: DataFrame) -> DataFrame:
@@ -78,9 +82,12 @@ def purchase_ratio(sessions: DataFrame, indicators: DataFrame, names: Sequence[s
     Sessions without a line have no indicator and leave the means alone. The
     result is long: which key, its value, one ratio per name.
     """
-    joined = sessions.select("session_id", *keys).join(
-        indicators.select("session_id", *[F.col(f"`{n}`") for n in names]), "session_id", "left")
-    return long_means(joined, keys, {n: F.col(f"`{n}`") for n in names})
+    # Indicators go by place while they are joined: names may differ only in case.
+    place = {n: f"i{i}__" for i, n in enumerate(names)}
+    coded = indicators.toDF(*[place.get(c, c) for c in indicators.columns]).select("session_id", *place.values())
+    joined = sessions.select("session_id", *keys).join(coded, "session_id", "left")
+    means = long_means(joined, keys, {c: F.col(c) for c in place.values()})
+    return means.toDF("dimension", "value", *names)
 
 
 def long_means(df: DataFrame, keys: Sequence[str], values: dict[str, Column]) -> DataFrame:

@@ -65,6 +65,12 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def delete_at_end(spark: SparkSession, path: str) -> None:
+    """Have the file system remove an intermediate when the driver ends."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
+
+
 def store(df: DataFrame, partition_by: Sequence[str] = ()) -> DataFrame:
     """Write a large intermediate once as a table in the shared folder.
 
@@ -74,6 +80,7 @@ def store(df: DataFrame, partition_by: Sequence[str] = ()) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     writer = df.write.partitionBy(*partition_by) if partition_by else df.write
     writer.parquet(path)
+    delete_at_end(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -35,11 +35,27 @@ class Retail:
     @cached_property
     def visits(self) -> DataFrame:
         """Sessions without their customer's attributes: no join at all."""
-        return self.table("orders").select(
+        return self._visits(self.table("orders"))
+
+    @staticmethod
+    def _visits(orders: DataFrame) -> DataFrame:
+        return orders.select(
             F.col("o_orderkey").alias("session_id"), F.col("o_custkey").alias("customer_id"),
             F.to_date("o_orderdate").alias("sale_date"), (F.col("o_orderkey") % 24).cast("int").alias("hour"),
             F.col("o_orderpriority").alias("store")).withColumn("split", temporal_split(TRAIN_END, VALID_END))
 
+    def visits_of(self, split: str) -> DataFrame:
+        """Visits of one split, picked on the stored date so that the scan can use it."""
+        date = F.col("o_orderdate")
+        after = {"train": None, "valid": TRAIN_END, "test": VALID_END}[split]
+        upto = {"train": TRAIN_END, "valid": VALID_END, "test": None}[split]
+        orders = self.table("orders")
+        if after:
+            orders = orders.filter(date >= F.date_add(F.lit(after).cast("date"), 1).cast("timestamp"))
+        if upto:
+            orders = orders.filter(date < F.date_add(F.lit(upto).cast("date"), 1).cast("timestamp"))
+        return self._visits(orders)
+
     def with_attributes(self, visits: DataFrame) -> DataFrame:
         places = self.table("nation").join(self.table("region"), F.col("n_regionkey") == F.col("r_regionkey"), "left")
         people = (self.table("customer").join(places, F.col("c_nationkey") == F.col("n_nationkey"), "left")
@@ -52,8 +68,25 @@ class Retail:
 
     @cached_property
     def log(self) -> DataFrame:
+        return self._lines(self.table("lineitem"))
+
+    # The sign of a quantity comes from the return flag: filters on the stored columns reach the scan.
+    @cached_property
+    def purchases(self) -> DataFrame:
+        flag, quantity = F.col("l_returnflag"), F.col("l_quantity")
+        kept = ((flag.isNull() | (flag != "R")) & (quantity > 0)) | ((flag == "R") & (quantity < 0))
+        return self._lines(self.table("lineitem").filter(kept))
+
+    @cached_property
+    def returns(self) -> DataFrame:
+        flag, quantity = F.col("l_returnflag"), F.col("l_quantity")
+        back = ((flag.isNull() | (flag != "R")) & (quantity <= 0)) | ((flag == "R") & (quantity >= 0))
+        return self._lines(self.table("lineitem").filter(back))
+
+    @staticmethod
+    def _lines(lines: DataFrame) -> DataFrame:
         price = F.col("l_extendedprice").cast("decimal(18,2)")
-        return self.table("lineitem").select(
+        return lines.select(
             F.col("l_orderkey").alias("session_id"), F.col("l_partkey").alias("jan"),
             F.when(F.col("l_returnflag") == "R", -F.col("l_quantity")).otherwise(F.col("l_quantity")).alias("quantity"),
             price.alias("amount"),

@@ -45,12 +45,19 @@ TABLES = {
 }
 
 
+def quoted(column: str) -> str:
+    return "`" + column.replace("`", "``") + "`"
+
+
 def read_table(spark: SparkSession, folder: str, name: str, fmt: str = "csv",
                date_format: str = "yyyy-MM-dd") -> DataFrame:
     """Read one table with its declared schema and neutral column names.
 
-    CSV columns are matched to the schema by the header, so column order and
-    extra columns in the file do not matter; dates are parsed while reading.
+    CSV columns are matched to the schema by the header, so their order does not
+    matter; dates are parsed while reading. Columns that are not declared are
+    kept under their own names (from CSV as text), because money and category
+    columns are found among all columns of a file; a declared column goes before
+    another one that already has its neutral name.
     """
     columns = TABLES[name]
     path = f"{folder}/{name}.{fmt}"
@@ -64,7 +71,10 @@ def read_table(spark: SparkSession, folder: str, name: str, fmt: str = "csv",
     else:
         raw = spark.read.format(fmt).load(path)
     present = [c for c in columns if c in raw.columns]
-    out = raw.select(*[F.col(f"`{c}`").cast(columns[c][1]).alias(columns[c][0]) for c in present])
+    taken = {columns[c][0] for c in present}
+    others = [c for c in raw.columns if c not in columns and c not in taken]
+    out = raw.select(*[F.col(quoted(c)).cast(columns[c][1]).alias(columns[c][0]) for c in present],
+                     *[F.col(quoted(c)) for c in others])
     return out.withColumn("hour", parse_hour("sale_time")) if "sale_time" in out.columns else out
 
 

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from basketcast.constants import HOLIDAYS_2024, HOLIDAYS_ALL, TARGETS
 from basketcast.functions import calendar, scalars
-from basketcast.operators import clean, encode
+from basketcast.operators import clean, encode, stats
+from basketcast.operators.factorise import category_rows
 from basketcast.operators.folds import attach_fold, stratified_group_folds
 
 
@@ -129,7 +130,7 @@ def test_exact_quantiles_beyond_the_sketch(spark):
     values = np.concatenate([rng.random(6000) ** 4, np.full(3000, 0.125)])
     df = spark.createDataFrame([(float(v),) for v in values], "score double").repartition(7)
     probs = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
-    got = {r["prob"]: r["quantile"] for r in encode.exact_quantiles(df, [], "score", probs, accuracy=500, small=100).collect()}
+    got = {r["prob"]: r["quantile"] for r in encode.exact_quantiles(df, [], "score", probs, accuracy=500).collect()}
     assert np.allclose([got[p] for p in probs], np.quantile(values, probs), atol=1e-12)
 
 
@@ -153,3 +154,41 @@ def test_folds_keep_customers_whole_and_balanced(spark):
     assert per_customer.filter("n <> 1").count() == 0
     sizes = column(dealt.groupBy("fold").count(), "count")
     assert len(sizes) == 4 and max(sizes) < 1.3 * min(sizes)
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 4, 7, 11, 100, 997])
+def test_exact_quantiles_of_any_size(spark, n):
+    rng = np.random.default_rng(n)
+    values = rng.integers(0, max(2, n // 2), n) / 7 if n % 2 else rng.random(n)
+    probs = [0.0, 0.05, 0.1, 0.25, 0.5, 0.77, 0.9, 1.0]
+    df = spark.createDataFrame([("t", float(v)) for v in values], "target string, score double")
+    got = {r["prob"]: r["quantile"] for r in encode.exact_quantiles(df, ["target"], "score", probs, accuracy=200).collect()}
+    assert [got[p] for p in probs] == pytest.approx(np.quantile(values, probs).tolist())
+
+
+def test_categories_with_any_name(spark):
+    """Dots, names that differ only in case, and parts of a unit."""
+    names = ["Dr. Tea", "Tea", "tea", "a`b"]
+    rows = spark.createDataFrame([(1, "Dr. Tea", 0.5), (1, "tea", 2.0), (2, "Tea", -1.0), (2, "a`b", 0.25), (2, "a`b", 0.25)],
+                                 "session_id long, category string, quantity double")
+    wide = [tuple(r) for r in stats.category_matrix(rows, "session_id", names, "quantity").orderBy("session_id").collect()]
+    assert wide == [(1, 0.5, 0.0, 2.0, 0.0), (2, 0.0, -1.0, 0.0, 0.5)]
+    held = stats.purchase_indicators(rows, names)
+    assert held.columns == ["session_id", *names]
+    assert [tuple(r) for r in held.orderBy("session_id").collect()] == [(1, 0.5, 0.0, 1.0, 0.0), (2, 0.0, 0.0, 0.0, 0.5)]
+    people = spark.createDataFrame([(1, "x"), (2, "x"), (3, "y")], "session_id long, store string")
+    ratio = {r[1]: tuple(r)[2:] for r in stats.purchase_ratio(people, held, names, ["store"]).collect()}
+    assert ratio == {"x": (0.25, 0.0, 0.5, 0.25), "y": (None,) * 4}
+    vectors = category_rows(held, "session_id", names).orderBy("session_id").collect()
+    assert [r["x"] for r in vectors] == [[0.5, 0.0, 1.0, 0.0], [0.0, 0.0, 0.0, 0.5]]
+    levels = encode.one_hot(spark.createDataFrame([("A",), ("a",), (None,)], "c string"), ["c"])
+    assert levels.columns == ["c", "c_A", "c_a"] and [tuple(r)[1:] for r in levels.collect()] == [(1, 0), (0, 1), (0, 0)]
+
+
+def test_sparse_one_hot_of_many_levels(spark):
+    df = spark.range(12_000).selectExpr("concat('v', id) AS a", "IF(id % 3 = 0, NULL, concat('w', id % 5)) AS b")
+    hot = encode.sparse_one_hot(df, ["a", "b"])
+    rows = {r["a"]: r["hot"] for r in hot.collect()}
+    order = sorted(f"v{i}" for i in range(12_000))
+    assert len(rows) == 12_000 and all(rows[v][0] == i for i, v in enumerate(order))
+    assert rows["v0"] == [order.index("v0")] and rows["v1"] == [order.index("v1"), 12_000 + 1]

@@ -1,5 +1,7 @@
 """Every registered query against its SQL twin, and the shape of its plan."""
 
+import re
+
 import pytest
 
 import __spark_entry__ as contract
@@ -28,8 +30,8 @@ def test_query_matches_sql(spark, db, name):
     assert normal(got) == normal(want)
 
 
-@pytest.mark.parametrize("name", ["debug_sample", "random_cut", "truncated_svd", "attribute_mean_embedding", "step_features",
-                                  "nmf", "production_scores", "session_tensors"])
+@pytest.mark.parametrize("name", ["random_cut", "truncated_svd", "attribute_mean_embedding", "step_features",
+                                  "nmf", "production_scores", "session_tensors", "boosted_multi_target", "oof_cv_loop"])
 def test_query_without_twin_runs(spark, name):
     df = contract.queries()[name](spark, FOLDER)
     rows = df.collect()
@@ -44,3 +46,10 @@ def test_entry(spark):
     df = contract.entry(spark)
     assert df.columns == ["session_id", "blend_choc", "blend_beer", "blend_hair", "blend_rice"]
     assert df.count() > 0
+
+
+def test_filters_reach_the_scan(spark):
+    """Splits, purchases and returns are picked on stored columns."""
+    for name, column in (("filter_returns", "l_quantity"), ("return_rows", "l_quantity"), ("customer_category_matrix", "o_orderdate")):
+        plan = plan_of(contract.queries()[name](spark, FOLDER))
+        assert any(column in line for line in re.findall(r"PushedFilters: \[(.*)", plan)), name

@@ -73,3 +73,13 @@ def test_restore_order_and_keep_last(spark):
     assert [(r["session_id"], r["choc"]) for r in sinks.restore_order(scores, order).collect()] == [(5, 0.5), (3, 0.3), (9, None)]
     twice = spark.createDataFrame([(1, 0, 0.1), (1, 2, None), (2, 1, 0.2)], "session_id long, ord int, choc double")
     assert sorted((r["session_id"], r["ord"], r["choc"]) for r in sinks.dedupe_keep_last(twice).collect()) == [(1, 2, None), (2, 1, 0.2)]
+
+
+def test_undeclared_columns_are_kept(spark, tmp_path):
+    (tmp_path / "train_log.csv").write_text("値引金額,session_id,JAN,quantity,売上数量,売上金額,店.名\n1.5,1,4900,9,2,198.50,x\n,2,4901,9,-1,-100,\n")
+    (tmp_path / "jan.csv").write_text("JAN,部門,カテゴリ名,ブランド\n4900,菓子,,A\n4901,日用品,洗剤,\n")
+    log, jan = tables.read_table(spark, str(tmp_path), "train_log"), tables.read_table(spark, str(tmp_path), "jan")
+    assert log.columns == ["session_id", "jan", "quantity", "amount", "値引金額", "店.名"]
+    assert [r["quantity"] for r in log.orderBy("session_id").collect()] == [2.0, -1.0]
+    found = tables.detect_columns(log, jan)
+    assert found["money"] == ["amount", "値引金額"] and found["category"] == ["category", "部門", "ブランド"]
