@@ -52,12 +52,12 @@ class Network:
 
 
 def laid_out(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes of all texts, each filled up with at least ``WIDTH`` zeros to whole half chunks; first half chunk of each."""
+    """Bytes of all texts in whole half chunks, ``WIDTH`` zeros in front of each, so that no filter sees two texts; first half chunk of each."""
     halves = np.array([(len(t) + WIDTH + HALF - 1) // HALF for t in texts])
     first = np.cumsum(halves) - halves
     data = np.zeros(int(halves.sum()) * HALF + WIDTH, np.uint8)
     for text, start in zip(texts, first):
-        data[start * HALF:start * HALF + len(text)] = np.frombuffer(text, np.uint8)
+        data[start * HALF + WIDTH:start * HALF + WIDTH + len(text)] = np.frombuffer(text, np.uint8)
     return data, first
 
 
