@@ -1,0 +1,245 @@
+"""Toxicity grammar, byte network and language model: brute force, invariants and held-out accuracy."""
+
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pandas as pd
+import pytest
+
+from basketcast.llm import byte_cnn, pitman_yor, toxicity
+from basketcast.llm.queries import QUERIES
+
+FOLDER = "/root/testdata/sf0.001"
+LARGER = "/root/testdata/sf0.1"
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def documents(spark, texts):
+    return spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(texts)], DOCS)
+
+
+def area(score, y):
+    rank = pd.Series(score).rank().to_numpy()
+    n1, n0 = (y == 1).sum(), (y == 0).sum()
+    return (rank[y == 1].sum() - n1 * (n1 + 1) / 2) / (n1 * n0)
+
+
+def held_out(spark, name, label):
+    got = QUERIES[name](spark, LARGER).toPandas()
+    docs = spark.read.parquet(f"{LARGER}/documents.parquet")
+    assert sorted(got.doc_id) == sorted(r[0] for r in docs.select("doc_id").collect()) and got.score.between(0, 1).all()
+    labels = spark.read.parquet(f"{LARGER}/labels.parquet").toPandas()
+    some = got[got.held_out].merge(labels, on="doc_id")
+    return got, some, some[label].to_numpy()
+
+
+# --- Toxicity ------------------------------------------------------------------
+
+def events(*texts):
+    import pyarrow as pa
+
+    return [dict(zip(toxicity.EVENTS, row)) for row in toxicity.event_sums(pa.array(texts, pa.string()), toxicity.prior_grammar())]
+
+
+def test_clauses_and_not_words_are_scored():
+    plain, aimed, negated, quoted, threat, idle, far, after, empty = events(
+        "what an idiot", "you are an idiot", "you are not an idiot", "they reported that the man was an idiot", "i will kill you", "kill time",
+        "not so. then came one idiot", "idiots, you two", "")
+    assert plain["plain"] == 1 and aimed["aimed"] == 1 and negated["negated"] == 1 and quoted["reported"] == 1 and threat["threat"] == 1
+    assert sum(idle.values()) == 0 and far["negated"] == 0 and sum(far.values()) == 1 and after["aimed"] == 1 and sum(empty.values()) == 0
+
+
+def test_composition_equals_the_parts():
+    rng = np.random.default_rng(0)
+    machine = toxicity.Machine()
+    for _ in range(50):
+        tags = rng.integers(0, 7, 30).tolist()
+        state, parts = 0, [0] * len(toxicity.PARTS)
+        for tag in tags:
+            state, event = machine.move(state, tag)
+            assert event == toxicity.Machine.event(tuple(parts), tag)
+            parts = [step(s, tag) for step, s in zip(toxicity.PARTS, parts)]
+            assert machine.tuples[state] == tuple(parts)
+    assert len(machine.tuples) <= 4 * 9 * 5
+
+
+def test_texts_do_not_reach_into_each_other():
+    together = events("you", "idiot", "not", "moron you", "x " * 40_000 + "scum")
+    alone = [events(t)[0] for t in ("you", "idiot", "not", "moron you", "x " * 40_000 + "scum")]
+    assert together == alone and together[1]["plain"] == 1
+
+
+def test_toxicity_on_held_out_rows(spark):
+    got, some, y = held_out(spark, "op3_toxicity", "toxic")
+    assert (got.held_out == [zlib.crc32(str(i).encode()) % 3 == 1 for i in got.doc_id]).all()
+    assert area(some.score, y) > 0.95
+    assert (some.predicted[y == 1] == 1).mean() > 0.8 and (some.predicted[y == 0] == 1).mean() < 0.01
+
+
+def test_toxicity_edges(spark):
+    docs = documents(spark, [None, "", "you idiot moron scum, you pathetic loser", "fine"]).withColumnRenamed("n_chars", "toxicity")
+    labels = spark.createDataFrame([(None, 1, 1), (2, None, None), (77, 1, 1)], "doc_id long, quality int, toxic int")
+    grammar = toxicity.fit(docs, labels)
+    rows = toxicity.score(docs, grammar).orderBy("doc_id").collect()
+    assert [r["toxicity"] >= toxicity.THRESHOLD for r in rows] == [False, False, True, False]
+    assert rows[0]["toxicity"] == rows[1]["toxicity"] == rows[3]["toxicity"] and rows[2]["matched_clauses"] == 5
+    assert [r["doc_id"] for r in toxicity.clean(docs, grammar).orderBy("doc_id").collect()] == [0, 1, 3]
+    assert toxicity.score(docs.limit(0), toxicity.fit(docs.limit(0), labels.limit(0))).count() == 0
+
+
+# --- Quality ---------------------------------------------------------------------
+
+def brute_forward(net, text):
+    data = np.zeros((len(text) + byte_cnn.WIDTH + byte_cnn.HALF - 1) // byte_cnn.HALF * byte_cnn.HALF + byte_cnn.WIDTH, int)
+    data[byte_cnn.WIDTH:byte_cnn.WIDTH + len(text)] = list(text)
+    places = (len(data) - byte_cnn.WIDTH) // byte_cnn.STRIDE
+    conv = np.array([np.maximum(net.bias + sum(net.tables[k, data[p * byte_cnn.STRIDE + k]] for k in range(byte_cnn.WIDTH)), 0) for p in range(places)])
+    half = [conv[i:i + byte_cnn.PLACES].mean(axis=0) for i in range(0, places, byte_cnn.PLACES)]
+    seen = [(half[i] + half[min(i + 1, len(half) - 1)]) / 2 for i in range(len(half))]
+    best = np.max([np.maximum(s @ net.units + net.unit_bias, 0) for s in seen], axis=0)
+    return 1 / (1 + np.exp(-(best @ net.out + net.out_bias)))
+
+
+def test_network_matches_a_plain_one():
+    rng = np.random.default_rng(4)
+    net = byte_cnn.new_network(rng)
+    texts = [b"", b"a", bytes(range(256)) * 3, rng.bytes(1_000), b"word " * 200, "é😀".encode() * 30]
+    want = [brute_forward(net, t) for t in texts]
+    assert byte_cnn.forward(net, texts) == pytest.approx(want, abs=1e-5)
+    assert [float(byte_cnn.forward(net, [t])[0]) for t in texts] == pytest.approx(want, abs=1e-5)
+    # The end of a long text counts as much as its start.
+    assert byte_cnn.forward(net, [b"a" * 100_000 + b"&&& ***" * 20])[0] != byte_cnn.forward(net, [b"a" * 100_140])[0]
+
+
+def test_gradients_match_differences():
+    rng = np.random.default_rng(6)
+    net = byte_cnn.new_network(rng)
+    net = byte_cnn.Network(*[np.asarray(getattr(net, k), np.float64) for k in ("tables", "bias", "units", "unit_bias", "out")], 0.1)
+    texts, y = [b"The quick brown fox " * 9, b"AND *** &&& 123 " * 7, b"x"], np.array([1.0, 0.0, 1.0])
+
+    def loss(n):
+        p = byte_cnn.forward(n, texts)
+        return float(-(y * np.log(p) + (1 - y) * np.log(1 - p)).mean())
+
+    grad = byte_cnn.gradients(net, texts, y)
+    for key, at in (("out", 3), ("units", (2, 5)), ("unit_bias", 1), ("bias", 4), ("tables", (2, ord("u"), 7)), ("tables", (0, ord("*"), 1))):
+        values = []
+        for step in (1e-2, -1e-2):
+            moved = getattr(net, key).copy()
+            moved[at] += step
+            values.append(loss(byte_cnn.Network(**{**net.__dict__, key: moved})))
+        assert grad[key][at] == pytest.approx((values[0] - values[1]) / 2e-2, rel=0.1, abs=2e-5)
+
+
+def test_quality_on_held_out_rows(spark):
+    got, some, y = held_out(spark, "op6_byte_cnn", "quality")
+    assert (got.held_out == [zlib.crc32(str(i).encode()) % 5 == 0 for i in got.doc_id]).all()
+    assert area(some.score, y) > 0.97
+    assert (some.predicted[y == 1] == 1).mean() > 0.98 and (some.predicted[y == 0] == 0).mean() > 0.85
+
+
+def test_quality_edges(spark):
+    docs = documents(spark, [None, "", "text"]).withColumnRenamed("n_chars", "quality")
+    labels = spark.createDataFrame([(2, 1, 0)], "doc_id long, quality int, toxic int")
+    share = byte_cnn.fit(docs, labels)
+    assert share == 1.0 and [r["quality"] for r in byte_cnn.score(docs, share).collect()] == [1.0] * 3
+    assert byte_cnn.fit(docs, labels.limit(0)) == 0.5 and byte_cnn.score(docs.limit(0), 0.5).count() == 0
+    net = byte_cnn.new_network(np.random.default_rng(0))
+    rows = byte_cnn.score(docs, net).orderBy("doc_id").collect()
+    assert rows[0]["quality"] == rows[1]["quality"]
+
+
+# --- Language model -------------------------------------------------------------------
+
+def brute_base(rows):
+    low = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+    tokens = [re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(low)) + ["\n"] for _, t in rows]
+    train = Counter()
+    for (doc, _), t in zip(rows, tokens):
+        if zlib.crc32(str(doc).encode()) % 7 != 2:
+            train.update(t)
+    n = sum(train.values())
+    score = [sum(np.log10((train[w] + 1) / (n + len(train) + 1)) for w in t) for t in tokens]
+    return {doc: (len(t), sum(train[w] > 0 for w in t), n, s) for (doc, _), t, s in zip(rows, tokens, score)}
+
+
+def test_counts_and_base_match_brute_force_and_the_model_is_better(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").toPandas()
+    got = QUERIES["op7_pitman_yor"](spark, "/root/testdata/sf0.01").toPandas()
+    want = brute_base(list(zip(docs.doc_id, docs.text)))
+    assert len(got) == len(docs)
+    for r in got.itertuples():
+        assert (r.n_tokens, r.n_known, r.train_tokens) == want[r.doc_id][:3] and r.base_score == pytest.approx(want[r.doc_id][3])
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 7 == 2)
+    report = {r["held_out"]: r for r in pitman_yor.perplexity(spark.createDataFrame(got)).collect()}
+    assert report[True]["perplexity"] < 0.6 * report[True]["base_perplexity"]
+    assert report[False]["perplexity"] < report[True]["perplexity"]
+
+
+def test_probabilities_of_a_context_sum_to_one(spark, tmp_path):
+    rng = np.random.default_rng(8)
+    names = [f"w{i}" for i in range(40)]
+    texts = [" ".join(rng.choice(names, 30, p=np.r_[[0.02] * 30, [0.04] * 10])) for _ in range(60)] + [None, ""]
+    docs = documents(spark, texts).selectExpr("doc_id", "coalesce(text, '') AS text", "false AS held_out")
+    model = pitman_yor.fit(docs, str(tmp_path / "tokens"))
+    rows = pitman_yor.model_words(model.words).toArrow().combine_chunks().to_batches()[0:]
+    total, seen = np.zeros(pitman_yor.CONTEXTS + 1), 0
+    for batch in rows:
+        key, probability, parents, count = pitman_yor.predictive(batch, model.samples)
+        value = pitman_yor.mean_back_off(parents, model.samples)
+        value[key // 256, key % 256] = probability
+        total += value.sum(axis=0)
+        seen += len(batch)
+    unknown = pitman_yor.mean_back_off(np.array([[t.parent(0.0, 0.0) for t in model.samples]]), model.samples)[0]
+    assert seen == 41 and total + unknown == pytest.approx(np.ones(len(total)))
+
+
+def test_seating_keeps_its_books():
+    rng = np.random.default_rng(9)
+    contexts, customers, n_pairs = np.array([0, 1, 2, 1, 5], np.uint8), np.array([1, 7, 900, 2, 30], np.int64), np.array([3, 1, 1], np.int16)
+    pack = {"names": b"a\nb\nc", "n_pairs": n_pairs.tobytes(), "contexts": contexts.tobytes(), "customers": customers.tobytes(),
+            **dict.fromkeys(["sizes", "parent_sizes", "table_sums", "parents"])}
+    sizes = np.zeros(pitman_yor.CONTEXTS + 1, np.int64)
+    np.add.at(sizes, contexts, customers)
+    totals = pitman_yor.Totals(sizes, (sizes > 0).astype(np.int64), 3.0, 0.6, 0.5, 3)
+    for turn in range(40):
+        pack, sums = pitman_yor.sweep(pack, totals, rng, keep=turn >= 2)
+        child, parent = np.frombuffer(pack["sizes"], np.int64), np.frombuffer(pack["parent_sizes"], np.int64)
+        assert child.sum() == customers.sum() and (child > 0).all() and parent.sum() == len(child) == sums[:-1].sum() and len(parent) == sums[-1]
+        totals = pitman_yor.Totals(sizes, sums[:-1], float(sums[-1]), 0.6, 0.5, 3)
+    means = np.frombuffer(pack["table_sums"], np.int32) / 38
+    assert means[0] == 1 and (means >= 1).all() and (means <= customers).all()
+
+
+def exact_tables(customers, fresh, discount):
+    """Expected tables of one dish given its customers, by summing over all seatings."""
+    weight = {(1, 1): 1.0}
+    for n in range(1, customers):
+        weight_next: dict = {}
+        for (c, t), w in weight.items():
+            weight_next[c + 1, t] = weight_next.get((c + 1, t), 0) + w * (c - discount * t)
+            weight_next[c + 1, t + 1] = weight_next.get((c + 1, t + 1), 0) + w * fresh
+        weight = weight_next
+    return sum(t * w for (_, t), w in weight.items()) / sum(weight.values())
+
+
+def test_gibbs_moves_reach_the_seating_distribution():
+    rng, copies, customers, fresh, discount = np.random.default_rng(10), 4_000, 6, 0.8, 0.5
+    seats = pitman_yor.Seats(*pitman_yor.even_tables(np.full(copies, customers), np.full(copies, 1)), rng)
+    everyone = np.arange(copies)
+    for _ in range(60):
+        seats.take_out(everyone)
+        seats.seat(everyone, np.full(copies, fresh), discount)
+    assert seats.counts(copies).mean() == pytest.approx(exact_tables(customers, fresh, discount), rel=0.03)
+
+
+def test_language_model_edges(spark):
+    rows = [None, "", "A a\x0bb", "x" * 50_000, "word " * 50_000, "A a\x0bb"]
+    got = pitman_yor.score_documents(documents(spark, rows)).toPandas().set_index("doc_id")
+    want = brute_base(list(enumerate(rows)))
+    assert {d: (r.n_tokens, r.n_known, r.train_tokens) for d, r in got.iterrows()} == {d: w[:3] for d, w in want.items()}
+    assert np.isfinite(got.score).all() and pitman_yor.score_documents(documents(spark, rows).limit(0)).count() == 0
+    lone = pitman_yor.score_documents(documents(spark, ["a"] * 30).filter("doc_id % 7 = 0 AND crc32(CAST(CAST(doc_id AS STRING) AS BINARY)) % 7 = 2")).toPandas()
+    assert (lone.score == 0).all() and (lone.base_score == 0).all()
