@@ -32,6 +32,12 @@ def new_folder(spark: SparkSession, kind: str) -> str:
     return f"{shared_folder(spark)}/{kind}-{uuid.uuid4().hex}"
 
 
+def delete_folder(spark: SparkSession, path: str) -> None:
+    """Remove a folder that this run made and no longer reads."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Write a frame once to the shared folder and read it back: cuts lineage, survives lost executors."""
     path = new_folder(df.sparkSession, "llm")
