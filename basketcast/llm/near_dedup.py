@@ -10,13 +10,18 @@ every candidate pair is verified with exact similarities before it counts as a l
 
 Copies of one word sequence are one text from the start, and links join texts, not rows:
 
-1. buckets of up to ``SMALL`` texts are compared pair by pair, larger ones with two leaders each;
-2. links are closed to classes; in larger buckets that still hold several classes, one text of each
-   class meets the texts of the others, as long as this joins classes;
-3. what is left in such buckets is compared across classes in full, so no candidate is given up.
-
-A link is a pair with probability Jaccard or plain Jaccard of at least ``SIMILARITY``. A class is a
-connected set of texts; its id is the smallest document id in it.
+1. buckets of up to ``SMALL`` texts are compared pair by pair, larger ones with two leaders each, and
+   links are closed to classes;
+2. texts of larger buckets that still hold several classes go through an exact join: two similar texts
+   share one of their rarest shingles, which leaves out passages that many texts have. In each such
+   shingle all texts meet the first one, as long as this joins classes;
+3. families of texts that still share such shingles across classes are compared in full, block by
+   block, so no candidate is given up. This last step is quadratic in a family; it is small, because
+   only texts that no leader could tell apart get there.
+
+A link is a pair whose distinct shingles have a Jaccard similarity of at least ``SIMILARITY``; the
+weights decide which pairs are looked at. A class is a connected set of texts; its id is the smallest
+document id in it.
 
 Defined cases: a null text has no words; texts without words are one class; a text of fewer than five
 words is one shingle; null ids count as the largest; repeated rows belong to the same class; an empty
@@ -41,6 +46,7 @@ SIMILARITY = 0.8
 BANDS, ROWS = 32, 5
 REGISTERS = BANDS * ROWS
 SMALL = 8                # texts of a bucket that is compared pair by pair
+FAMILY_BLOCK = 64        # texts of a block in the last comparison
 EMPTY = bytes(16)
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -184,7 +190,7 @@ def verified(pairs: DataFrame, table: DataFrame) -> DataFrame:
             for row in zip(*[batch.column(c).to_pylist() for c in ("ha", "ca", "hb", "cb")]):
                 a, b = np.frombuffer(row[0], np.uint64), np.frombuffer(row[2], np.uint64)
                 x, y = (1 + np.log(np.frombuffer(row[i], np.int32)) for i in (1, 3))
-                keep.append(max(similarity(a, x, b, y)) >= SIMILARITY)
+                keep.append(similarity(a, x, b, y)[0] >= SIMILARITY)
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     left = table.select(F.col("text_key").alias("a"), F.col("hashes").alias("ha"), F.col("counts").alias("ca"))
@@ -207,7 +213,6 @@ def close(links: DataFrame) -> DataFrame:
         offered = edges.join(labels, F.col("b") == F.col("text_key")).groupBy("a").agg(F.min("label").alias("offer"))
         nearer = labels.join(offered, F.col("text_key") == F.col("a"), "left").select(
             "text_key", F.col("label").alias("old"), F.least("label", F.coalesce("offer", "label")).alias("label"))
-        nearer = stored(nearer)
         own = nearer.select(F.col("text_key").alias("of"), F.col("label").alias("further"))
         jumped = stored(nearer.join(own, F.col("label") == F.col("of"), "left").select(
             "text_key", "old", F.least("label", F.coalesce("further", "label")).alias("label")))
@@ -237,28 +242,102 @@ def text_classes(docs: DataFrame, texts: DataFrame) -> DataFrame:
     done = stored(pairs.union(stars).filter("a <> b").distinct())
     links = stored(verified(done, table))
     labels = close(links)
-    large = large.select("band", "key", "text_key")
+    # Texts of larger buckets in which several classes are left meet once more, now by their rarest shingles.
+    told = stored(with_labels(large.select("band", "key", "text_key"), labels))
+    several = told.groupBy("band", "key").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).filter("l0 <> l1").select("band", "key")
+    left = stored(told.join(several, ["band", "key"], "left_semi").select("text_key").distinct())
+    if left.isEmpty():
+        return labels
+    prefixes = stored(rare_shingles(table.join(left, "text_key", "left_semi")))
     while True:
-        # One text of each class meets the other classes of its bucket.
-        told = stored(with_labels(large, labels))
-        several = told.groupBy("band", "key").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).filter("l0 <> l1").select("band", "key")
-        several = stored(told.join(several, ["band", "key"], "left_semi"))
-        one = several.groupBy("band", "key", "label").agg(F.min("text_key").alias("first"))
-        fresh = across(several, one.withColumnRenamed("label", "other").withColumnRenamed("first", "with"), done)
+        # In each shingle all texts meet its first text, as long as this joins classes ...
+        met = stored(with_labels(prefixes, labels))
+        mixed_ones = met.groupBy("shingle").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.min(F.struct("text_key", "label")).alias("first"))
+        mixed_ones = stored(mixed_ones.filter("l0 <> l1").select("shingle", F.col("first.text_key").alias("with"), F.col("first.label").alias("other")))
+        fresh = across(met, mixed_ones, done)
         found = stored(verified(fresh, table))
         if found.isEmpty():
             break
         done, links = stored(done.union(fresh)), stored(links.union(found))
         labels = close(links)
-    # No single meeting joins classes any more: compare the rest in full.
-    every = several.select("band", "key", F.col("label").alias("other"), F.col("text_key").alias("with"))
-    found = stored(verified(across(several, every, done), table))
+    # ... and at last every text meets those of other classes, block by block.
+    rest = stored(met.join(mixed_ones.select("shingle"), "shingle", "left_semi"))
+    if rest.isEmpty():
+        return labels
+    met_first = rest.join(mixed_ones.select("shingle", "with"), "shingle")
+    families = close(met_first.select(F.col("text_key").alias("a"), F.col("with").alias("b")).distinct()).withColumnRenamed("label", "family")
+    found = stored(linked_blocks(with_labels(families, labels), table))
     return labels if found.isEmpty() else close(links.union(found))
 
 
+def linked_blocks(rows: DataFrame, table: DataFrame) -> DataFrame:
+    """Links between classes among all texts of a family (``text_key, family, label``).
+
+    A family is dealt into blocks of about ``FAMILY_BLOCK`` texts; a row of the join is a pair of blocks, whose
+    shared shingles are counted by one matrix product. One link for each pair of classes is enough.
+    """
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                left, right = row["left"], row["right"]
+                sets = [np.frombuffer(t["hashes"], np.uint64) for t in (*left, *right)]
+                size = np.array([len(v) for v in sets])
+                names, at = np.unique(np.concatenate(sets), return_inverse=True)
+                often = np.bincount(at) > 1
+                place = np.cumsum(often) - 1
+                keep = often[at]
+                has = np.zeros((len(sets), int(often.sum())), np.float32)
+                has[np.repeat(np.arange(len(sets)), size)[keep], place[at[keep]]] = 1
+                n = len(left)
+                both = has[:n] @ has[n:].T
+                for i, j in np.argwhere(both >= SIMILARITY * (size[:n, None] + size[None, n:] - both) - 1e-6):
+                    if left[i]["label"] != right[j]["label"] and both[i, j] / (size[i] + size[n + j] - both[i, j]) >= SIMILARITY:
+                        out.append((left[i]["text_key"], right[j]["text_key"]))
+            yield pa.RecordBatch.from_arrays([pa.array([min(p) for p in out], pa.binary()), pa.array([max(p) for p in out], pa.binary())], names=["a", "b"])
+
+    spark = rows.sparkSession
+    texts = stored(rows)
+    several = texts.groupBy("family").agg(F.count("*").alias("n"), F.min("label").alias("l0"), F.max("label").alias("l1")).filter("l0 <> l1")
+    several = stored(several.select("family", F.ceil(F.col("n") / FAMILY_BLOCK).cast("int").alias("blocks")))
+    dealt = texts.join(several, "family").withColumn("block", F.pmod(F.hash("text_key"), F.col("blocks")))
+    full = dealt.join(table.select("text_key", "hashes"), "text_key").groupBy("family", "block", "blocks").agg(
+        F.collect_list(F.struct("text_key", "label", "hashes")).alias("texts"))
+    full = stored(full)
+    # Each pair of blocks is a row of its own, so that a large family is spread over many tasks.
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    left = full.select("family", F.col("block").alias("i"), every.alias("j"), F.col("texts").alias("left")).filter("i <= j")
+    right = full.select("family", every.alias("i"), F.col("block").alias("j"), F.col("texts").alias("right")).filter("i <= j")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    found = stored(left.join(right, ["family", "i", "j"]).select("left", "right").mapInArrow(each, "a binary, b binary").distinct())
+    small_batches(spark)
+    return found
+
+
+def rare_shingles(table: DataFrame) -> DataFrame:
+    """``text_key, shingle``: the rarest shingles of each text, so many that two similar texts must share one.
+
+    Of n shingles at most ``n - ceil(SIMILARITY * n)`` may be missing in the other text; one more must be
+    common. Rarest first leaves out what many texts share, such as a passage.
+    """
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.frombuffer(h, np.int64) for h in batch.column("hashes").to_pylist()]
+            n = np.array([len(v) for v in sets])
+            yield pa.RecordBatch.from_arrays([batch.column("text_key").take(pa.array(np.repeat(np.arange(len(n)), n))), pa.array(np.concatenate(sets)),
+                                              pa.array(np.repeat(n - np.ceil(SIMILARITY * n - 1e-9).astype(np.int64) + 1, n))],
+                                             names=["text_key", "shingle", "wanted"])
+
+    rows = stored(table.select("text_key", "hashes").mapInArrow(each, "text_key binary, shingle long, wanted long"))
+    often = stored(rows.groupBy("shingle").agg(F.count("*").alias("texts")))
+    rank = F.row_number().over(Window.partitionBy("text_key").orderBy("texts", "shingle"))
+    ranked = rows.join(often, "shingle").withColumn("rank", rank).filter(F.col("rank") <= F.col("wanted"))
+    return ranked.filter("texts > 1").select("text_key", "shingle")
+
+
 def across(rows: DataFrame, others: DataFrame, done: DataFrame) -> DataFrame:
-    """Pairs of different classes in one bucket that were not compared yet, stored."""
-    pairs = rows.join(others, ["band", "key"]).filter(F.col("label") != F.col("other"))
+    """Pairs of different classes in one shingle that were not compared yet, stored."""
+    pairs = rows.join(others, "shingle").filter(F.col("label") != F.col("other"))
     return stored(pairs.select(*in_order(F.col("text_key"), F.col("with"))).distinct().join(done, ["a", "b"], "left_anti"))
 
 
