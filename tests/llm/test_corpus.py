@@ -326,3 +326,24 @@ def test_stages_keep_columns_and_bear_nulls(spark, tmp_path):
     toxic = corpus_pipeline.toxicity_stage(spark, docs, FOLDER).toPandas()
     assert not toxic.text.fillna("").str.contains("idiot").any() and len(toxic) == 4
     assert len(corpus_pipeline.near_dedup_stage(spark, docs, FOLDER).toPandas()) == 3
+
+
+def test_blocks_find_every_link_between_classes(spark, monkeypatch):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(12)
+    base = [f"b{i}" for i in range(200)]
+    texts = [edited(rng, base, int(rng.integers(2, 14))) for _ in range(60)] + [edited(rng, [f"c{i}" for i in range(80)], 2) for _ in range(5)]
+    values, rows = near_dedup.word_numbers(pa.array(texts))
+    of, value, count = near_dedup.shingles(values, rows, len(texts))
+    sets = [set(value[of == i].tolist()) for i in range(len(texts))]
+    keys = [b"%03d" % i for i in range(len(texts))]
+    table = spark.createDataFrame([(bytearray(k), bytearray(value[of == i].tobytes())) for i, k in enumerate(keys)], "text_key binary, hashes binary")
+    members = spark.createDataFrame([(bytearray(k), bytearray(b"base" if i < 60 else b"other"), bytearray(k if i % 3 else b"class")) for i, k in enumerate(keys)],
+                                    "text_key binary, family binary, label binary")
+    want = {(keys[i], keys[j]) for i in range(len(texts)) for j in range(i + 1, len(texts))
+            if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= near_dedup.SIMILARITY and (i % 3 or j % 3) and (i < 60) == (j < 60)}
+    for block in (64, 7):
+        monkeypatch.setattr(near_dedup, "FAMILY_BLOCK", block)
+        assert {(bytes(r["a"]), bytes(r["b"])) for r in near_dedup.linked_blocks(members, table).collect()} == want
+    assert want
