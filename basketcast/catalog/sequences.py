@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from basketcast.catalog.aggregates import embeddings
 from basketcast.functions.calendar import calendar_features
 from basketcast.catalog.registry import each, query, text_date, twin
-from basketcast.constants import TARGETS
+from basketcast.constants import RANDOM_CUT, TARGETS
 from basketcast.operators import sequences
 from basketcast.plans.session_tensors import encoded_sessions, session_vectors
 from basketcast.sources.surrogate import MONEY
@@ -80,7 +80,16 @@ def sliding_windows(retail):
     return train_windows(retail).withColumn("steps", F.concat_ws(",", F.transform("steps", lambda s: s.cast("string"))))
 
 
-@query("random_cut")
+def draw_sql(salt: int) -> str:
+    return f"CAST(CAST('0x' || substr(md5(customer_id || '|' || start || '|42|{salt}'), 1, 8) AS BIGINT) AS DOUBLE) / 4294967296"
+
+
+@query("random_cut", twin("session", f"""
+SELECT p.customer_id, CAST(p.start AS BIGINT) AS start, CAST(p.origin AS BIGINT) AS origin, w.session_id, w.steps
+FROM (SELECT customer_id, start AS origin,
+             CASE WHEN {draw_sql(1)} < {RANDOM_CUT}::DOUBLE AND start > 0 THEN start + CAST(floor({draw_sql(2)} * (last - start + 1)) AS BIGINT) ELSE start END AS start
+      FROM (SELECT *, max(start) OVER (PARTITION BY customer_id) AS last FROM windows)) p
+JOIN windows w ON w.customer_id = p.customer_id AND w.start = p.start""", ORDERED_SQL, WINDOW_SQL))
 def random_cut(retail):
     return sequences.random_cut(train_windows(retail)).withColumn(
         "steps", F.concat_ws(",", F.transform("steps", lambda s: s.cast("string"))))

@@ -11,7 +11,7 @@ from basketcast.constants import RANDOM_CUT, SEQUENCE_LENGTH, SEQUENCE_SUPPORT
 from basketcast.functions.scalars import CYCLE_DIVISORS
 from basketcast.operators.ordering import BLOCK_ROWS, halo_blocks, last_rows, with_position
 from basketcast.operators.skew import HeavyKeys, heavy_keys, join_statistics
-from basketcast.session import one_row
+from basketcast.session import one_row, store
 
 # Calendar cells of a customer's history, in time order.
 DAY = ("sale_date",)
@@ -124,13 +124,15 @@ def random_cut(windows: DataFrame, probability: float = RANDOM_CUT, seed: int =
 
     With the given probability, a window that is not a customer's first is
     replaced by one that starts anywhere from there to the customer's last
-    start. The draw is a seeded hash, so reruns and retries agree.
+    start. The draw is a seeded hash, so reruns and retries agree. The windows
+    are stored once: three reads of a few columns follow.
     """
+    windows = store(windows)
     last = windows.groupBy(customer).agg(F.max("start").alias("_last"))
 
     def draw(salt: int) -> Column:
-        bits = F.xxhash64(F.col(customer), F.col("start"), F.lit(seed), F.lit(salt))
-        return F.pmod(bits, F.lit(1_000_003)) / F.lit(1_000_003.0)
+        text = F.concat_ws("|", F.col(customer).cast("string"), F.col("start").cast("string"), F.lit(str(seed)), F.lit(str(salt)))
+        return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
 
     span = F.col("_last") - F.col("start") + 1
     moved = F.col("start") + F.floor(draw(2) * span).cast("long")

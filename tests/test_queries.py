@@ -30,7 +30,7 @@ def test_query_matches_sql(spark, db, name):
     assert normal(got) == normal(want)
 
 
-@pytest.mark.parametrize("name", ["random_cut", "truncated_svd", "attribute_mean_embedding", "step_features",
+@pytest.mark.parametrize("name", ["truncated_svd", "attribute_mean_embedding", "step_features",
                                   "nmf", "production_scores", "session_tensors", "boosted_multi_target", "oof_cv_loop"])
 def test_query_without_twin_runs(spark, name):
     df = contract.queries()[name](spark, FOLDER)
