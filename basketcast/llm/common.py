@@ -41,7 +41,7 @@ def delete_folder(spark: SparkSession, path: str) -> None:
 def stored(df: DataFrame) -> DataFrame:
     """Write a frame once to the shared folder and read it back: cuts lineage, survives lost executors."""
     path = new_folder(df.sparkSession, "llm")
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
