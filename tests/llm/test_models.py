@@ -243,3 +243,51 @@ def test_language_model_edges(spark):
     assert np.isfinite(got.score).all() and pitman_yor.score_documents(documents(spark, rows).limit(0)).count() == 0
     lone = pitman_yor.score_documents(documents(spark, ["a"] * 30).filter("doc_id % 7 = 0 AND crc32(CAST(CAST(doc_id AS STRING) AS BINARY)) % 7 = 2")).toPandas()
     assert (lone.score == 0).all() and (lone.base_score == 0).all()
+
+
+def table_moments(customers, fresh, discount, most):
+    """Mean and deviation of the number of tables, up to ``most``, by a recursion over the customers in logs."""
+    weight = np.full(most + 1, -np.inf)
+    weight[1], t = 0.0, np.arange(most + 1)
+    for n in range(1, customers):
+        old = weight + np.log(np.maximum(n - discount * t, 1e-300))
+        old[1:] = np.logaddexp(old[1:], weight[:-1] + np.log(fresh))
+        weight = old
+    share = np.exp(weight - weight.max())
+    mean = (t * share).sum() / share.sum()
+    return mean, np.sqrt(((t - mean) ** 2 * share).sum() / share.sum())
+
+
+def test_numbers_of_tables_are_drawn_from_their_distribution():
+    for customers, fresh, discount in ((6, 0.8, 0.5), (100, 3.0, 0.75), (300, 0.01, 0.6), (300, 40.0, 0.6), (400, 5.0, 0.9), (400, 300.0, 0.3)):
+        copies = 4_000
+        got = pitman_yor.draw_tables(np.full(copies, customers), np.full(copies, np.log(fresh)), discount, np.random.default_rng(12))
+        mean, sd = table_moments(customers, fresh, discount, customers)
+        assert got.mean() == pytest.approx(mean, abs=0.08 * sd) and got.std() == pytest.approx(sd, rel=0.1), (customers, fresh, discount)
+
+
+def test_large_pairs_are_seated_whole_and_leave_a_bad_start():
+    customers, fresh, discount = 100_000, 10.0, 0.6
+    mean, sd = table_moments(customers, fresh, discount, 400)
+    got = pitman_yor.draw_tables(np.full(2_000, customers), np.full(2_000, np.log(fresh)), discount, np.random.default_rng(13))
+    assert mean < 200 and got.mean() == pytest.approx(mean, abs=0.1 * sd) and got.std() == pytest.approx(sd, rel=0.1)
+    # The same pair in a sweep, in 200 words, from far too few and far too many tables.
+    n = 200
+    totals = pitman_yor.Totals(np.r_[customers * n, np.zeros(255, int)], np.r_[500 * n, np.zeros(255, int)], 2.0 * n, discount, 0.5, n)
+    ends = []
+    for start in (1, 90_000):
+        pack = {"names": b"\n".join([b"a"] * n), "n_pairs": np.ones(n, np.int16).tobytes(), "contexts": bytes(n), "customers": np.full(n, customers).tobytes(),
+                "table_sums": bytes(4 * n), "parents": b"", "sizes": pitman_yor.even_tables(np.full(n, customers), np.full(n, start))[1].tobytes(),
+                "parent_sizes": np.full(n, start).tobytes()}
+        seen = []
+        for turn in range(30):
+            pack, sums = pitman_yor.sweep(pack, totals, np.random.default_rng(turn), keep=False)
+            seen.append(sums[0] / n)
+        ends.append(np.mean(seen[12:]))
+    assert ends[0] == pytest.approx(ends[1], rel=0.15), ends
+
+
+def test_burn_in_goes_on_while_totals_drift():
+    totals = lambda *tables: pitman_yor.Totals(np.array([10 ** 6] * 2), np.array(tables), 10_000.0, 0.6, 0.5, 50)
+    assert pitman_yor.drifting(totals(50_000, 40_000), totals(54_000, 43_000))
+    assert not pitman_yor.drifting(totals(54_000, 43_000), totals(54_200, 42_900)) and not pitman_yor.drifting(totals(9, 4), totals(7, 5))
