@@ -291,3 +291,11 @@ def test_burn_in_goes_on_while_totals_drift():
     totals = lambda *tables: pitman_yor.Totals(np.array([10 ** 6] * 2), np.array(tables), 10_000.0, 0.6, 0.5, 50)
     assert pitman_yor.drifting(totals(50_000, 40_000), totals(54_000, 43_000))
     assert not pitman_yor.drifting(totals(54_000, 43_000), totals(54_200, 42_900)) and not pitman_yor.drifting(totals(9, 4), totals(7, 5))
+
+
+def test_frequent_words_count_where_they_are_rare_too(spark):
+    texts = ["x " * 50_000 + "seldom", "seldom " * 300 + "y " * 50_000]
+    rows = [(0, t, False) for t in texts] + [(0, "seldom " * 9, True)]
+    docs = spark.createDataFrame(spark.sparkContext.parallelize(rows, 3), "doc_id long, text string, held_out boolean")
+    got = {r["word"]: r["c"] for r in pitman_yor.frequent_words(docs).collect()}
+    assert got["seldom"] == 301 and got["x"] == got["y"] == 50_000
