@@ -5,8 +5,10 @@ A text is the set of its runs of five words (lower case, signs dropped), each we
 each arrival falls into one of ``REGISTERS`` registers, and a register remembers the shingle that
 arrived first. A shingle stops once its next arrival is later than all registers of the text. Two
 texts agree in a register with the probability Jaccard of their weights. ``BANDS`` bands of
-``ROWS`` registers give candidates (a pair at similarity 0.8 is missed with probability 3e-6), and
-every candidate pair is verified with exact similarities before it counts as a link.
+``ROWS`` registers give candidates (a pair at similarity 0.8 is missed with probability 3e-6). Texts
+that repeat a shingle have a second set of bands with all weights 1, so this holds for plain
+similarity too, whatever the repeats. Every candidate pair is verified with exact similarities before
+it counts as a link.
 
 Copies of one word sequence are one text from the start, and links join texts, not rows:
 
@@ -123,15 +125,24 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """``doc_id, text_key, bands`` of every row; texts without words have no bands."""
+    """``doc_id, text_key, bands`` of every row; texts without words have no bands, those with repeats twice as many."""
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in gathered(batches):
             n = len(block)
             values, rows = word_numbers(strings(block.column("text")))
             of, value, count = shingles(values, rows, n)
             keys = band_keys(prob_minhash(of, value, 1 + np.log(count), n)).astype(np.int64)
+            plain, again = keys.copy(), np.bincount(of[count > 1], minlength=n) > 0
+            some = again[of]
+            if some.any():
+                place = np.cumsum(again) - 1
+                plain[again] = band_keys(prob_minhash(place[of[some]], value[some], np.ones(int(some.sum())), int(again.sum()))).astype(np.int64)
             size = np.bincount(rows, minlength=n)
-            bands = pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(np.where(size > 0, BANDS, 0)))).astype(np.int32), pa.array(keys[size > 0].ravel()))
+            # Weighted bands, and those of equal weights where a repeated shingle makes them differ.
+            both = np.hstack((keys, plain))
+            same = np.hstack((np.zeros_like(keys, bool), keys == plain))
+            used = (np.arange(2 * BANDS) < np.where(again, 2 * BANDS, BANDS)[:, None]) & (size > 0)[:, None]
+            bands = pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(used.sum(axis=1)))).astype(np.int32), pa.array(both[used], mask=same[used]))
             yield pa.RecordBatch.from_arrays([block.column("doc_id"), text_keys(values, size), bands], names=["doc_id", "text_key", "bands"])
 
     small_batches(docs.sparkSession)
@@ -228,7 +239,7 @@ def with_labels(rows: DataFrame, labels: DataFrame) -> DataFrame:
 
 def text_classes(docs: DataFrame, texts: DataFrame) -> DataFrame:
     """``text_key, label`` for every text in a class of several; ``texts`` has ``text_key, doc_id, bands``."""
-    rows = texts.select("text_key", F.posexplode("bands").alias("band", "key"))
+    rows = texts.select("text_key", F.posexplode("bands").alias("band", "key")).filter("key IS NOT NULL").withColumn("band", F.col("band") % BANDS)
     buckets = rows.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("text_key").alias("low"), F.max("text_key").alias("high"))
     buckets = stored(buckets.filter("n > 1"))
     members = stored(rows.join(buckets, ["band", "key"]))

@@ -347,3 +347,16 @@ def test_blocks_find_every_link_between_classes(spark, monkeypatch):
         monkeypatch.setattr(near_dedup, "FAMILY_BLOCK", block)
         assert {(bytes(r["a"]), bytes(r["b"])) for r in near_dedup.linked_blocks(members, table).collect()} == want
     assert want
+
+
+def test_copies_that_repeat_a_passage_are_found(spark):
+    rng = np.random.default_rng(17)
+    rows = []
+    for i in range(60):
+        base = [f"p{i}w{k}" for k in range(204)]
+        other = base + [f"n{rng.integers(1 << 40)}" for _ in range(45)]
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(base[:104] * 50 + other[104:]))]
+    want = brute_classes(rows)
+    assert sum(want[2 * i + 1] == 2 * i for i in range(60)) == 60
+    got = near_dedup.near_classes(documents(spark, [(i, t, None) for i, t in rows])).collect()
+    assert {r["doc_id"]: r["class_id"] for r in got} == want
