@@ -7,8 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketcast.llm import byte_cnn, chat, exact_dedup, mixing, near_dedup, pitman_yor, secrets, tiling, token_files, toxicity
+from basketcast.llm import (
+    alignment, byte_cnn, chat, exact_dedup, mixing, near_dedup, pitman_yor, secrets, tiling, token_counts, token_files, toxicity, turn_repair,
+)
 from basketcast.llm.common import new_folder, table
+from basketcast.session import delete_at_end
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -23,10 +26,10 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 @query("op8_token_files")
@@ -138,3 +141,21 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
 @query("op7_pitman_yor")
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     return pitman_yor.score_documents(table(spark, folder, "documents"))
+
+
+@query("op11_alignment")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return alignment.link_counts(table(spark, folder, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
+@query("op12_token_counts")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    """Counts answered from a cache that this run starts empty."""
+    cache = new_folder(spark, "token-counts")
+    delete_at_end(spark, cache)
+    return token_counts.count_tokens(table(spark, folder, "documents"), cache, tokenizer_path("byte_bpe_50k.json"))
+
+
+@query("op13_turn_repair")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return turn_repair.repair(turn_repair.damaged(table(spark, folder, "conversations")))
