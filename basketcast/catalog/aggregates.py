@@ -5,11 +5,12 @@ from pyspark.sql import functions as F
 from basketcast.catalog.encoders import BIN_SQL, EDGE_SQL, scored
 from basketcast.catalog.joins import RATIO_SQL
 from basketcast.catalog.registry import SCORED, each, long_sql, query, text_date, twin
-from basketcast.constants import TARGETS
+from basketcast.constants import EMBED_DIM, TARGETS
 from basketcast.operators import bayes, evaluate, stats
 from basketcast.operators.clean import filter_returns, map_category
 from basketcast.operators.encode import decile_edges
-from basketcast.operators.factorise import category_rows, truncated_svd
+from basketcast.operators.coordinates import coordinate_matrix, rank_codes, sparse_rows
+from basketcast.operators.factorise import project, svd_fit
 from basketcast.functions.scalars import coalesce_category, cycle_proximity as rule
 from basketcast.session import materialise, store
 from basketcast.sources.surrogate import BRANDS, MONEY
@@ -76,20 +77,91 @@ def purchase_ratio(retail):
     return out.fillna(-1.0, subset=list(TARGETS))
 
 
-def embeddings(retail, dim=8):
-    """(embedding per session, dimension): a real reduction of the 25 brands."""
-    names = stats.category_names(retail.products)
+def session_rows(retail):
+    """Sparse rows of kept quantities by session, the code table, and the number of categories."""
+    codes = store(rank_codes(retail.products, "category"))
+    matrix = stats.session_categories(filter_returns(retail.purchases), retail.products, codes, ["quantity"])
     # The fit and the projection read the same rows.
-    rows = store(category_rows(stats.category_matrix(category_sums(retail, "quantity"), "session_id", names, "quantity"), "session_id", names))
+    rows = store(sparse_rows(matrix.withColumnRenamed("quantity", "value"), "session_id"))
+    return rows, codes, codes.count()
+
+
+def embeddings(retail, dim=EMBED_DIM):
+    """(rows, embedding of each, basis) with the basis fitted on training sessions."""
+    rows, _, width = session_rows(retail)
     fit = rows.join(retail.visits_of("train").select("session_id"), "session_id", "left_semi")
-    return truncated_svd(fit, rows, len(names), dim=dim), dim
+    basis, _ = svd_fit(fit, width, dim)
+    return rows, project(rows, basis, "session_id"), basis
+
+
+# Added before rounding, so that sums of either engine that should end on half a digit round alike.
+NUDGE = 3e-8
+
 
+def reconstructed(vector, basis):
+    """Columns ``c0 ..`` of a row or mean row, from its coordinates: what does not depend on the rotation of the basis."""
+    columns = []
+    for i, line in enumerate(basis):
+        weights = F.array(*[F.lit(float(x)) for x in line])
+        value = F.aggregate(F.zip_with(vector, weights, lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
+        columns.append(F.round(value + NUDGE, 6).alias(f"c{i}"))
+    return columns
 
-@query("attribute_mean_embedding")
+
+ROW_SQL = f"""
+kept_rows AS (SELECT session_id, {pivot_sql('quantity')} FROM log JOIN jan USING (jan) WHERE quantity > 0 GROUP BY session_id)"""
+CELLS = range(len(SORTED_BRANDS))
+
+
+@query("truncated_svd", twin("log", f"SELECT session_id, {', '.join(f'round(c{i} + {NUDGE}::DOUBLE, 6) AS c{i}' for i in CELLS)} FROM kept_rows", ROW_SQL))
+def truncated_svd(retail):
+    """Every session's embedding, led back to categories: with as many dimensions as categories nothing may be lost."""
+    _, embedded, basis = embeddings(retail)
+    return embedded.select("session_id", *reconstructed(F.col("embedding"), basis))
+
+
+@query("attribute_mean_embedding", twin("session log", " UNION ALL ".join(
+    f"SELECT '{k}' AS dimension, CAST({k} AS VARCHAR) AS value, {', '.join(f'round(avg(c{i}) + {NUDGE}::DOUBLE, 6) AS c{i}' for i in CELLS)} "
+    f"FROM session LEFT JOIN kept_rows USING (session_id) WHERE split = 'train' GROUP BY {k}" for k in ("customer_id", "gender", "age_band", "store")), ROW_SQL))
 def attribute_mean_embedding(retail):
-    rows, dim = embeddings(retail)
-    out = stats.attribute_mean_embedding(retail.with_attributes(retail.visits_of("train")), rows, dim, ("customer_id", "gender", "age_band", "store"))
-    return out.select("dimension", "value", *[F.get("embedding", F.lit(i)).alias(f"e{i}") for i in range(dim)])
+    _, embedded, basis = embeddings(retail)
+    out = stats.attribute_mean_embedding(retail.with_attributes(retail.visits_of("train")), embedded, basis.shape[1], ("customer_id", "gender", "age_band", "store"))
+    return out.select("dimension", "value", *reconstructed(F.col("embedding"), basis))
+
+
+@query("wide_svd", twin("log", """
+SELECT session_id, count(*) AS products, CAST(sum(q * q) AS DOUBLE) AS squares, TRUE AS held
+FROM (SELECT session_id, jan, sum(quantity) AS q FROM log WHERE quantity > 0 GROUP BY session_id, jan) GROUP BY session_id"""))
+def wide_svd(retail):
+    """Sessions by single products, as wide as the product master: sparse rows and their 32 leading directions.
+
+    The squared length of an embedding is at most that of its row.
+    """
+    codes = store(rank_codes(retail.products, "jan"))
+    lines = filter_returns(retail.purchases)
+    rows = store(sparse_rows(coordinate_matrix(lines, "session_id", codes, "quantity", "jan"), "session_id"))
+    fit = rows.join(retail.visits_of("train").select("session_id"), "session_id", "left_semi")
+    basis, _ = svd_fit(fit, codes.count(), tolerance=1e-2)
+    square = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x * x)
+    embedded = project(rows, basis, "session_id").withColumn("inside", square("embedding"))
+    return rows.select("session_id", F.size("codes").cast("long").alias("products"), square("values").alias("squares")).join(embedded, "session_id").select(
+        "session_id", "products", "squares", (F.col("inside") <= F.col("squares") * (1 + 1e-9)).alias("held"))
+
+
+@query("category_coordinates", twin("session log", f"""
+SELECT 'session' AS kind, session_id AS key, code, CAST(sum(quantity) AS DOUBLE) AS value FROM log JOIN jan USING (jan) JOIN coded USING (category)
+WHERE quantity > 0 GROUP BY session_id, code
+UNION ALL SELECT 'customer', customer_id, code, CAST(sum(quantity) AS DOUBLE) FROM session JOIN log USING (session_id) JOIN jan USING (jan) JOIN coded USING (category)
+WHERE quantity > 0 AND split = 'train' GROUP BY customer_id, code""", """
+coded AS (SELECT category, CAST(row_number() OVER (ORDER BY category) - 1 AS INTEGER) AS code FROM (SELECT DISTINCT category FROM jan))"""))
+def category_coordinates(retail):
+    """The session and the customer matrix in the format that the factorisations read."""
+    codes = store(rank_codes(retail.products, "category"))
+    matrix = store(stats.session_categories(filter_returns(retail.purchases), retail.products, codes, ["quantity"]))
+    people = stats.customer_categories(retail.visits_of("train"), matrix, "quantity")
+    parts = [matrix.select(F.lit("session").alias("kind"), F.col("session_id").alias("key"), "code", F.col("quantity").alias("value")),
+             people.select(F.lit("customer").alias("kind"), F.col("customer_id").alias("key"), "code", "value")]
+    return parts[0].unionByName(parts[1]).withColumn("value", F.col("value").cast("double"))
 
 
 # --- recency ---------------------------------------------------------------

@@ -2,11 +2,12 @@
 
 from pyspark.sql import functions as F
 
-from basketcast.catalog.aggregates import embeddings
 from basketcast.functions.calendar import calendar_features
 from basketcast.catalog.registry import each, query, text_date, twin
-from basketcast.constants import RANDOM_CUT, TARGETS
+from basketcast.constants import HOLIDAYS_2024, RANDOM_CUT, TARGETS
+from basketcast.functions.scalars import CYCLE_DIVISORS
 from basketcast.operators import sequences
+from basketcast.operators.stats import money_columns
 from basketcast.plans.session_tensors import encoded_sessions, session_vectors
 from basketcast.sources.surrogate import MONEY
 
@@ -120,11 +121,52 @@ def test_history(retail):
     return padded(sequences.recent_history(retail.visits_of("test"), retail.visits.filter("split in ('train', 'valid')")))
 
 
-@query("step_features")
+# --- the parts of a step vector -----------------------------------------------
+
+STEP_MONEY = money_columns(MONEY)
+CODE_SQL = ",\n".join(f"""
+code_{c} AS (SELECT {c}, row_number() OVER (ORDER BY {c}) - 1 AS {c}_code FROM (SELECT DISTINCT {c} FROM session WHERE split = 'train' AND {c} IS NOT NULL))"""
+                      for c in ("store", "age_band", "gender"))
+EMBED_SQL = f"""
+ranked AS (SELECT category, row_number() OVER (ORDER BY count(*) DESC, category) - 1 AS code
+           FROM log JOIN jan USING (jan) JOIN session USING (session_id) WHERE split = 'train' GROUP BY category),
+bought AS (SELECT session_id, {', '.join(f"COALESCE(sum(quantity) FILTER (code = {i}), 0) AS e{i}" for i in range(25))}
+           FROM log JOIN jan USING (jan) JOIN ranked USING (category) GROUP BY session_id)"""
+STEP_SQL = (CODE_SQL, EMBED_SQL, "sm AS (SELECT session_id, " + ", ".join(
+    f"sum({m}) AS {m}_sum, round(CAST(sum({m}) AS DOUBLE) / count({m}), 6) AS {m}_mean, count({m}) AS {m}_count" for m in MONEY) + " FROM log GROUP BY session_id)",
+    *[f"{name} AS (SELECT '{known}' AS money_from, customer_id, " + ", ".join(f"CAST(sum(CAST({c} AS DECIMAL(38,6))) AS DOUBLE) / count(*) AS c_{c}" for c in STEP_MONEY)
+      + f" FROM sm JOIN session USING (session_id) WHERE split IN ({splits}) GROUP BY customer_id)"
+      for name, known, splits in (("of_train", "train", "'train'"), ("of_both", "both", "'train', 'valid'"))],
+    "people AS (SELECT * FROM of_train UNION ALL SELECT * FROM of_both)",
+    "fallback AS (SELECT money_from, " + ", ".join(f"avg(c_{c}) AS d_{c}" for c in STEP_MONEY) + " FROM people GROUP BY money_from)",
+    f"""
+joined AS (SELECT s.session_id, s.split, s.hour, f.weekday, f.day, f.month, f.time_period,
+             CASE WHEN s.sale_date IN ({', '.join(f"DATE '{d}'" for d in HOLIDAYS_2024)}) OR isodow(s.sale_date) >= 6 THEN 1.0 ELSE 0.0 END AS holiday,
+             COALESCE(store_code, -1) AS store_code, COALESCE(age_band_code, -1) AS age_code, COALESCE(gender_code, -1) AS gender_code,
+             {', '.join(f'COALESCE(e{i}, 0) AS e{i}' for i in range(25))},
+             {', '.join(f'COALESCE(CAST(sm.{c} AS DOUBLE), 0) AS s_{c}' for c in STEP_MONEY)},
+             {', '.join(f'COALESCE(c_{c}, d_{c}, 0) AS c_{c}' for c in STEP_MONEY)},
+             CASE WHEN sm.session_id IS NULL THEN 0.0 ELSE 1.0 END AS has_session,
+             CASE WHEN COALESCE(c_{STEP_MONEY[0]}, d_{STEP_MONEY[0]}) IS NULL THEN 0.0 ELSE 1.0 END AS has_customer
+           FROM (SELECT *, CASE WHEN split = 'test' THEN 'both' ELSE 'train' END AS money_from FROM session) s JOIN fact f ON f.session_id = s.session_id
+           LEFT JOIN code_store ON code_store.store = s.store LEFT JOIN code_age_band ON code_age_band.age_band = s.age_band
+           LEFT JOIN code_gender ON code_gender.gender = s.gender LEFT JOIN bought b ON b.session_id = s.session_id
+           LEFT JOIN sm ON sm.session_id = s.session_id LEFT JOIN people p ON p.customer_id = s.customer_id AND p.money_from = s.money_from
+           LEFT JOIN fallback d ON d.money_from = s.money_from)""",
+    "top AS (SELECT " + ", ".join(f"COALESCE(max({c}), 0) AS m_{c}" for c in (
+        "store_code", "age_code", "gender_code", *[f"{side}_{c}" for side in "sc" for c in STEP_MONEY])) + " FROM joined WHERE split = 'train')")
+STEP_PARTS = ([f"{c} / {d}::DOUBLE" for c, d in CYCLE_DIVISORS.items()] + ["holiday"] + [f"{c} / (m_{c} + 1.0::DOUBLE)" for c in ("store_code", "age_code", "gender_code")]
+              + [f"e{i}" for i in range(25)] + [f"{side}_{c} / CASE WHEN m_{side}_{c} = 0 THEN 1 ELSE m_{side}_{c} END" for side in "sc" for c in STEP_MONEY]
+              + ["has_session", "has_customer"])
+
+
+@query("step_features", twin("fact", "SELECT session_id, " + ", ".join(
+    f"round(CAST({part} AS DOUBLE) + 3e-8::DOUBLE, 6) AS v{i}" for i, part in enumerate(STEP_PARTS)) + " FROM joined CROSS JOIN top", *STEP_SQL))
 def step_features(retail):
-    vectors, _ = session_vectors(encoded_sessions(retail_calendar(retail)), retail.log, retail.products, MONEY, ["category"], dim=8)
-    return vectors.select("session_id", F.size("features").alias("width"), F.aggregate(
-        "features", F.lit(0.0), lambda a, x: a + x).alias("total"))
+    """Whole step vectors; 25 categories are fewer than the 32 dimensions, so they stand in it as they are."""
+    vectors, size = session_vectors(encoded_sessions(retail_calendar(retail)), retail.log, retail.products, MONEY, ["category"])
+    width = sequences.step_width(STEP_MONEY, size)
+    return vectors.select("session_id", *[F.round(F.get("features", F.lit(i)) + 3e-8, 6).alias(f"v{i}") for i in range(width)])
 
 
 def retail_calendar(retail):
@@ -135,9 +177,3 @@ def retail_calendar(retail):
 def sequence_labels(retail):
     out = sequences.sequence_labels(train_windows(retail), retail.targets, TARGETS)
     return out.select("session_id", "start", *TARGETS)
-
-
-@query("truncated_svd")
-def truncated_svd(retail):
-    rows, dim = embeddings(retail)
-    return rows.select("session_id", *[F.get("embedding", F.lit(i)).alias(f"e{i}") for i in range(dim)])

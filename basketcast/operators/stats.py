@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +13,7 @@ from basketcast.constants import CLASS_WEIGHT_CAP, DECAY_RATES, NEVER, SINGLE_PU
 from basketcast.functions.calendar import days_from_max
 from basketcast.functions.scalars import cycle_proximity
 from basketcast.operators.skew import join_statistics
+from basketcast.session import broadcast_if_small
 
 
 # --- lines and categories -------------------------------------------------
@@ -21,6 +24,22 @@ def session_category_sum(log: DataFrame, products: DataFrame, value: str) -> Dat
             .groupBy("session_id", "category").agg(F.sum(value).alias(value)))
 
 
+def session_categories(log: DataFrame, products: DataFrame, codes: DataFrame, values: Sequence[str]) -> DataFrame:
+    """Sessions by category in coordinate format: ``session_id, category, code`` and one sum per line value.
+
+    One pass over the lines for all values; sums are made before the codes are joined.
+    """
+    sums = (log.join(products.select("jan", "category"), "jan", "left")
+            .groupBy("session_id", "category").agg(*[F.sum(v).alias(v) for v in values]))
+    return sums.join(broadcast_if_small(codes.select("category", "code")), "category").select("session_id", "category", "code", *values)
+
+
+def customer_categories(sessions: DataFrame, matrix: DataFrame, value: str, key: str = "customer_id") -> DataFrame:
+    """Customers by category in coordinate format: ``key, code, value``."""
+    return (sessions.select("session_id", key).join(matrix.select("session_id", "code", value), "session_id")
+            .groupBy(key, "code").agg(F.sum(value).alias("value")))
+
+
 def category_names(products: DataFrame, column: str = "category") -> list[str]:
     """Sorted category names, the columns of a wide matrix: a list of the size of its header."""
     rows = products.select(column).dropna().distinct().orderBy(column).collect()
@@ -92,8 +111,13 @@ def purchase_ratio(sessions: DataFrame, indicators: DataFrame, names: Sequence[s
 
 def long_means(df: DataFrame, keys: Sequence[str], values: dict[str, Column]) -> DataFrame:
     """Means by each key separately: columns dimension, value, then the means."""
+    return long_groups(df, keys, {n: F.avg(v) for n, v in values.items()})
+
+
+def long_groups(df: DataFrame, keys: Sequence[str], aggregates: dict[str, Column]) -> DataFrame:
+    """Aggregates by each key separately: columns dimension, value, then the aggregates."""
     grouped = df.groupingSets([[k] for k in keys], *keys).agg(
-        F.grouping_id().alias("_gid"), *[F.avg(v).alias(n) for n, v in values.items()])
+        F.grouping_id().alias("_gid"), *[a.alias(n) for n, a in aggregates.items()])
     # In a grouping id the bit of the key that is grouped by is 0.
     all_bits = (1 << len(keys)) - 1
     gid = {k: all_bits ^ (1 << (len(keys) - 1 - i)) for i, k in enumerate(keys)}
@@ -103,17 +127,21 @@ def long_means(df: DataFrame, keys: Sequence[str], values: dict[str, Column]) ->
         text = F.col(k).cast("string")
         dimension = F.when(hit, k) if dimension is None else dimension.when(hit, k)
         value = F.when(hit, text) if value is None else value.when(hit, text)
-    return grouped.select(dimension.alias("dimension"), value.alias("value"), *values)
+    return grouped.select(dimension.alias("dimension"), value.alias("value"), *aggregates)
 
 
 def attribute_mean_embedding(sessions: DataFrame, embeddings: DataFrame, dim: int, keys: Sequence[str],
                              column: str = "embedding") -> DataFrame:
-    """Mean embedding by each key; every dimension is a plain average."""
+    """Mean embedding by each key: one sum of whole vectors, and one count.
+
+    Sessions without an embedding do not count; a group of such sessions has a vector of nulls.
+    """
     joined = sessions.select("session_id", *keys).join(
         embeddings.select("session_id", column), "session_id", "left")
-    parts = {f"_{i}": F.get(column, F.lit(i)) for i in range(dim)}
-    means = long_means(joined, keys, parts)
-    return means.select("dimension", "value", F.array(*parts).alias(column))
+    filled = joined.withColumn("_vector", array_to_vector(F.coalesce(column, F.array_repeat(F.lit(0.0), dim))))
+    sums = long_groups(filled, keys, {"_sum": Summarizer.sum(F.col("_vector")), "_n": F.count(column)})
+    mean = F.transform(vector_to_array("_sum"), lambda x: F.try_divide(x, F.col("_n")))
+    return sums.select("dimension", "value", mean.alias(column))
 
 
 # --- recency --------------------------------------------------------------

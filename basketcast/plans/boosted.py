@@ -15,11 +15,11 @@ from basketcast.operators.assemble import assemble_features, split_long
 from basketcast.operators.boosting import Models, average_folds, cross_validate
 from basketcast.operators.clean import filter_returns
 from basketcast.operators.encode import one_hot, target_encode_full, target_encode_oof
-from basketcast.operators.factorise import (category_rows, nmf_fit, nmf_transform, project, spread, svd_fit)
+from basketcast.operators.coordinates import rank_codes, sparse_rows
+from basketcast.operators.factorise import nmf_fit, nmf_transform, project, spread, svd_fit
 from basketcast.operators.folds import attach_fold, stratified_group_folds
-from basketcast.operators.stats import (attribute_mean_embedding, category_matrix, category_names,
-                                        customer_category_matrix, purchase_indicators, purchase_ratio,
-                                        session_category_sum)
+from basketcast.operators.stats import (attribute_mean_embedding, customer_categories, purchase_indicators,
+                                        purchase_ratio, session_categories)
 from basketcast.session import materialise, store
 
 KEYS = ("customer_id", "gender", "age_band", "store")
@@ -31,46 +31,57 @@ VALUES = ("amount", "quantity")
 class Factors:
     """Fitted factorisations, one per value column: all of category size."""
 
-    names: list[str]
+    codes: DataFrame  # category, code
+    width: int
     basis: dict[str, np.ndarray]
     factor: dict[str, np.ndarray]
 
 
+def category_codes(products: DataFrame) -> DataFrame:
+    return store(rank_codes(products, "category"))
+
+
+def session_matrix(log: DataFrame, products: DataFrame, codes: DataFrame) -> DataFrame:
+    """Kept lines as sessions by category with all values: one pass over the log, stored for every use."""
+    return store(session_categories(filter_returns(log), products, codes, VALUES))
+
+
+def matrix_rows(matrix: DataFrame, value: str) -> DataFrame:
+    """Sparse rows of the sessions of a matrix."""
+    return sparse_rows(matrix.select("session_id", "code", F.col(value).alias("value")), "session_id")
+
+
 def fit_factors(log: DataFrame, products: DataFrame, window: DataFrame, dim: int = EMBED_DIM,
-                rounds: int = 20) -> Factors:
+                rounds: int = 20, matrix: DataFrame | None = None, codes: DataFrame | None = None) -> Factors:
     """SVD of session by category and NMF of customer by category, on one window."""
-    names = category_names(products)
+    codes = codes or category_codes(products)
+    matrix = matrix or session_matrix(log, products, codes)
+    width = codes.count()
     basis, factor = {}, {}
     for value in VALUES:
-        sums = session_category_sum(filter_returns(log), products, value)
-        # Spark reads the rows more than once while it adds up the Gram matrix.
-        sessions = store(category_rows(category_matrix(sums, "session_id", names, value), "session_id", names))
-        basis[value] = svd_fit(sessions, len(names), dim)[0]
-        people = category_rows(customer_category_matrix(window, sums, names, value), "customer_id", names)
-        factor[value] = nmf_fit(people, len(names), min(dim, len(names)), rounds)[0]
-    return Factors(names, basis, factor)
+        basis[value] = svd_fit(matrix_rows(matrix, value), width, dim)[0]
+        people = sparse_rows(customer_categories(window, matrix, value), "customer_id", window)
+        factor[value] = nmf_fit(people, width, min(dim, width), rounds)[0]
+    return Factors(codes, width, basis, factor)
 
 
 def keyed_features(log: DataFrame, products: DataFrame, window: DataFrame, factors: Factors,
-                   ratio_names: Sequence[str]) -> dict[str, list[DataFrame]]:
+                   ratio_names: Sequence[str], matrix: DataFrame | None = None) -> dict[str, list[DataFrame]]:
     """Feature tables by customer, gender, age band and store over one window."""
     kinds = {k: window.schema[k].dataType.simpleString() for k in KEYS}
     tables: dict[str, list[DataFrame]] = {k: [] for k in KEYS}
-    names = factors.names
+    matrix = matrix or session_matrix(log, products, factors.codes)
     for value in VALUES:
-        sums = session_category_sum(filter_returns(log), products, value)
         dim = factors.basis[value].shape[1]
-        sessions = category_rows(category_matrix(sums, "session_id", names, value), "session_id", names)
-        means = store(spread(attribute_mean_embedding(window, project(sessions, factors.basis[value], "session_id"), dim, KEYS),
-                             "embedding", dim, f"svd_{value}_"), ["dimension"])
+        embeddings = project(matrix_rows(matrix, value), factors.basis[value], "session_id")
+        means = store(spread(attribute_mean_embedding(window, embeddings, dim, KEYS), "embedding", dim, f"svd_{value}_"), ["dimension"])
         for k in KEYS:
             tables[k].append(split_long(means, [f"svd_{value}_{i}" for i in range(dim)], k, "", kinds[k]))
-        people = category_rows(customer_category_matrix(window, sums, names, value), "customer_id", names)
+        people = sparse_rows(customer_categories(window, matrix, value), "customer_id", window)
         rank = factors.factor[value].shape[0]
         tables["customer_id"].append(spread(nmf_transform(people, factors.factor[value], "customer_id"),
                                             "nmf", rank, f"nmf_{value}_"))
-    quantity = session_category_sum(filter_returns(log), products, "quantity")
-    indicators = purchase_indicators(quantity, ratio_names)
+    indicators = purchase_indicators(matrix.select("session_id", "category", "quantity"), ratio_names)
     # Four tables are cut from each long one: write it once, by dimension.
     ratios = store(purchase_ratio(window, indicators.withColumnsRenamed(
         {n: f"r{i}" for i, n in enumerate(ratio_names)}), [f"r{i}" for i in range(len(ratio_names))], KEYS), ["dimension"])

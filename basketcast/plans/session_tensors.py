@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from basketcast.constants import EMBED_DIM, RANDOM_CUT, SEQUENCE_LENGTH, TARGETS, TOP_CATEGORIES
@@ -13,13 +13,14 @@ from basketcast.functions.calendar import is_holiday_or_weekend
 from basketcast.functions.scalars import coalesce_category
 from basketcast.operators.clean import map_category
 from basketcast.operators.encode import label_encode, label_transform
-from basketcast.operators.factorise import category_rows, truncated_svd
+from basketcast.operators.coordinates import coordinate_matrix, sparse_rows
+from basketcast.operators.factorise import truncated_svd
 from basketcast.operators.sequences import (customer_sessions, random_cut, recent_history, sequence_labels,
                                             sliding_windows, step_features, step_width, window_features)
 from basketcast.operators.overlap import union_all
-from basketcast.operators.stats import (category_matrix, customer_money, default_money, money_columns,
+from basketcast.operators.stats import (customer_money, default_money, money_columns,
                                         session_money, top_categories)
-from basketcast.session import store
+from basketcast.session import materialise, store
 
 
 @dataclass
@@ -40,7 +41,7 @@ def encoded_sessions(sessions: DataFrame) -> DataFrame:
 
 
 def session_vectors(sessions: DataFrame, log: DataFrame, products: DataFrame, money: Sequence[str],
-                    category_columns: Sequence[str], dim: int = EMBED_DIM) -> tuple[DataFrame, int]:
+                    category_columns: Sequence[str], dim: int = EMBED_DIM, most: int = TOP_CATEGORIES) -> tuple[DataFrame, int]:
     """(feature vector per session, size of the embedding in it).
 
     Customer money of training and validation sessions is learned from training
@@ -49,25 +50,27 @@ def session_vectors(sessions: DataFrame, log: DataFrame, products: DataFrame, mo
     train = sessions.filter(F.col("split") == "train")
     both = sessions.filter(F.col("split").isin("train", "valid"))
     mapped = map_category(log, products, coalesce_category(category_columns)).select("session_id", "category", "quantity")
-    ranked = top_categories(mapped.join(train.select("session_id"), "session_id", "left_semi"), TOP_CATEGORIES)
-    names = [r[0] for r in ranked.select("category").collect()]  # at most TOP_CATEGORIES names
-    rows = store(category_rows(category_matrix(mapped, "session_id", names, "quantity"), "session_id", names))
+    ranked = top_categories(mapped.join(train.select("session_id"), "session_id", "left_semi"), most)
+    # At most ``most`` categories, numbered by how often they are bought.
+    codes = materialise(ranked.withColumn("code", F.row_number().over(Window.orderBy(F.desc("n"), "category")) - 1).select("category", "code"))
+    width = codes.count()
+    rows = store(sparse_rows(coordinate_matrix(mapped, "session_id", codes, "quantity"), "session_id", mapped))
     fit = rows.join(train.select("session_id"), "session_id", "left_semi")
-    embeddings = truncated_svd(fit, rows, len(names), dim=dim, keep_if_narrow=True)
+    embeddings = truncated_svd(fit, rows, width, dim=dim, keep_if_narrow=True)
     stats = store(session_money(log, money))
     columns = money_columns(money)
     people = {name: customer_money(stats, frame, money) for name, frame in (("train", train), ("both", both))}
     known = union_all(*[df.withColumn("known", F.lit(name)) for name, df in people.items()])
     fallback = union_all(*[default_money(df, money).withColumn("known", F.lit(name)) for name, df in people.items()])
     staged = sessions.withColumn("money_from", F.when(F.col("split") == "test", "both").otherwise("train"))
-    size = min(dim, len(names))
+    size = min(dim, width)
     return step_features(staged, embeddings, stats, known, fallback, columns, size, F.col("split") == "train"), size
 
 
 def session_tensors(sessions: DataFrame, targets_of: DataFrame, log: DataFrame, products: DataFrame,
                     money: Sequence[str], category_columns: Sequence[str],
                     targets: Sequence[str] = TARGETS, length: int = SEQUENCE_LENGTH, dim: int = EMBED_DIM,
-                    cut: float = RANDOM_CUT, mask_target_step: bool = True) -> Tensors:
+                    cut: float = RANDOM_CUT, mask_target_step: bool = True, most: int = TOP_CATEGORIES) -> Tensors:
     """Samples of ``length`` steps for training, validation and test.
 
     With ``mask_target_step`` the last step never shows the basket and money of
@@ -75,7 +78,7 @@ def session_tensors(sessions: DataFrame, targets_of: DataFrame, log: DataFrame,
     by the three sample sets.
     """
     coded = store(encoded_sessions(sessions))
-    vectors, size = session_vectors(coded, log, products, money, category_columns, dim)
+    vectors, size = session_vectors(coded, log, products, money, category_columns, dim, most)
     columns = money_columns(money)
     steps = store(coded.select("session_id", "customer_id", "split", "sale_date", "hour").join(vectors, "session_id"), ["split"])
     train, valid, test = [steps.filter(F.col("split") == s) for s in ("train", "valid", "test")]
