@@ -68,6 +68,16 @@ def lookup_marginals(retail):
     return out.select("session_id", *[F.coalesce(f"{m}_{t}", F.lit(-1.0)).alias(f"{m}_{t}") for m in bayes.MARGINALS for t in TARGETS])
 
 
+@query("replicated_marginals", twin("fact", "SELECT session_id, " + ", ".join(
+    each(f"COALESCE({m}_{{t}}, -1) AS {m}_{{t}}") for m in ("segment", "weekday", "band", "phase", "store")) + f" FROM pred {MARGINAL_JOINS}",
+    HISTORY_SQL, VALID_SQL, *MARGINAL_SQL))
+def replicated_marginals(retail):
+    """The same look-ups with tables that count as too large to broadcast: copied, and sessions spread over the copies."""
+    table = bayes.marginal_table(retail.keep().history, TARGETS)
+    out = bayes.lookup_marginals(retail.validation, table, TARGETS, max_bytes=0)
+    return out.select("session_id", *[F.coalesce(f"{m}_{t}", F.lit(-1.0)).alias(f"{m}_{t}") for m in bayes.MARGINALS for t in TARGETS])
+
+
 RATIO_SQL = f"""
 ind AS (SELECT session_id, {', '.join(f"greatest(least(CAST(sum(CASE WHEN category = '{b}' THEN quantity ELSE 0 END) AS DOUBLE), 1.0::DOUBLE), 0.0::DOUBLE) AS i_{t}" for t, b in BRANDS.items())}
         FROM log JOIN jan USING (jan) WHERE quantity > 0 GROUP BY session_id)"""

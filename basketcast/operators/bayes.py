@@ -11,9 +11,9 @@ from basketcast.constants import (ATTRIBUTES, BLEND_WEIGHTS, CORRELATION_PAIRS,
                                   MODEL_BLEND)
 from basketcast.functions.scalars import clip01
 from basketcast.operators.encode import bin_lookup, decile_edges
-from basketcast.operators.skew import HeavyKeys, join_statistics
+from basketcast.operators.skew import BROADCAST_BYTES, HeavyKeys, byte_sizes, join_small, join_statistics
 from basketcast.operators.stats import overall_mean
-from basketcast.session import broadcast_if_small, materialise, one_row, row_counts
+from basketcast.session import materialise, one_row
 
 # Key columns of the marginal means the blend reads.
 MARGINALS = {
@@ -43,20 +43,21 @@ def bayes_counts(history: DataFrame, keys: Sequence[str], targets: Sequence[str]
 
 def segment_stats(history: DataFrame, targets: Sequence[str], attributes: Sequence[str] = ATTRIBUTES,
                   weights: Mapping[str, str] | None = None) -> DataFrame:
-    """Stored counts per segment, broadcast when they prove small.
-
-    A shuffle join would send all sessions of a segment to one task.
-    """
-    return broadcast_if_small(materialise(bayes_counts(history, attributes, targets, weights)))
+    """Stored counts per segment."""
+    return materialise(bayes_counts(history, attributes, targets, weights))
 
 
 def attach_group_stats(sessions: DataFrame, segment_counts: DataFrame, customer_counts: DataFrame,
                        targets: Sequence[str], attributes: Sequence[str] = ATTRIBUTES,
-                       customer: str = "customer_id", heavy: HeavyKeys | None = None) -> DataFrame:
-    """Segment and customer counts next to each session, 0 where unknown."""
+                       customer: str = "customer_id", heavy: HeavyKeys | None = None,
+                       segment_size: int | None = None, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Segment and customer counts next to each session, 0 where unknown.
+
+    A shuffle by segment would send all its sessions to one task, see ``join_small``.
+    """
     names = [f"{t}_{s}" for t in targets for s in ("count", "sum")]
     theirs = customer_counts.withColumnsRenamed({n: f"{n}_customer" for n in names})
-    joined = join_statistics(sessions, theirs, customer, heavy).join(segment_counts, list(attributes), "left")
+    joined = join_small(join_statistics(sessions, theirs, customer, heavy), segment_counts, attributes, size=segment_size, max_bytes=max_bytes)
     return joined.fillna(0, subset=[*names, *[f"{n}_customer" for n in names]])
 
 
@@ -75,20 +76,26 @@ def posterior(target: str, confidence: Column | float, overall: Column) -> Colum
 
 
 def bayes_posterior(history: DataFrame, sessions: DataFrame, targets: Sequence[str],
-                    confidence: Mapping[str, float], attributes: Sequence[str] = ATTRIBUTES,
+                    confidence: Mapping[str, float] | DataFrame, attributes: Sequence[str] = ATTRIBUTES,
                     customer: str = "customer_id", segment_counts: DataFrame | None = None,
                     overall: DataFrame | None = None, weights: Mapping[str, str] | None = None,
-                    heavy: HeavyKeys | None = None) -> DataFrame:
+                    heavy: HeavyKeys | None = None, segment_size: int | None = None) -> DataFrame:
     """Sessions with one posterior ``bayes_{t}`` per target.
 
     Segment counts and the overall mean may be passed in when already known.
+    ``confidence`` may be a frame with one row and a column per target, such as
+    a tuned one; it then stays inside the plan as a scalar subquery.
     """
     segments = segment_counts if segment_counts is not None else segment_stats(
         history, targets, attributes, weights)
     customers = bayes_counts(history, [customer], targets, weights)
     means = one_row(overall if overall is not None else overall_mean(history, targets))
-    joined = attach_group_stats(sessions, segments, customers, targets, attributes, customer, heavy)
-    return joined.withColumn("_overall", means).select(*sessions.columns, *[
+    joined = attach_group_stats(sessions, segments, customers, targets, attributes, customer, heavy, segment_size)
+    joined = joined.withColumn("_overall", means)
+    if isinstance(confidence, DataFrame):
+        joined = joined.withColumn("_confidence", one_row(confidence))
+        confidence = {t: F.col("_confidence")[t] for t in targets}
+    return joined.select(*sessions.columns, *[
         posterior(t, confidence[t], F.col("_overall")[t]).alias(f"bayes_{t}") for t in targets])
 
 
@@ -114,13 +121,12 @@ def marginal_table(history: DataFrame, targets: Sequence[str],
         f"{t}_{s}" for t in targets for s in ("count", "sum")]))
 
 
-def marginal_counts(table: DataFrame, label: str, targets: Sequence[str], rows: int | None = None,
+def marginal_counts(table: DataFrame, label: str, targets: Sequence[str],
                     marginals: Mapping[str, Sequence[str]] = MARGINALS) -> DataFrame:
-    """Counts and sums of one marginal, broadcast when they prove small."""
+    """Counts and sums of one marginal."""
     keys = list(marginals[label])
     part = table.filter(F.col("marginal") == label).dropna(subset=keys)
-    part = part.select(*keys, *[f"{t}_{s}" for t in targets for s in ("count", "sum")])
-    return broadcast_if_small(part, rows)
+    return part.select(*keys, *[f"{t}_{s}" for t in targets for s in ("count", "sum")])
 
 
 def marginal_overall(table: DataFrame, targets: Sequence[str]) -> DataFrame:
@@ -131,14 +137,14 @@ def marginal_overall(table: DataFrame, targets: Sequence[str]) -> DataFrame:
 
 def lookup_marginals(sessions: DataFrame, table: DataFrame, targets: Sequence[str],
                      marginals: Mapping[str, Sequence[str]] = MARGINALS,
-                     rows: Mapping[str, int] | None = None) -> DataFrame:
+                     sizes: Mapping[str, int] | None = None, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Marginal means ``{marginal}_{t}`` next to each session, null if unseen."""
     out = sessions
-    rows = rows if rows is not None else row_counts(table, "marginal")
+    sizes = sizes if sizes is not None else byte_sizes(table, "marginal")
     for label, keys in marginals.items():
         means = {f"{label}_{t}": F.try_divide(F.col(f"{t}_sum"), F.col(f"{t}_count")) for t in targets}
-        part = marginal_counts(table, label, targets, rows.get(label, 0), marginals)
-        out = out.join(part, list(keys), "left").withColumns(means).drop(
+        part = marginal_counts(table, label, targets, marginals)
+        out = join_small(out, part, keys, size=sizes.get(label, 0), max_bytes=max_bytes).withColumns(means).drop(
             *[f"{t}_{s}" for t in targets for s in ("count", "sum")])
     return out.select(*sessions.columns, *[f"{label}_{t}" for label in marginals for t in targets])
 
@@ -216,7 +222,7 @@ def error_model(df: DataFrame, targets: Sequence[str], prefix: str,
 
 def error_correction(df: DataFrame, model: DataFrame, edges: DataFrame, targets: Sequence[str], prefix: str,
                      strength: float, dimensions: Sequence[str] = ERROR_DIMENSIONS,
-                     out_prefix: str = "corrected_") -> DataFrame:
+                     out_prefix: str = "corrected_", max_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Move each score by the mean error of its groups, clipped to [0, 1].
 
     A group the model has not seen adds 0; the divisor is the number of
@@ -224,13 +230,13 @@ def error_correction(df: DataFrame, model: DataFrame, edges: DataFrame, targets:
     sessions stay one row each and meet each dimension in one join.
     """
     out = df
-    rows = row_counts(model.select("dimension", "value").distinct(), "dimension")
+    sizes = byte_sizes(model, "dimension")
     shifts = {t: F.lit(0.0) for t in targets}
     for d in dimensions:
         wide = (model.filter(F.col("dimension") == d).groupBy("value").agg(
             *[F.max(F.when(F.col("target") == t, F.col("mean_error"))).alias(f"_{d}_{t}") for t in targets])
             .withColumnRenamed("value", f"_{d}"))
-        out = out.join(broadcast_if_small(wide, rows.get(d, 0)), F.col(d).cast("string") == F.col(f"_{d}"), "left").drop(f"_{d}")
+        out = join_small(out.withColumn(f"_{d}", F.col(d).cast("string")), wide, [f"_{d}"], size=sizes.get(d, 0), max_bytes=max_bytes).drop(f"_{d}")
         for t in targets:
             shifts[t] = shifts[t] + F.coalesce(F.col(f"_{d}_{t}"), F.lit(0.0))
     bins = F.map_from_entries(F.collect_list(F.struct(

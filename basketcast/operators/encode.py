@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from basketcast.operators.coordinates import rank_codes
 from basketcast.operators.stats import category_levels
-from basketcast.session import broadcast_if_small, materialise
+from basketcast.operators.skew import join_small
+from basketcast.session import store
+
+# Rows of an interval that one task may sort, and the shares at which a larger one is cut.
+FINISH_ROWS = 100_000
+GRID = [i / 64 for i in range(65)]
 
 
 def one_hot(df: DataFrame, columns: Sequence[str], levels: dict[str, list[str]] | None = None) -> DataFrame:
@@ -36,19 +44,17 @@ def sparse_one_hot(df: DataFrame, columns: Sequence[str], tables: Mapping[str, D
 
 
 def label_encode(df: DataFrame, column: str, name: str = "code") -> DataFrame:
-    """Fitted code table of the sorted distinct values: 0 .. n-1.
+    """Fitted code table of the sorted distinct values: 0 .. n-1, numbered range by range.
 
-    The window has no key, but holds one row per distinct label only. The table
-    is stored, as a fitted encoder is used on several frames.
+    The table is stored, as a fitted encoder is used on several frames.
     """
-    labels = df.select(column).dropna().distinct()
-    return materialise(labels.withColumn(name, F.row_number().over(Window.orderBy(column)) - 1))
+    return rank_codes(df, column, name)
 
 
 def label_transform(df: DataFrame, codes: DataFrame, column: str, name: str = "code",
                     unknown: int = -1) -> DataFrame:
     """Look codes up; values not seen while fitting get ``unknown``."""
-    return df.join(broadcast_if_small(codes), column, "left").withColumn(name, F.coalesce(name, F.lit(unknown)))
+    return join_small(df, codes, [column]).withColumn(name, F.coalesce(name, F.lit(unknown)))
 
 
 def target_encode_oof(df: DataFrame, category: str, targets: Sequence[str], fold: str = "fold",
@@ -84,48 +90,98 @@ def target_encode_full(df: DataFrame, category: str, targets: Sequence[str]) ->
 
 
 def exact_quantiles(df: DataFrame, groups: Sequence[str], value: str, probs: Sequence[float],
-                    accuracy: int = 10_000) -> DataFrame:
+                    accuracy: int = 10_000, finish_rows: int = FINISH_ROWS) -> DataFrame:
     """Exact linear-interpolated quantiles: one row per group and probability.
 
-    A mergeable sketch brackets each quantile to a sliver of the rows with a
-    guaranteed rank error. Rows outside the bracket collapse to two counts on the
-    map side; only the sliver is sorted, whatever the size of the group. Groups must be few (such as the
-    targets): the brackets, one row per group and probability, are broadcast.
+    A distributed selection of the wanted ranks, all groups and probabilities at once. A mergeable sketch
+    proposes bounds on both sides of each rank; one pass counts the rows of every interval between bounds,
+    with its least and greatest value. A rank that is a bound or an end of its interval is found; any other
+    is looked for in its interval alone, by further bounds while that holds more than ``finish_rows`` rows,
+    and else by sorting it. No task sees more rows of a group than that, and no row is multiplied. Groups
+    must be few (such as the targets): a few dozen bounds of each pass through the driver.
     """
     if not groups:
-        single = exact_quantiles(df.withColumn("_all", F.lit(0)), ["_all"], value, probs, accuracy)
+        single = exact_quantiles(df.withColumn("_all", F.lit(0)), ["_all"], value, probs, accuracy, finish_rows)
         return single.drop("_all")
+    spark = df.sparkSession
+    names = [f"_g{i}" for i in range(len(groups))]
+    keys = [F.col(g).alias(n) for g, n in zip(groups, names)]
+    rows = store(df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v")).dropna(subset=names))
     margin = 4.0 / accuracy
-    lows = [max(p - margin, 0.0) for p in probs]
-    highs = [min(p + margin, 1.0) for p in probs]
-    scored = df.filter(F.col(value).isNotNull()).select(*groups, F.col(value).cast("double").alias("_v"))
-    sketch = scored.groupBy(*groups).agg(
-        F.percentile_approx("_v", lows, accuracy).alias("_lo"),
-        F.percentile_approx("_v", highs, accuracy).alias("_hi"),
-        F.count("*").alias("_total"))
-    brackets = sketch.select(*groups, "_total", F.explode(F.arrays_zip(
-        F.array(*[F.lit(float(p)) for p in probs]).alias("p"),
-        F.col("_lo").alias("lo"), F.col("_hi").alias("hi"))).alias("_b")).select(
-        *groups, "_total", F.col("_b.p").alias("prob"),
-        F.col("_b.lo").alias("_lo"), F.col("_b.hi").alias("_hi"))
-    joined = scored.join(F.broadcast(brackets), list(groups))
-    # Rows on either side of the bracket collapse to one count with the value next to it: in a small
-    # group the wanted ranks may lie one row outside.
-    side = F.when(F.col("_v") < F.col("_lo"), -1).when(F.col("_v") > F.col("_hi"), 1).otherwise(0)
-    tallies = (joined.withColumns({"_side": side, "_in": F.when(side == 0, F.col("_v"))})
-               .groupBy(*groups, "prob", "_total", "_side", "_in")
-               .agg(F.count("*").alias("_n"), F.min("_v").alias("_least"), F.max("_v").alias("_most")))
-    value = F.when(F.col("_side") < 0, F.col("_most")).otherwise(F.col("_least"))
-    upto = (Window.partitionBy(*groups, "prob").orderBy("_side", "_in")
-            .rowsBetween(Window.unboundedPreceding, 0))
-    place = (F.col("_total") - 1) * F.col("prob")
-    cumulated = tallies.withColumns({"_cum": F.sum("_n").over(upto), "_place": place})
-    ends = cumulated.groupBy(*groups, "prob").agg(
-        F.first("_place").alias("_place"),
-        F.min(F.when(F.col("_cum") > F.floor("_place"), value)).alias("_a"),
-        F.min(F.when(F.col("_cum") > F.ceil("_place"), value)).alias("_b"))
-    share = F.col("_place") - F.floor("_place")
-    return ends.select(*groups, "prob", (F.col("_a") + (F.col("_b") - F.col("_a")) * share).alias("quantile"))
+    near = sorted({min(max(p + d, 0.0), 1.0) for p in probs for d in (-margin, margin)})
+    sketch = {tuple(r[:len(names)]): r for r in rows.groupBy(*names).agg(
+        F.percentile_approx("_v", near, accuracy).alias("bounds"), F.count("*").alias("n")).collect()}
+    ranks = {g: {int(f((r["n"] - 1) * p)) for p in probs for f in (math.floor, math.ceil)} for g, r in sketch.items()}
+    bounds = {g: sorted(set(r["bounds"])) for g, r in sketch.items()}
+    found: dict[tuple, float] = {}
+    spans: dict[tuple, dict[int, Span]] = {}
+    while bounds:
+        spans |= open_spans(rows, names, bounds, ranks, found)
+        wide = {g: {s for s in spans[g].values() if s.rows > finish_rows} for g in bounds}
+        wide = {g: held for g, held in wide.items() if held}
+        more = inside(rows, names, wide).groupBy(*names, "_span").agg(F.percentile_approx("_v", GRID, accuracy).alias("cuts")).collect() if wide else []
+        bounds = {g: sorted({*bounds[g], *[x for r in more if tuple(r[:len(names)]) == g for x in r["cuts"]]}) for g in wide}
+    # What is left are intervals of at most finish_rows rows.
+    left = {g: {s for s in held.values()} for g, held in spans.items() if held}
+    if left:
+        for r in inside(rows, names, left).groupBy(*names, "_span").agg(F.array_sort(F.collect_list("_v")).alias("sorted")).collect():
+            g = tuple(r[:len(names)])
+            for rank, span in spans[g].items():
+                if (span.low, span.high) == (r["_span"]["low"], r["_span"]["high"]):
+                    found[g, rank] = r["sorted"][rank - span.before]
+    out = []
+    for g, r in sketch.items():
+        for p in probs:
+            place = (r["n"] - 1) * p
+            a, b = found[g, math.floor(place)], found[g, math.ceil(place)]
+            out.append((*g, float(p), a + (b - a) * (place - math.floor(place))))
+    result = spark.createDataFrame(out, group_schema(rows, names, "prob double, quantile double"))
+    return result.toDF(*groups, "prob", "quantile")
+
+
+@dataclass(frozen=True)
+class Span:
+    """An open interval between bounds that holds a wanted rank."""
+
+    before: int   # rows of the group below it
+    rows: int
+    low: float    # its least and greatest value
+    high: float
+
+
+def group_schema(rows: DataFrame, names: Sequence[str], more: str) -> str:
+    return ", ".join([*[f"{n} {rows.schema[n].dataType.simpleString()}" for n in names], more])
+
+
+def open_spans(rows: DataFrame, names: Sequence[str], bounds: Mapping[tuple, Sequence[float]], ranks: Mapping[tuple, set[int]],
+               found: dict[tuple, float]) -> dict[tuple, dict[int, Span]]:
+    """Count the rows between bounds; ranks at a bound or an end of an interval go to ``found``, the others stay with their interval."""
+    table = rows.sparkSession.createDataFrame([(*g, list(b)) for g, b in bounds.items()], group_schema(rows, names, "_bounds array<double>"))
+    # A cell is the number of bounds below a value, and whether the value is itself a bound.
+    below = F.size(F.filter("_bounds", lambda b: b < F.col("_v"))).alias("k")
+    cells = rows.join(F.broadcast(table), list(names)).groupBy(*names, below, F.array_contains("_bounds", F.col("_v")).alias("on")).agg(
+        F.count("*").alias("n"), F.min("_v").alias("low"), F.max("_v").alias("high")).collect()
+    spans: dict[tuple, dict[int, Span]] = {g: {} for g in bounds}
+    for g in bounds:
+        before = 0
+        # An interval comes in front of the bound that ends it: both have the same number of bounds below.
+        for cell in sorted((c for c in cells if tuple(c[:len(names)]) == g), key=lambda c: (c["k"], c["on"])):
+            last = before + cell["n"] - 1
+            for rank in [r for r in ranks[g] if before <= r <= last]:
+                if rank in (before, last) or cell["low"] == cell["high"]:
+                    found[g, rank] = cell["high"] if rank == last else cell["low"]
+                else:
+                    spans[g][rank] = Span(before, cell["n"], cell["low"], cell["high"])
+            before = last + 1
+    return spans
+
+
+def inside(rows: DataFrame, names: Sequence[str], spans: Mapping[tuple, set[Span]]) -> DataFrame:
+    """Rows of the given intervals, each with its ``_span``; a group's intervals do not overlap."""
+    table = rows.sparkSession.createDataFrame([(*g, [(s.low, s.high) for s in held]) for g, held in spans.items()],
+                                              group_schema(rows, names, "_spans array<struct<low:double,high:double>>"))
+    span = F.get(F.filter("_spans", lambda s: F.col("_v").between(s["low"], s["high"])), F.lit(0))
+    return rows.join(F.broadcast(table), list(names)).withColumn("_span", span).filter(F.col("_span").isNotNull())
 
 
 def decile_edges(df: DataFrame, groups: Sequence[str], value: str, bins: int = 10) -> DataFrame:

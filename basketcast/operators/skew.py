@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 
 # Rows of one key that one task may join.
 HOT_ROWS = 2_000_000
+# Bytes (as text) up to which a small table is broadcast, and copies of a larger one.
+BROADCAST_BYTES = 32 << 20
+COPIES = 16
 
 
 @dataclass
@@ -60,3 +63,25 @@ def join_statistics(rows: DataFrame, stats: DataFrame, key: str, heavy: HeavyKey
               .drop("_slices"))
     columns = [*rows.columns, *[c for c in stats.columns if c not in on]]
     return salted.join(copies, [*on, "_salt"], how).select(*columns)
+
+
+def byte_sizes(df: DataFrame, label: str) -> dict[str, int]:
+    """Bytes per label of a materialised table with a handful of labels."""
+    return {r[0]: r[1] or 0 for r in df.groupBy(label).agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).collect()}
+
+
+def join_small(rows: DataFrame, table: DataFrame, on: Sequence[str], how: str = "left", size: int | None = None,
+               max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Join a table that should be small and has few keys, so that a shuffle by key would pile up rows.
+
+    A table of at most ``max_bytes`` (measured where ``size`` does not say) is broadcast. A larger one is
+    copied ``COPIES`` times and the rows of every key are spread over the copies.
+    """
+    if size is None:
+        size = table.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()[0] or 0
+    if size <= max_bytes:
+        return rows.join(F.broadcast(table), list(on), how)
+    spread_by = ["session_id"] if "session_id" in rows.columns else list(rows.columns)
+    salted = rows.withColumn("_copy", F.pmod(F.xxhash64(*spread_by), F.lit(COPIES)).cast("int"))
+    copies = table.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(COPIES - 1))))
+    return salted.join(copies, [*on, "_copy"], how).drop("_copy").select(*rows.columns, *[c for c in table.columns if c not in on])

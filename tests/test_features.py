@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 
 from basketcast.constants import HOLIDAYS_2024, HOLIDAYS_ALL, TARGETS
 from basketcast.functions import calendar, scalars
-from basketcast.operators import clean, encode, stats
-from basketcast.operators.factorise import category_rows
+from basketcast.operators import clean, coordinates, encode, skew, stats
 from basketcast.operators.folds import attach_fold, stratified_group_folds
 
 
@@ -166,6 +165,32 @@ def test_exact_quantiles_of_any_size(spark, n):
     assert [got[p] for p in probs] == pytest.approx(np.quantile(values, probs).tolist())
 
 
+@pytest.mark.parametrize("finish_rows", [1, 40, 100_000])
+def test_exact_quantiles_narrow_until_few_rows_are_left(spark, finish_rows):
+    """Several groups at once, with ties, a constant and a single row; bounds are refined where intervals stay large."""
+    rng = np.random.default_rng(4)
+    values = {"a": rng.random(4000) ** 6, "b": np.r_[rng.random(1500), np.full(1500, 0.5)], "c": np.full(300, 2.5), "d": np.array([1.0])}
+    rows = [(g, float(v)) for g, held in values.items() for v in held] + [("a", None), (None, 3.0)]
+    df = spark.createDataFrame(rows, "target string, score double").repartition(5)
+    probs = [0.0, 0.123, 0.5, 0.51, 0.999, 1.0]
+    got = {(r["target"], r["prob"]): r["quantile"] for r in
+           encode.exact_quantiles(df, ["target"], "score", probs, accuracy=60, finish_rows=finish_rows).collect()}
+    assert len(got) == len(values) * len(probs)
+    for g, held in values.items():
+        assert [got[g, p] for p in probs] == pytest.approx(np.quantile(held, probs).tolist(), abs=1e-12)
+    assert encode.exact_quantiles(df.limit(0), ["target"], "score", probs).count() == 0
+
+
+@pytest.mark.parametrize("max_bytes", [0, 1 << 20])
+def test_join_small_keeps_every_row(spark, max_bytes):
+    rows = spark.range(500).select(F.col("id").alias("session_id"), F.when(F.col("id") % 5 > 0, F.lit("hot")).when(F.col("id") % 2 == 0, "cold").alias("store"))
+    table = spark.createDataFrame([("hot", 1.0), ("cold", 2.0), ("none", 3.0)], "store string, mean double")
+    got = skew.join_small(rows, table, ["store"], max_bytes=max_bytes)
+    assert got.groupBy("store", "mean").count().orderBy("store").collect() == rows.withColumn(
+        "mean", F.when(F.col("store") == "hot", 1.0).when(F.col("store") == "cold", 2.0)).groupBy("store", "mean").count().orderBy("store").collect()
+    assert ("BroadcastHashJoin" in got._jdf.queryExecution().executedPlan().toString()) == (max_bytes > 0)
+
+
 def test_categories_with_any_name(spark):
     """Dots, names that differ only in case, and parts of a unit."""
     names = ["Dr. Tea", "Tea", "tea", "a`b"]
@@ -179,8 +204,10 @@ def test_categories_with_any_name(spark):
     people = spark.createDataFrame([(1, "x"), (2, "x"), (3, "y")], "session_id long, store string")
     ratio = {r[1]: tuple(r)[2:] for r in stats.purchase_ratio(people, held, names, ["store"]).collect()}
     assert ratio == {"x": (0.25, 0.0, 0.5, 0.25), "y": (None,) * 4}
-    vectors = category_rows(held, "session_id", names).orderBy("session_id").collect()
-    assert [r["x"] for r in vectors] == [[0.5, 0.0, 1.0, 0.0], [0.0, 0.0, 0.0, 0.5]]
+    codes = coordinates.rank_codes(rows, "category")
+    assert [r["category"] for r in codes.orderBy("code").collect()] == sorted(names)
+    vectors = coordinates.sparse_rows(coordinates.coordinate_matrix(rows, "session_id", codes, "quantity"), "session_id").orderBy("session_id").collect()
+    assert [(r["codes"], r["values"]) for r in vectors] == [([0, 3], [0.5, 2.0]), ([1, 2], [-1.0, 0.5])]
     levels = encode.one_hot(spark.createDataFrame([("A",), ("a",), (None,)], "c string"), ["c"])
     assert levels.columns == ["c", "c_A", "c_a"] and [tuple(r)[1:] for r in levels.collect()] == [(1, 0), (0, 1), (0, 0)]
 

@@ -35,10 +35,13 @@ def hot(spark):
         *[(F.pmod(F.xxhash64("id", F.lit(t)), F.lit(3)) == 0).cast("int").alias(t) for t in TARGETS])
 
 
-def test_position_equals_row_number(spark, hot):
-    order = Window.partitionBy("customer_id").orderBy("sale_date", "hour", "session_id")
-    want = hot.withColumn("want", F.row_number().over(order) - 1).select("session_id", "want")
-    got = with_position(hot, ["customer_id"], ["sale_date", "hour"], ["session_id"])
+@pytest.mark.parametrize("cell", [["sale_date", "hour"], ["hour"]])
+@pytest.mark.parametrize("sub_rows", [1, 7, 10_000])
+@pytest.mark.parametrize("falling", [[], ["session_id"]])
+def test_position_equals_row_number(spark, hot, cell, sub_rows, falling):
+    last = F.desc("session_id") if falling else F.asc("session_id")
+    want = hot.withColumn("want", F.row_number().over(Window.partitionBy("customer_id").orderBy(*cell, last)) - 1).select("session_id", "want")
+    got = with_position(hot, ["customer_id"], cell, ["session_id"], descending=falling, sub_rows=sub_rows)
     joined = got.join(want, "session_id")
     assert joined.count() == 3000 and joined.filter("pos <> want").count() == 0
 
