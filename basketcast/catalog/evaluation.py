@@ -1,15 +1,18 @@
 """Metrics and tuning."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from basketcast.catalog.encoders import scored
-from basketcast.catalog.registry import (CUSTOMER_SQL, HISTORY_SQL, OVERALL_SQL, SCORED, SEGMENT_SQL, VALID_SQL, auc_sql,
-                                         long_sql, query, twin)
+from basketcast.catalog.registry import (CUSTOMER_SQL, DEFAULT_C, HISTORY_SQL, OVERALL_SQL, SCORED, SEGMENT_SQL, VALID_SQL, auc_sql,
+                                         long_sql, posterior_sql, query, twin)
 from basketcast.catalog.scores import CORRECTED, corrected
 from basketcast.constants import TARGETS
 from basketcast.operators import evaluate
 from basketcast.operators.bayes import long_scores
 from basketcast.operators.stats import class_weights
+from basketcast.plans import bayes_score
 
 
 def long(retail):
@@ -82,3 +85,31 @@ SELECT target, threshold, balanced FROM rated QUALIFY ROW_NUMBER() OVER (PARTITI
     *SCORED, long_sql(), *SWEEP_SQL))
 def threshold_sweep(retail):
     return evaluate.threshold_sweep(long(retail))
+
+
+def later(sql: str) -> str:
+    """A CTE of the first history, spelled for both periods together."""
+    for name in ("seg", "cust", "overall", "hist"):
+        sql = re.sub(rf"\b{name}\b", f"{name}2", sql)
+    return sql
+
+
+TUNED_SQL = ("best AS (SELECT target, c FROM aucs QUALIFY ROW_NUMBER() OVER (PARTITION BY target ORDER BY auc DESC, c) = 1)",
+             "hist2 AS (SELECT * FROM fact WHERE split IN ('train', 'valid'))", "new2 AS (SELECT * FROM fact WHERE split = 'test')",
+             later(SEGMENT_SQL), later(CUSTOMER_SQL), later(OVERALL_SQL),
+             re.sub(r"CAST\(10\.0 AS DOUBLE\)", "TUNED", later(posterior_sql(DEFAULT_C, "new2", "scored2"))))
+
+
+def with_tuned(sql: str) -> str:
+    """The tuned value of each target in place of the fixed one."""
+    parts = sql.split(" AS bayes_")
+    return " AS bayes_".join(part.replace("TUNED", f"(SELECT c FROM best WHERE target = '{parts[i + 1].split(',')[0].split()[0]}')")
+                             if i + 1 < len(parts) else part for i, part in enumerate(parts))
+
+
+@query("tuned_scores", twin("fact", "SELECT session_id, " + ", ".join(f"bayes_{t}" for t in TARGETS) + " FROM scored2",
+                            *GRID, *TUNED_SQL[:-1], with_tuned(TUNED_SQL[-1])))
+def tuned_scores(retail):
+    retail.keep()
+    out = bayes_score.tuned_scores(retail.history, retail.validation, retail.facts.filter("split = 'test'"))
+    return out.select("session_id", *[f"bayes_{t}" for t in TARGETS])

@@ -1,5 +1,7 @@
 """Bayes posterior, blend and corrections."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from basketcast.catalog.encoders import BIN_SQL, EDGE_SQL, scored
@@ -7,8 +9,10 @@ from basketcast.catalog.joins import MARGINAL_JOINS, MARGINAL_SQL
 from basketcast.catalog.registry import (CUSTOMER_SQL, DEFAULT_C, HISTORY_SQL, OVERALL_SQL, SCORED, SEGMENT_SQL, VALID_SQL, each,
                                          long_sql, posterior_sql, query, twin)
 from basketcast.catalog.sequences import BASKET_SQL, LATEST_SQL, PATTERN_SQL
-from basketcast.constants import (BLEND_WEIGHTS, CORRELATION_PAIRS, CORRELATION_STRENGTH, PRODUCTION_CONFIDENCE, TARGETS)
+from basketcast.constants import (BLEND_WEIGHTS, CORRELATION_PAIRS, CORRELATION_STRENGTH, DEFAULT_CONFIDENCE, FOLDS,
+                                  PRODUCTION_CONFIDENCE, TARGETS)
 from basketcast.operators import bayes
+from basketcast.operators.overlap import union_all
 from basketcast.operators.stats import conditional_purchase
 from basketcast.plans.bayes_score import blended_scores, production_scores
 from basketcast.session import materialise
@@ -59,10 +63,13 @@ def bayes_score(retail):
                               HISTORY_SQL, VALID_SQL, SEGMENT_SQL, CUSTOMER_SQL, OVERALL_SQL, posterior_sql(DEFAULT_C),
                               *MARGINAL_SQL, BLEND_SQL.replace(" LEFT JOIN latest USING (customer_id) LEFT JOIN patterns USING (c1, c2)", "").replace("COALESCE(p_", "COALESCE(0 * bayes_")))
 def weighted_blend(retail):
+    return marginal_blend(retail).select("session_id", *[F.round(f"blend_{t}", 12).alias(f"blend_{t}") for t in TARGETS])
+
+
+def marginal_blend(retail):
     rows = bayes.lookup_marginals(scored(retail), bayes.marginal_table(retail.history, TARGETS), TARGETS)
     rows = rows.withColumns({f"sequence_{t}": F.lit(None).cast("double") for t in TARGETS})
-    out = bayes.weighted_blend(rows, TARGETS)
-    return out.select("session_id", *[F.round(f"blend_{t}", 12).alias(f"blend_{t}") for t in TARGETS])
+    return bayes.weighted_blend(rows, TARGETS)
 
 
 @query("correlation_correction", twin("fact", f"SELECT session_id, {each('round(fixed_{t}, 12) AS bayes_{t}')} FROM fixed_{LAST}",
@@ -94,20 +101,43 @@ def error_correction(retail):
     return long.withColumn("score", F.round("score", 9))
 
 
+MARGINAL_BLEND = (HISTORY_SQL, VALID_SQL, SEGMENT_SQL, CUSTOMER_SQL, OVERALL_SQL, posterior_sql(DEFAULT_C), *MARGINAL_SQL,
+                  BLEND_SQL.replace(" LEFT JOIN latest USING (customer_id) LEFT JOIN patterns USING (c1, c2)", "").replace("COALESCE(p_", "COALESCE(0 * bayes_"))
+
+
 @query("model_blend", twin("fact", f"""
-SELECT session_id, {each('0.6::DOUBLE * a.bayes_{t} + 0.4::DOUBLE * b.{t} AS {t}')} FROM scored a JOIN target b USING (session_id)""", *SCORED))
+SELECT session_id, {each('round(0.6::DOUBLE * bayes_{t} + 0.4::DOUBLE * raw_{t}, 11) AS {t}')} FROM blended""", *MARGINAL_BLEND))
 def model_blend(retail):
+    """Two models of the same sessions: the posterior, and its blend with the marginal rates."""
+    retail.keep()
     first = scored(retail).select("session_id", *[F.col(f"bayes_{t}").alias(t) for t in TARGETS])
-    return bayes.model_blend(first, retail.targets, TARGETS)
+    second = marginal_blend(retail).select("session_id", *[F.col(f"blend_{t}").alias(t) for t in TARGETS])
+    out = bayes.model_blend(first, second, TARGETS)
+    return out.select("session_id", *[F.round(t, 11).alias(t) for t in TARGETS])
+
+
+def without_fold(sql: str, k: int) -> str:
+    """A CTE of the history, spelled for the history outside one fold."""
+    for name in ("seg", "cust", "overall", "hist", "scored"):
+        sql = re.sub(rf"\b{name}\b", f"{name}_{k}", sql)
+    return sql
 
 
-@query("fold_average", twin("fact", f"""
-SELECT session_id, {each('avg({t}) AS {t}')} FROM (
-  SELECT session_id, {each('{t}')} FROM target UNION ALL SELECT session_id, {each('{t} / 2.0::DOUBLE')} FROM target
-  UNION ALL SELECT session_id, {each('{t} / 4.0::DOUBLE')} FROM target UNION ALL SELECT session_id, {each('{t} / 8.0::DOUBLE')} FROM target) GROUP BY session_id"""))
+FOLD_MODELS_SQL = tuple(sql for k in range(FOLDS) for sql in (
+    f"hist_{k} AS (SELECT * FROM fact WHERE split = 'train' AND session_id % {FOLDS} <> {k})",
+    *[without_fold(part, k) for part in (SEGMENT_SQL, CUSTOMER_SQL, OVERALL_SQL, posterior_sql(DEFAULT_C))]))
+
+
+@query("fold_average", twin("fact", f"SELECT session_id, {each('round(avg(bayes_{t}), 12) AS {t}')} FROM (" + " UNION ALL ".join(
+    f"SELECT session_id, {each('bayes_{t}')} FROM scored_{k}" for k in range(FOLDS)) + ") GROUP BY session_id", VALID_SQL, *FOLD_MODELS_SQL))
 def fold_average(retail):
-    parts = [retail.targets.select("session_id", *[(F.col(t) / float(d)).alias(t) for t in TARGETS]) for d in (1, 2, 4, 8)]
-    return bayes.fold_average(parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3]), TARGETS)
+    """Validation sessions by four models, each of which has not seen a quarter of the history."""
+    retail.keep()
+    fold = F.col("session_id") % FOLDS
+    parts = [bayes.bayes_posterior(retail.history.filter(fold != k), retail.validation, TARGETS, DEFAULT_CONFIDENCE)
+             .select("session_id", *[F.col(f"bayes_{t}").alias(t) for t in TARGETS]) for k in range(FOLDS)]
+    out = bayes.fold_average(union_all(*parts), TARGETS)
+    return out.select("session_id", *[F.round(t, 12).alias(t) for t in TARGETS])
 
 
 @query("production_scores")

@@ -4,12 +4,14 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from basketcast.catalog.registry import each, query, text_date, twin
-from basketcast.constants import TARGETS
+from basketcast.catalog.encoders import scored
+from basketcast.catalog.registry import SCORED, each, query, text_date, twin
+from basketcast.constants import FOLDS, TARGET_CATEGORIES, TARGETS
+from basketcast.functions.calendar import days_between
 from basketcast.functions.scalars import coalesce_category, prefix_columns
 from basketcast.operators.clean import feature_columns
 from basketcast.operators.overlap import union_all
-from basketcast.session import delete_at_end, shared_folder
+from basketcast.session import delete_at_end, run_folder, shared_folder, store
 from basketcast.sources import sinks, tables
 
 
@@ -26,9 +28,15 @@ def load_tables(retail):
 
 
 @query("date_parsing_read", twin("session", """
-SELECT CAST(sale_date AS VARCHAR) AS sale_date, CAST(count(*) AS BIGINT) AS n FROM session GROUP BY sale_date"""))
+SELECT session_id, CAST(sale_date AS VARCHAR) AS sale_date, hour, CAST(date_diff('day', DATE '1998-01-01', sale_date) AS INTEGER) AS days FROM session"""))
 def date_parsing_read(retail):
-    return text_date(retail.visits.groupBy("sale_date").agg(F.count("*").alias("n")), "sale_date")
+    """Sessions written with their dates as text, day first, and read back through the declared schema."""
+    folder = run_folder(retail.spark, "csv")
+    retail.visits.select("session_id", F.date_format("sale_date", "dd/MM/yyyy").alias("売上日"), F.format_string("%02d:30:00", "hour").alias("時刻")
+                         ).write.option("header", True).csv(f"{folder}/train_session.csv")
+    read = tables.read_table(retail.spark, folder, "train_session", date_format="dd/MM/yyyy")
+    days = days_between(F.col("sale_date"), F.lit("1998-01-01").cast("date"))
+    return text_date(read.select("session_id", "sale_date", "hour", days.alias("days")), "sale_date")
 
 
 @query("attach_targets", twin("target", f"""
@@ -115,3 +123,48 @@ SELECT CAST((SELECT count(*) FROM session) AS BIGINT) AS session_rows,
        CAST((SELECT count(*) FROM (SELECT session_id FROM session GROUP BY session_id HAVING count(*) > 1)) AS BIGINT) AS repeated_keys"""))
 def row_alignment_check(retail):
     return tables.alignment_report(retail.visits, retail.targets)
+
+
+# --- writing a run ----------------------------------------------------------
+
+SCORE_COLUMNS = each("bayes_{t} AS {t}")
+
+
+def run_scores(retail):
+    """Scores of the validation sessions and the quarter each belongs to."""
+    return scored(retail).select("session_id", (F.col("session_id") % FOLDS).cast("int").alias("fold"),
+                                 *[F.col(f"bayes_{t}").alias(t) for t in TARGETS])
+
+
+@query("write_predictions", twin("fact", f"SELECT session_id, {SCORE_COLUMNS} FROM scored", *SCORED))
+def write_predictions(retail):
+    """A submission file with labelled columns, written twice to the same place and read back."""
+    folder = run_folder(retail.spark, "submission")
+    scores = store(run_scores(retail))
+    sinks.write_predictions(scores.limit(0), folder, TARGETS, labels=TARGET_CATEGORIES)
+    sinks.write_predictions(scores, folder, TARGETS, labels=TARGET_CATEGORIES)
+    columns = ["session_id long", *[f"`{TARGET_CATEGORIES[t]}` double" for t in TARGETS]]
+    return retail.spark.read.option("header", True).schema(", ".join(columns)).csv(folder).toDF("session_id", *TARGETS)
+
+
+def written_oof(retail):
+    """Folder and schema of out-of-fold scores, of which one fold was written with errors first and then again."""
+    folder, scores = run_folder(retail.spark, "oof"), store(run_scores(retail))
+    half = scores.withColumns({t: F.when(F.col("fold") == 1, F.lit(0.5)).otherwise(F.col(t)) for t in TARGETS})
+    sinks.write_oof(half.filter("fold <> 1 OR session_id % 8 = 1"), folder)
+    sinks.write_oof(scores.filter("fold = 1"), folder)
+    return folder, scores.schema
+
+
+@query("write_oof", twin("fact", f"SELECT session_id, CAST(session_id % {FOLDS} AS INTEGER) AS fold, {SCORE_COLUMNS} FROM scored", *SCORED))
+def write_oof(retail):
+    folder, schema = written_oof(retail)
+    return sinks.read_oof(retail.spark, folder, schema).select("session_id", "fold", *TARGETS)
+
+
+@query("oof_manifest", twin("fact", f"""
+SELECT CAST(session_id % {FOLDS} AS INTEGER) AS fold, CAST(count(*) AS BIGINT) AS rows, CAST(sum(session_id) AS BIGINT) AS key_sum FROM scored GROUP BY 1""", *SCORED))
+def oof_manifest(retail):
+    folder, _ = written_oof(retail)
+    stated = retail.spark.read.parquet(f"{folder}/manifest")
+    return stated.select(F.col("fold").cast("int").alias("fold"), "rows", F.col("key_sum").cast("long").alias("key_sum"))

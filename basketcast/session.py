@@ -71,6 +71,13 @@ def delete_at_end(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
 
 
+def run_folder(spark: SparkSession, kind: str) -> str:
+    """A folder of this run in the shared folder, deleted when the driver ends."""
+    path = f"{shared_folder(spark)}/{kind}-{uuid.uuid4().hex}"
+    delete_at_end(spark, path)
+    return path
+
+
 def store(df: DataFrame, partition_by: Sequence[str] = ()) -> DataFrame:
     """Write a large intermediate once as a table in the shared folder.
 

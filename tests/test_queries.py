@@ -30,8 +30,7 @@ def test_query_matches_sql(spark, db, name):
     assert normal(got) == normal(want)
 
 
-@pytest.mark.parametrize("name", ["truncated_svd", "attribute_mean_embedding", "step_features",
-                                  "nmf", "production_scores", "session_tensors", "boosted_multi_target", "oof_cv_loop"])
+@pytest.mark.parametrize("name", ["nmf", "production_scores", "session_tensors", "boosted_multi_target", "oof_cv_loop", "ensemble_scores"])
 def test_query_without_twin_runs(spark, name):
     df = contract.queries()[name](spark, FOLDER)
     rows = df.collect()

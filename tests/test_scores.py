@@ -162,7 +162,7 @@ def test_confidence_scores_equal_direct_evaluation(spark):
         scored = bayes.bayes_posterior(retail.history, retail.validation, TARGETS, dict.fromkeys(TARGETS, c))
         for r in evaluate.roc_auc(bayes.long_scores(scored, TARGETS, "bayes_", []), ["target"]).collect():
             assert got[r["target"], c] == pytest.approx(r["auc"], abs=1e-12)
-    best = tuned_confidence(retail.history, retail.validation)
+    best = tuned_confidence(retail.history, retail.validation).first().asDict()
     assert set(best) == set(TARGETS) and all(0.1 <= v <= 100.0 + 1e-9 for v in best.values())
 
 

@@ -62,9 +62,18 @@ def test_predictions_round_trip(spark, tmp_path):
 
 def test_oof_is_partitioned_by_fold(spark, tmp_path):
     scores = spark.range(8).select(F.col("id").alias("session_id"), (F.col("id") % 4).cast("int").alias("fold"), F.lit(0.5).alias("choc"))
-    sinks.write_oof(scores, str(tmp_path / "oof"))
-    assert sorted(p.name for p in (tmp_path / "oof").glob("fold=*")) == [f"fold={k}" for k in range(4)]
-    assert spark.read.parquet(str(tmp_path / "oof")).exceptAll(scores.select("session_id", "choc", "fold")).count() == 0
+    path = str(tmp_path / "oof")
+    sinks.write_oof(scores, path)
+    assert sorted(p.name for p in (tmp_path / "oof" / "scores").glob("fold=*")) == [f"fold={k}" for k in range(4)]
+    assert sinks.read_oof(spark, path, scores.schema).select(*scores.columns).exceptAll(scores).count() == 0
+    # One fold again, with other scores: the others stay.
+    sinks.write_oof(scores.filter("fold = 2").withColumn("choc", F.lit(0.75)), path)
+    back = {r["session_id"]: r["choc"] for r in sinks.read_oof(spark, path, scores.schema).collect()}
+    assert back == {i: 0.75 if i % 4 == 2 else 0.5 for i in range(8)}
+    # A fold whose files are gone or were written twice is named.
+    scores.filter("fold = 3").write.mode("append").partitionBy("fold").parquet(f"{path}/scores")
+    with pytest.raises(ValueError, match="manifest: 3$"):
+        sinks.read_oof(spark, path, scores.schema)
 
 
 def test_restore_order_and_keep_last(spark):
