@@ -11,6 +11,7 @@ from basketcast.operators.clean import filter_returns, map_category
 from basketcast.operators.encode import decile_edges
 from basketcast.operators.coordinates import coordinate_matrix, rank_codes, sparse_rows
 from basketcast.operators.factorise import project, svd_fit
+from basketcast.operators.overlap import union_all
 from basketcast.functions.scalars import coalesce_category, cycle_proximity as rule
 from basketcast.session import materialise, store
 from basketcast.sources.surrogate import BRANDS, MONEY
@@ -195,12 +196,19 @@ def recency_asof(retail):
     return stats.recency_asof(retail.outcomes, retail.outcomes, TARGETS).select("session_id", *RECENCY)
 
 
+GAP_SQL = "b AS (SELECT customer_id, target, sale_date, count(*) - 1 AS same_day FROM (" + " UNION ALL ".join(
+    f"SELECT customer_id, sale_date, '{t}' AS target FROM fact WHERE {t} > 0" for t in TARGETS) + ") GROUP BY ALL)"
+
+
 @query("cycle_proximity", twin("fact", """
-SELECT session_id, greatest(least(7.0::DOUBLE / greatest(date_diff('day', sale_date, DATE '2001-08-01'), 1), 1.0::DOUBLE), 0.0::DOUBLE) AS weekly,
-       0.0::DOUBLE AS never FROM session"""))
+SELECT customer_id, target, CAST(sale_date AS VARCHAR) AS sale_date,
+       CASE WHEN gap < 999 THEN greatest(least(gap / greatest(date_diff('day', sale_date, DATE '2001-08-01'), 1), 1.0::DOUBLE), 0.0::DOUBLE) ELSE 0.0::DOUBLE END AS proximity
+FROM (SELECT *, COALESCE(CAST(date_diff('day', lag(sale_date) OVER (PARTITION BY customer_id, target ORDER BY sale_date), sale_date) AS DOUBLE), 999.0::DOUBLE) AS gap FROM b)""", GAP_SQL))
 def cycle_proximity(retail):
-    days = F.datediff(F.to_date(F.lit("2001-08-01")), "sale_date")
-    return retail.visits.select("session_id", rule(F.lit(7.0), days).alias("weekly"), rule(F.lit(999.0), days).alias("never"))
+    """How near a purchase is again, from the gap before each purchase day and the days since."""
+    gaps = text_date(stats.purchase_gaps(retail.outcomes, TARGETS).withColumn(
+        "proximity", rule(F.coalesce(F.col("gap").cast("double"), F.lit(999.0)), F.datediff(F.to_date(F.lit("2001-08-01")), "sale_date"))), "sale_date")
+    return gaps.select("customer_id", "target", "sale_date", "proximity")
 
 
 @query("purchase_gaps", twin("fact", """
@@ -221,11 +229,11 @@ GROUPS = {"weekday": "weekday", "band": "time_band", "phase": "month_start, mont
     f"SELECT '{n}' AS grouping_name, concat_ws('|', {', '.join(f'CAST({k} AS VARCHAR)' for k in keys.split(', '))}) AS key, {each('avg({t}) AS {t}')} "
     f"FROM fact WHERE split = 'train' AND {keys.split(', ')[0]} IS NOT NULL GROUP BY {keys}" for n, keys in GROUPS.items())))
 def group_mean(retail):
-    table = bayes.marginal_table(retail.history, TARGETS).filter("marginal <> 'overall'")
-    key = F.coalesce(*[F.when(F.col("marginal") == name, F.concat_ws("|", *[F.col(c).cast("string") for c in keys]))
-                       for name, keys in bayes.MARGINALS.items()])
-    return table.select(F.col("marginal").alias("grouping_name"), key.alias("key"), *[
-        F.try_divide(f"{t}_sum", f"{t}_count").alias(t) for t in TARGETS]).filter("key <> ''")
+    """One grouped mean for each marginal."""
+    history = retail.keep().history
+    return union_all(*[stats.group_mean(history, keys, TARGETS).select(
+        F.lit(name).alias("grouping_name"), F.concat_ws("|", *[F.col(c).cast("string") for c in keys]).alias("key"), *TARGETS)
+        for name, keys in bayes.MARGINALS.items()])
 
 
 @query("bayes_counts", twin("fact", f"""

@@ -44,6 +44,16 @@ def one_hot(retail):
     return wide.select("session_id", *[F.col(f"`{c}_{v}`").alias(f"{c}_is_{i}") for c in LEVELS for i, v in enumerate(levels[c])])
 
 
+@query("sparse_one_hot", twin("session", "SELECT session_id, " + "concat_ws(',', " + ", ".join(
+    f"CAST({c}_code + {' + '.join(['0', *[f'(SELECT count(*) FROM of_{o})' for o in list(LEVELS)[:i]]])} AS VARCHAR)" for i, c in enumerate(LEVELS)) + ") AS hot FROM session "
+    + " ".join(f"LEFT JOIN of_{c} USING ({c})" for c in LEVELS), *[
+    f"of_{c} AS (SELECT {c}, ROW_NUMBER() OVER (ORDER BY {c}) - 1 AS {c}_code FROM (SELECT DISTINCT {c} FROM session WHERE {c} IS NOT NULL))" for c in LEVELS]))
+def sparse_one_hot(retail):
+    """Places of the set indicators of each session, whatever the number of levels."""
+    hot = encode.sparse_one_hot(retail.sessions.select("session_id", *LEVELS), list(LEVELS))
+    return hot.select("session_id", F.concat_ws(",", F.transform("hot", lambda i: i.cast("string"))).alias("hot"))
+
+
 @query("label_encode", twin("session", " UNION ALL ".join(
     f"SELECT '{c}' AS column_name, {c} AS label, CAST(ROW_NUMBER() OVER (ORDER BY {c}) - 1 AS INTEGER) AS code FROM "
     f"(SELECT DISTINCT {c} FROM session WHERE split = 'train')" for c in LEVELS)))
