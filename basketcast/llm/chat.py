@@ -83,17 +83,23 @@ def expand(parts: DataFrame, role: str = "assistant") -> DataFrame:
 
 
 def read_back(parts: DataFrame) -> DataFrame:
-    """Digests per conversation, parsed from the formatted text and the loss positions alone."""
-    rows = F.sort_array(F.collect_list(F.struct("position", "segment")))
-    loss = F.sort_array(F.collect_list(F.when(F.col("role") == "assistant", F.struct("loss_start", "loss_end"))))
-    whole = parts.groupBy("conv_id").agg(F.array_join(F.transform(rows, lambda r: r["segment"]), "").alias("formatted"), loss.alias("loss"))
+    """Digests per conversation, parsed from the formatted text and from one row per example.
+
+    Every example meets the formatted text of its conversation and keeps only its trainable part of it, so
+    that no context is copied; the parts are then put in order again.
+    """
+    whole = formatted(parts)
+    chosen = examples(parts).withColumnRenamed("conv_id", "c")
+    reply = F.substring("formatted", (F.col("loss_start") + 1).cast("int"), (F.col("loss_end") - F.col("loss_start")).cast("int"))
+    replies = chosen.join(whole, F.col("c").eqNullSafe(F.col("conv_id"))).select("c", F.struct("position", plain(reply).alias("text")).alias("reply"))
+    trained = replies.groupBy("c").agg(F.array_join(F.transform(F.array_sort(F.collect_list("reply")), lambda r: r["text"]), "").alias("trained"))
     pieces = F.slice(F.split("formatted", r"<\|end\|>\n"), 1, F.size(F.split("formatted", r"<\|end\|>\n")) - 1)
-    whole = whole.withColumn("turns", F.transform(pieces, lambda p: F.struct(
+    read = whole.withColumn("turns", F.transform(pieces, lambda p: F.struct(
         plain(F.substring_index(F.substring(p, len(TURN) + 1, 2147483647), TEXT, 1)).alias("role"),
         plain(F.substring_index(p, TEXT, -1)).alias("text"))))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    trained = F.array_join(F.transform("loss", lambda m: plain(
-        F.substring(F.col("formatted"), (m["loss_start"] + 1).cast("int"), (m["loss_end"] - m["loss_start"]).cast("int")))), "")
-    return whole.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"),
-                        F.char_length(trained).cast("long").alias("loss_chars"), F.sha2(trained, 256).alias("loss_sha256"),
-                        F.char_length("formatted").cast("long").alias("formatted_chars"))
+    loss = F.coalesce("trained", F.lit(""))
+    return read.join(trained, F.col("c").eqNullSafe(F.col("conv_id")), "left").select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"),
+        F.char_length(loss).cast("long").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"),
+        F.char_length("formatted").cast("long").alias("formatted_chars"))

@@ -83,7 +83,7 @@ SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(trained) AS loss_c
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     """All conversations, and one whose texts are control strings."""
     said = "</s>[INST] ok [/INST]"
-    own = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    own = spark.sql("SELECT * FROM VALUES (-1L, 0L, 'user', :said), (-1L, 1L, 'assistant', :said) AS t(conv_id, turn, role, text)", args={"said": said})
     rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
     return chat.read_back(chat.segments(rows.unionByName(own)))
 

@@ -7,7 +7,8 @@ candidate decodes and its inner structure holds together:
 * ``pem``: an armoured private key whose body is a private-key encoding,
 * ``signed_token``: three base64url parts, the first a JSON header that names an algorithm, the
   second a JSON object,
-* ``key_base64`` / ``key_hex``: a bare base64 or hexadecimal run that is a private-key encoding.
+* ``key_base64`` / ``key_hex``: a bare base64 or hexadecimal run that is a private-key encoding; base64 may
+  be wrapped in full lines of 64 or 76 signs.
 
 A private-key encoding is DER whose nested lengths fill their parents exactly and whose outer
 sequence has the shape of PKCS#1, PKCS#8, SEC 1 or DSA keys, or the binary OpenSSH form whose
@@ -15,8 +16,8 @@ length-prefixed fields fill it.
 
 A vectorised test sends only rows that can hold a kind to the exact patterns. Positions are code
 points, ends exclusive. Defined cases: a null text is empty and has no findings; findings are
-ordered by start, then by kind as listed in ``KINDS``; repeated rows are scanned one by one; other
-columns are ignored.
+ordered by start, then by kind as listed in ``KINDS``; repeated rows and null ids are scanned row by row;
+an empty table gives an empty result; every search is linear in a very long text; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ import json
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -40,9 +42,11 @@ KINDS = (*BASE_KINDS, "pem", "signed_token", "key_base64", "key_hex")
 ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
-PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----(.*?)-----END \1-----", re.DOTALL)
+ARMOUR = re.compile(r"-----(BEGIN|END) ([A-Z0-9 ]{0,40}PRIVATE KEY)-----")
 TOKEN = re.compile(r"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*)")
 BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}={0,2}")
+# Full lines of 64 or 76 signs and a last one.
+WRAPPED = [re.compile(r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]{%d}\r?\n)+[A-Za-z0-9+/_-]{1,%d}={0,2}(?![A-Za-z0-9+/_-])" % (n, n)) for n in (64, 76)]
 HEX_KEY = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{2}){24,}(?![0-9A-Fa-f])")
 
 # Tests that a whole column passes through; a superset of what the patterns above accept.
@@ -149,6 +153,28 @@ def is_signed_token(header: str, body: str, signature: str) -> bool:
     return head["alg"].lower() == "none" or len(decoded(signature) or b"") >= 16
 
 
+def armoured_parts(text: str) -> Iterator[tuple[int, int, str, str]]:
+    """``start, end, label, body`` of each END line with the nearest BEGIN line of its label in front of it, in one pass."""
+    opened: dict[str, tuple[int, int]] = {}
+    for m in ARMOUR.finditer(text):
+        if m[1] == "BEGIN":
+            opened[m[2]] = m.span()
+        elif m[2] in opened:
+            start, inner = opened[m[2]]
+            opened.clear()
+            yield start, m.end(), m[2], text[inner:m.start()]
+
+
+def signed_tokens(text: str) -> Iterator[tuple[int, int]]:
+    """Spans of confirmed tokens; behind a candidate that is none the search goes on at its second part."""
+    at = 0
+    while m := TOKEN.search(text, at):
+        signed = is_signed_token(m[1], m[2], m[3])
+        if signed:
+            yield m.span()
+        at = m.end() if signed else m.start(2)
+
+
 def findings(text: str, kinds: set[str] | None = None) -> list[tuple[int, str, int]]:
     """``(start, kind, end)`` in one text, in order; ``kinds`` limits the search."""
     wanted = set(KINDS) if kinds is None else kinds
@@ -159,21 +185,26 @@ def findings(text: str, kinds: set[str] | None = None) -> list[tuple[int, str, i
         found += [(m.start(), "access", m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 20]
     if "hex" in wanted:
         found += [(m.start(), "hex", m.end()) for m in HEX.finditer(text)]
+    armoured = []
     if "pem" in wanted:
-        for m in PEM.finditer(text):
+        for start, end, label, body in armoured_parts(text):
             # Bodies in source code carry escaped line ends; legacy headers end with an empty line.
-            body = m[2].replace("\\r", "").replace("\\n", "\n")
-            encrypted = "ENCRYPTED" in body[:200] or "ENCRYPTED" in m[1]
+            body = body.replace("\\r", "").replace("\\n", "\n")
+            encrypted = "ENCRYPTED" in body[:200] or "ENCRYPTED" in label
             lines = [line.strip(" \t\r\"',+") for line in body.split("\n") if ":" not in line]
             data = decoded("".join(lines))
             if is_key(data) or encrypted and data:
-                found.append((m.start(), "pem", m.end()))
-    armoured = [(s, e) for s, kind, e in found if kind == "pem"]
-    outside = lambda m: not any(s <= m.start() < e for s, e in armoured)
+                armoured.append((start, end))
+    found += [(s, "pem", e) for s, e in armoured]
+    taken = np.zeros(len(text) + 1, bool) if armoured else None
+    for s, e in armoured:
+        taken[s:e] = True
+    outside = lambda m: taken is None or not taken[m.start()]
     if "signed_token" in wanted:
-        found += [(m.start(), "signed_token", m.end()) for m in TOKEN.finditer(text) if is_signed_token(m[1], m[2], m[3])]
+        found += [(s, "signed_token", e) for s, e in signed_tokens(text)]
     if "key_base64" in wanted:
-        found += [(m.start(), "key_base64", m.end()) for m in BASE64.finditer(text) if outside(m) and is_key(decoded(m[0]))]
+        candidates = [m for pattern in (BASE64, *WRAPPED) for m in pattern.finditer(text) if outside(m)]
+        found += [(m.start(), "key_base64", m.end()) for m in candidates if is_key(decoded(m[0].replace("\r", "").replace("\n", "")))]
     if "key_hex" in wanted:
         found += [(m.start(), "key_hex", m.end()) for m in HEX_KEY.finditer(text) if outside(m) and is_key(bytes.fromhex(m[0]))]
     return sorted(found, key=lambda f: (f[0], KINDS.index(f[1]), f[2]))

@@ -4,6 +4,7 @@ import base64
 import hashlib
 import json
 import re
+import time
 
 import pandas as pd
 import pytest
@@ -86,6 +87,31 @@ def test_only_whole_structures_are_confirmed():
     assert kinds("A" * 500) == [] and kinds("one.two.three and more.words.here") == []
 
 
+def test_rejected_candidates_hide_nothing():
+    token = jwt({"alg": "HS256", "typ": "JWT"})
+    for before in ("", "session_cookie.", "identity.", "a1234567.bb.", "x" * 30 + "."):
+        at = len(before)
+        assert (at, "signed_token", at + len(token)) in secrets.findings(before + token), before
+    body = base64.b64encode(rsa_key()).decode()
+    for width in (64, 76):
+        for end in ("\n", "\r\n"):
+            wrapped = end.join(body[i:i + width] for i in range(0, len(body), width))
+            assert [(s, k, e) for s, k, e in secrets.findings("key:\n" + wrapped + "\n.") if k == "key_base64"] == [(5, "key_base64", 5 + len(wrapped))]
+    # An unended BEGIN line in front, or a body that is no key, does not hide the block behind it.
+    block = "-----BEGIN RSA PRIVATE KEY-----\n" + body + "\n-----END RSA PRIVATE KEY-----"
+    for before in ("-----BEGIN RSA PRIVATE KEY-----\n", "-----END RSA PRIVATE KEY-----\n", "-----BEGIN EC PRIVATE KEY-----\nAAAA\n-----END EC PRIVATE KEY-----\n"):
+        assert [f for f in secrets.findings(before + block) if f[1] == "pem"] == [(len(before), "pem", len(before) + len(block))]
+
+
+@pytest.mark.parametrize("text", [
+    "-----BEGIN RSA PRIVATE KEY-----\n" * 62_500, "-----BEGIN RSA PRIVATE KEY-----\nAAAA\n-----END EC PRIVATE KEY-----\n" * 30_000,
+    "abcdefgh." * 200_000, "a" * 2_000_000, ("A" * 64 + "\n") * 30_000, "-----BEGIN " + "A " * 1_000_000, "0a" * 1_000_000])
+def test_hostile_texts_take_linear_time(text):
+    began = time.thread_time()
+    secrets.findings(text)
+    assert time.thread_time() - began < 8
+
+
 def test_spans_are_code_points_in_order(spark):
     text = "é😀 token=abcdef0123456789abcdef0123 " + jwt({"alg": "none"}, b"")
     found = secrets.scan(documents(spark, [text, None])).collect()
