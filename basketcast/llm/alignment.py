@@ -5,7 +5,7 @@ again start a one-to-one stretch: with the index shift held, slices of doubling
 until one differs, and halving that one finds where the stretch ends. Where the next ends differ, both
 lists are walked to the next common end, the tokens between are one group, and the difference of the
 two indices there is the new shift. Inside a group every end but the last belongs to one side only, so
-each step of that walk is one pair of tokens whose bytes overlap: a link.
+each end closes one pair of tokens whose bytes overlap: a link.
 
 Every document keeps its distinct id pairs with the number of their links, sorted. A pair's count is
 the number of documents that hold it; counts are summed inside the map tasks first. The pairs that
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from basketcast.llm.common import blocks, small_batches, stored
-from basketcast.llm.vocabularies import vocabulary
+from basketcast.llm.vocabularies import UNCUT, ByteVocabulary, PieceMemory, vocabulary
 
 # Pairs (17 bytes each) whose counts are broadcast.
 COMMON_PAIRS = 1 << 20
@@ -41,9 +41,13 @@ ALIGNED_SCHEMA = ("doc_id long, n_a long, n_b long, n_groups long, n_links long,
                   "pairs array<long>, times array<int>")
 
 
-def stretches(a: list[int], b: list[int]) -> Iterator[tuple[int, int, int, int, bool]]:
-    """``(i, i_end, j, j_end, one_to_one)`` for lists of ends whose last ones are equal."""
+def stretches(a: list[int], b: list[int]) -> tuple[list[int], list[int], list[bool]]:
+    """Ends ``i, j`` of all stretches and groups in order, and which of them are one to one.
+
+    The lists of ends are increasing and their last ones are equal.
+    """
     i, shift, size = 0, 0, len(a)
+    ends_i, ends_j, single = [], [], []
     while i < size:
         j = i + shift
         if a[i] == b[j]:
@@ -54,67 +58,86 @@ def stretches(a: list[int], b: list[int]) -> Iterator[tuple[int, int, int, int,
                 step //= 2
                 if a[at:at + step] == b[at + shift:at + shift + step]:
                     at += step
-            at = min(at, size)
-            yield i, at, j, at + shift, True
-            i = at
+            i = min(at, size)
+            single.append(True)
         else:
-            p, q = i, j
-            while a[p] != b[q]:
-                if a[p] < b[q]:
-                    p += 1
+            x, y = a[i], b[j]
+            while x != y:
+                if x < y:
+                    i += 1
+                    x = a[i]
                 else:
-                    q += 1
-            yield i, p + 1, j, q + 1, False
-            i, shift = p + 1, q - p
-
-
-def crossings(a: list[int], b: list[int], i: int, i_end: int, j: int, j_end: int) -> Iterator[tuple[int, int]]:
-    """Index pairs of the overlapping tokens of one irregular group."""
-    while True:
-        yield i, j
-        if i + 1 == i_end and j + 1 == j_end:
-            return
-        if a[i] < b[j]:
+                    j += 1
+                    y = b[j]
+            shift = j - i
             i += 1
-        else:
-            j += 1
-
-
-def align(a_ids: np.ndarray, a_ends: np.ndarray, b_ids: np.ndarray, b_ends: np.ndarray) -> tuple[int, str, np.ndarray]:
-    """Number of groups, their text ``a1,a2|b1;...``, and one pair number for each link."""
-    a, b = a_ends.tolist(), b_ends.tolist()
-    a_names, b_names = list(map(str, a_ids.tolist())), list(map(str, b_ids.tolist()))
-    groups, n_groups, left, right = [], 0, [], []
-    for i, i_end, j, j_end, single in stretches(a, b):
-        if single:
-            groups.extend(map("|".join, zip(a_names[i:i_end], b_names[j:j_end])))
-            n_groups += i_end - i
-            left.extend(range(i, i_end))
-            right.extend(range(j, j_end))
-        else:
-            groups.append(",".join(a_names[i:i_end]) + "|" + ",".join(b_names[j:j_end]))
-            n_groups += 1
-            for p, q in crossings(a, b, i, i_end, j, j_end):
-                left.append(p)
-                right.append(q)
-    return n_groups, ";".join(groups), a_ids[left].astype(np.int64) * SECOND + b_ids[right]
-
-
-class Side:
-    """One vocabulary with the bytes of its tokens."""
-
-    def __init__(self, path: str, add_space: bool):
-        self.vocabulary = vocabulary(path, special_as_text=True)
-        self.add_space = add_space
-        self.bytes = self.vocabulary.token_bytes()
-        self.sizes = np.array(list(map(len, self.bytes)), np.int64)
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of a space and each text; the other kind of vocabulary puts the space there itself."""
-        return self.vocabulary.ids([" " + t for t in texts] if self.add_space else texts)
-
-    def spells(self, ids: np.ndarray, target: bytes) -> bool:
-        return b"".join(map(self.bytes.__getitem__, ids.tolist())) == target and (self.sizes[ids] > 0).all()
+            single.append(False)
+        ends_i.append(i)
+        ends_j.append(i + shift)
+    return ends_i, ends_j, single
+
+
+def align(a_ids: np.ndarray, a_ends: np.ndarray, b_ids: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ends of all groups in the tokens of either side, and one pair number for each link."""
+    ends_i, ends_j, single = (np.array(x) for x in stretches(a_ends.tolist(), b_ends.tolist()))
+    # A one-to-one stretch is a group for every token.
+    groups = np.where(single, np.diff(ends_i, prepend=0), 1)
+    back = np.repeat(np.cumsum(groups), groups) - 1 - np.arange(groups.sum())
+    cuts_a, cuts_b = np.repeat(ends_i, groups) - back, np.repeat(ends_j, groups) - back
+    # Tokens in groups of several: every end of either side closes one link.
+    of_a, of_b = np.diff(cuts_a, prepend=0), np.diff(cuts_b, prepend=0)
+    plain = (of_a == 1) & (of_b == 1)
+    other_a, other_b = np.repeat(~plain, of_a), np.repeat(~plain, of_b)
+    closed = np.sort(np.concatenate((a_ends[other_a], b_ends[other_b])), kind="stable")
+    closed = closed[np.diff(closed, prepend=-1) > 0]
+    left = np.concatenate((cuts_a[plain] - 1, np.searchsorted(a_ends, closed)))
+    right = np.concatenate((cuts_b[plain] - 1, np.searchsorted(b_ends, closed)))
+    return cuts_a, cuts_b, a_ids[left].astype(np.int64) * SECOND + b_ids[right]
+
+
+class Sides:
+    """Two vocabularies over one memory of pieces, and their ids as text."""
+
+    def __init__(self, path_a: str, path_b: str):
+        self.sides = [vocabulary(path, special_as_text=True) for path in (path_a, path_b)]
+        self.bytes = [side.token_bytes() for side in self.sides]
+        self.sizes = [np.array(list(map(len, names)), np.int64) for names in self.bytes]
+        self.memory = PieceMemory([side.encode_pieces for side in self.sides], self.bytes)
+        # ``id,`` and ``id|`` of the first side, ``id,`` and ``id;`` of the second.
+        self.names = [f"{i}{mark}" for names, marks in zip(self.bytes, (",|", ",;")) for mark in marks for i in range(len(names))]
+
+    def whole(self, k: int, text: str) -> np.ndarray:
+        """Ids of a space and the text; a vocabulary of pieces puts the space there itself."""
+        side = self.sides[k]
+        return np.array(side.whole([" " + text if isinstance(side, ByteVocabulary) else text])[0], np.int32)
+
+    def encode(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray] | None]:
+        """Ids of both sides; None where either does not spell a space and the text."""
+        cut = [None if not t or UNCUT.search(t) or any(side.keeps_whole(t) for side in self.sides) else t for t in texts]
+        for text, slots in zip(texts, self.memory.slots([None if t is None else " " + t for t in cut])):
+            if not text:
+                yield None
+            elif slots is not None and self.memory.spelt[slots].all():
+                yield self.memory.ids(slots, 0), self.memory.ids(slots, 1)
+            else:
+                target, ids = b" " + text.encode(), [self.whole(k, text) for k in range(2)]
+                spelt = all(b"".join(map(names.__getitem__, i.tolist())) == target and (size[i] > 0).all() for names, size, i in zip(self.bytes, self.sizes, ids))
+                yield tuple(ids) if spelt else None
+
+    def group_text(self, a: np.ndarray, b: np.ndarray, cuts_a: np.ndarray, cuts_b: np.ndarray) -> str:
+        """``a1,a2|b1;a3|b2,b3``: tokens of each group, first side and then second, each with the sign behind it."""
+        first, second = len(self.bytes[0]), len(self.bytes[1])
+        codes = np.empty(len(a) + len(b), np.int64)
+        of_a, of_b = np.diff(cuts_a, prepend=0), np.diff(cuts_b, prepend=0)
+        names_a, names_b = a.astype(np.int64), b.astype(np.int64) + 2 * first
+        names_a[cuts_a - 1] += first
+        names_b[cuts_b - 1] += second
+        codes[np.arange(len(a)) + np.repeat(cuts_b - of_b, of_a)] = names_a
+        codes[np.arange(len(b)) + np.repeat(cuts_a, of_b)] = names_b
+        return "".join(map(self.names.__getitem__, codes.tolist()))[:-1]
+
+
+_sides: dict[tuple[str, str], Sides] = {}
 
 
 def align_documents(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
@@ -122,18 +145,20 @@ def align_documents(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, second = Side(path_a, path_a.endswith(".json")), Side(path_b, path_b.endswith(".json"))
+        if (path_a, path_b) not in _sides:
+            _sides[path_a, path_b] = Sides(path_a, path_b)
+        sides = _sides[path_a, path_b]
         for block in blocks(batches):
             rows = []
-            texts = [t or "" for t in block.column("text").to_pylist()]
-            for text, a, b in zip(texts, first.encode(texts), second.encode(texts)):
-                target = b" " + text.encode()
-                if not text or not first.spells(a, target) or not second.spells(b, target):
+            for ids in sides.encode([t or "" for t in block.column("text").to_pylist()]):
+                if ids is None:
                     rows.append((0, 0, 0, 0, "", [], []))
                     continue
-                n_groups, groups, links = align(a, np.cumsum(first.sizes[a]), b, np.cumsum(second.sizes[b]))
+                a, b = ids
+                cuts_a, cuts_b, links = align(a, np.cumsum(sides.sizes[0][a]), b, np.cumsum(sides.sizes[1][b]))
+                text = sides.group_text(a, b, cuts_a, cuts_b)
                 pairs, times = np.unique(links, return_counts=True)
-                rows.append((len(a), len(b), n_groups, len(links), hashlib.sha256(groups.encode()).hexdigest(), pairs, times.astype(np.int32)))
+                rows.append((len(a), len(b), len(cuts_a), len(links), hashlib.sha256(text.encode()).hexdigest(), pairs, times.astype(np.int32)))
             columns = list(zip(*rows))
             numbers = [pa.array(c, pa.int64()) for c in columns[:4]]
             yield pa.RecordBatch.from_arrays(

@@ -14,7 +14,7 @@ import hashlib
 import json
 import os
 import re
-from collections.abc import Iterable
+from collections.abc import Callable, Sequence
 from itertools import chain
 
 import numpy as np
@@ -35,64 +35,103 @@ def byte_signs() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
-class Vocabulary:
-    """Ids of texts. Subclasses say how the library encodes a list of texts and which texts may be cut.
+class Slots(dict):
+    """Pieces with their slots; a piece that is met for the first time gets the next one and is noted in ``fresh``."""
+
+    def __init__(self):
+        self.fresh: list[str] = []
+
+    def __missing__(self, piece: str) -> int:
+        slot = self[piece] = len(self)
+        self.fresh.append(piece)
+        return slot
 
-    ``memory`` maps a piece to its slot; ``flat[start:start + length]`` are the ids of a slot.
+
+class PieceMemory:
+    """Ids of pieces by one or more encoders, each piece encoded once.
+
+    ``known`` maps a piece to its slot; ``flat[start:start + length]`` are the ids of a slot. With the bytes
+    of the tokens, ``spelt`` says whether all encoders' tokens of a slot join to the piece.
     """
 
-    def __init__(self):
+    def __init__(self, encoders: Sequence[Callable[[list[str]], list[list[int]]]], token_bytes: Sequence[list[bytes]] = ()):
+        self.encoders, self.token_bytes = encoders, token_bytes
         self.forget()
 
     def forget(self) -> None:
-        self.memory: dict[str, int] = {}
-        self.flat, self.start, self.length = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.known = Slots()
+        self.flat = [np.zeros(0, np.int32) for _ in self.encoders]
+        self.start = [np.zeros(0, np.int64) for _ in self.encoders]
+        self.length = [np.zeros(0, np.int64) for _ in self.encoders]
+        self.spelt = np.zeros(0, bool)
         self.chars = 0
 
+    def learn(self) -> None:
+        """Encode the pieces that were met for the first time."""
+        new, self.known.fresh = self.known.fresh, []
+        if not new:
+            return
+        right = np.ones(len(new), bool)
+        for k, encode in enumerate(self.encoders):
+            ids = encode(new)
+            lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+            self.start[k] = np.concatenate((self.start[k], len(self.flat[k]) + np.cumsum(lengths) - lengths))
+            self.length[k] = np.concatenate((self.length[k], lengths))
+            self.flat[k] = np.concatenate((self.flat[k], np.fromiter(chain.from_iterable(ids), np.int32, int(lengths.sum()))))
+            if self.token_bytes:
+                spell = self.token_bytes[k].__getitem__
+                right &= np.fromiter((b"".join(map(spell, i)) == p.encode() for i, p in zip(ids, new)), bool, len(new))
+        self.spelt = np.concatenate((self.spelt, right))
+        self.chars += sum(map(len, new))
+
+    def slots(self, texts: Sequence[str | None]) -> list[np.ndarray | None]:
+        """Slots of the pieces of each text; None stays None."""
+        if len(self.known) > REMEMBERED or self.chars > REMEMBERED_CHARS:
+            self.forget()
+        get, found = self.known.__getitem__, []
+        for text in texts:
+            pieces = None if text is None else PIECE.findall(text)
+            found.append(None if pieces is None else np.fromiter(map(get, pieces), np.int64, len(pieces)))
+        self.learn()
+        return found
+
+    def ids(self, slots: np.ndarray, k: int = 0) -> np.ndarray:
+        n = self.length[k][slots]
+        before = np.cumsum(n) - n
+        return self.flat[k][np.repeat(self.start[k][slots] - before, n) + np.arange(n.sum())]
+
+
+class Vocabulary:
+    """Ids of texts. Subclasses say how the library encodes a list of texts and which texts may be cut."""
+
+    def __init__(self):
+        self.memory = PieceMemory([self.encode_pieces])
+
     def whole(self, texts: list[str]) -> list[list[int]]:
         raise NotImplementedError
 
     def encode_pieces(self, pieces: list[str]) -> list[list[int]]:
         return self.whole(pieces)
 
+    def keeps_whole(self, text: str) -> bool:
+        """Whether pieces of this text could differ from the whole, apart from its white space."""
+        return False
+
     def may_cut(self, text: str) -> bool:
-        return not UNCUT.search(text)
+        return not self.keeps_whole(text) and not UNCUT.search(text)
 
-    def learn(self, pieces: Iterable[str]) -> None:
-        distinct = set(pieces)
-        if len(self.memory) > REMEMBERED or self.chars > REMEMBERED_CHARS:
-            self.forget()
-        new = [p for p in distinct if p not in self.memory]
-        if new:
-            ids = self.encode_pieces(new)
-            lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-            self.start = np.concatenate((self.start, len(self.flat) + np.cumsum(lengths) - lengths))
-            self.length = np.concatenate((self.length, lengths))
-            self.flat = np.concatenate((self.flat, np.fromiter(chain.from_iterable(ids), np.int32, int(lengths.sum()))))
-            self.memory.update(zip(new, range(len(self.memory), len(self.memory) + len(new))))
-            self.chars += sum(map(len, new))
-
-    def slots(self, texts: list[str]) -> list[np.ndarray | None]:
-        """Slots of the pieces of each text; None for a text that stays whole."""
-        pieces = [PIECE.findall(t) if self.may_cut(t) else None for t in texts]
-        self.learn(chain.from_iterable(p for p in pieces if p))
-        get = self.memory.__getitem__
-        return [None if p is None else np.fromiter(map(get, p), np.int64, len(p)) for p in pieces]
+    def pieces_of(self, text: str) -> str:
+        """The text that the pieces are cut from."""
+        return text
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text."""
-        found = []
-        for text, slots in zip(texts, self.slots(texts)):
-            if slots is None:
-                found.append(np.array(self.whole([text])[0], np.int32))
-            else:
-                n = self.length[slots]
-                before = np.cumsum(n) - n
-                found.append(self.flat[np.repeat(self.start[slots] - before, n) + np.arange(n.sum())])
-        return found
+        slots = self.memory.slots([self.pieces_of(t) if self.may_cut(t) else None for t in texts])
+        return [np.array(self.whole([t])[0], np.int32) if s is None else self.memory.ids(s) for t, s in zip(texts, slots)]
 
     def counts(self, texts: list[str]) -> list[int]:
-        return [len(self.whole([t])[0]) if s is None else int(self.length[s].sum()) for t, s in zip(texts, self.slots(texts))]
+        slots = self.memory.slots([self.pieces_of(t) if self.may_cut(t) else None for t in texts])
+        return [len(self.whole([t])[0]) if s is None else int(self.memory.length[0][s].sum()) for t, s in zip(texts, slots)]
 
 
 class ByteVocabulary(Vocabulary):
@@ -117,8 +156,8 @@ class ByteVocabulary(Vocabulary):
     def whole(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def may_cut(self, text: str) -> bool:
-        return self.apart and super().may_cut(text) and not any(m in text for m in self.marks)
+    def keeps_whole(self, text: str) -> bool:
+        return not self.apart or any(m in text for m in self.marks)
 
     def token_bytes(self) -> list[bytes]:
         signs = byte_signs()
@@ -147,8 +186,8 @@ class PieceVocabulary(Vocabulary):
     def whole(self, texts: list[str]) -> list[list[int]]:
         return self.model.encode(texts, num_threads=1)
 
-    def may_cut(self, text: str) -> bool:
-        return self.apart and super().may_cut(text)
+    def keeps_whole(self, text: str) -> bool:
+        return not self.apart
 
     def encode_pieces(self, pieces: list[str]) -> list[list[int]]:
         """A piece that starts with a space gives it to the library to put there again; else the added one is taken off.
@@ -158,12 +197,8 @@ class PieceVocabulary(Vocabulary):
         spaced = [p[1:] if p[0] == " " else p for p in pieces]
         return [[self.space] if p == " " else ids if p[0] == " " else ids[1:] for p, ids in zip(pieces, self.whole(spaced))]
 
-    def ids(self, texts: list[str]) -> list[np.ndarray]:
-        spaced = super().ids([" " + t if t and self.may_cut(t) else "" for t in texts])
-        return [s if len(s) or not t else np.array(self.whole([t])[0], np.int32) for t, s in zip(texts, spaced)]
-
-    def counts(self, texts: list[str]) -> list[int]:
-        return [len(i) for i in self.ids(texts)]
+    def pieces_of(self, text: str) -> str:
+        return " " + text if text else ""
 
     def token_bytes(self) -> list[bytes]:
         """A piece in UTF-8 with its sign for a space as a space; byte entries as their byte."""

@@ -51,7 +51,7 @@ def test_pieces_give_the_library_ids(special_as_text):
 def test_memory_starts_anew(monkeypatch):
     monkeypatch.setattr("basketcast.llm.vocabularies.REMEMBERED", 10)
     held = vocabulary(BYTES, True)
-    held.forget()
+    held.memory.forget()
     want = Tokenizer.from_file(BYTES).encode_batch(["a b c d"] * 3, add_special_tokens=False)
     for words in ("a b c d", "e f g h i j k l m n o p", "a b c d"):
         assert len(held.ids([words])[0]) == len(words.split())
@@ -177,10 +177,10 @@ def test_stretches_cover_both_lists():
         a, b = ([e for e in range(1, size) if rng.random() < every] + [size] for _ in range(2))
         i = j = 0
         seen = []
-        for i0, i1, j0, j1, single in alignment.stretches(a, b):
-            assert (i0, j0) == (i, j) and a[i1 - 1] == b[j1 - 1]
-            assert a[i0:i1] == b[j0:j1] if single else i1 - i0 != j1 - j0 or set(a[i0:i1 - 1]).isdisjoint(b[j0:j1 - 1])
-            seen += a[i0:i1] if single else [a[i1 - 1]]
+        for i1, j1, single in zip(*alignment.stretches(a, b)):
+            assert a[i1 - 1] == b[j1 - 1]
+            assert a[i:i1] == b[j:j1] if single else set(a[i:i1 - 1]).isdisjoint(b[j:j1 - 1])
+            seen += a[i:i1] if single else [a[i1 - 1]]
             i, j = i1, j1
         assert (i, j) == (len(a), len(b)) and seen == sorted(set(a) & set(b))
 
