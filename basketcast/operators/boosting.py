@@ -8,6 +8,7 @@ costs at most twice the last fit. Targets and folds are independent fits and are
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 from multiprocessing.pool import ThreadPool
 
@@ -29,8 +30,10 @@ PARAMS = {"maxIter": 1000, "maxDepth": 6, "stepSize": 0.05, "subsamplingRate": 0
 PATIENCE = 50
 GAMMA = 0.1
 # Rounds of the first fit, of which the rest are doublings, and fits that are submitted at once.
-FIRST_ROUNDS = 60
+FIRST_ROUNDS = 20
 PARALLEL = 4
+# Rows of one task while trees are grown.
+TASK_ROWS = 100_000
 
 Models = dict[str, GBTClassificationModel]
 
@@ -89,11 +92,18 @@ def fit_targets(train: DataFrame, valid: DataFrame | None, features: Sequence[st
     ``gamma`` is the least gain of a split summed over the rows. The learner's own threshold is a mean
     over them, so that it is divided by their number.
     """
-    def rows_of(df: DataFrame) -> DataFrame:
-        return vectorise(df, features).select("features", *[F.col(t).cast("double") for t in targets]).persist()
+    kept_frames: list[DataFrame] = []
 
-    rows, held = rows_of(train), None if valid is None else rows_of(valid)
-    settings = {"minInfoGain": gamma / max(rows.count(), 1), **PARAMS, **(params or {})}
+    def rows_of(df: DataFrame) -> tuple[DataFrame, int]:
+        # Every level of every tree is a job, so rows are kept in as few tasks as their number allows.
+        kept = vectorise(df, features).select("features", *[F.col(t).cast("double") for t in targets]).persist()
+        kept_frames.append(kept)
+        n = kept.count()
+        return kept.coalesce(max(1, math.ceil(n / TASK_ROWS))), n
+
+    rows, n = rows_of(train)
+    held = None if valid is None else rows_of(valid)[0]
+    settings = {"minInfoGain": gamma / max(n, 1), **PARAMS, **(params or {})}
 
     def fit(target: str) -> GBTClassificationModel:
         if held is None:
@@ -104,9 +114,8 @@ def fit_targets(train: DataFrame, valid: DataFrame | None, features: Sequence[st
         with ThreadPool(PARALLEL) as pool:
             return dict(zip(targets, pool.map(inheritable_thread_target(fit), targets)))
     finally:
-        rows.unpersist()
-        if held is not None:
-            held.unpersist()
+        for frame in kept_frames:
+            frame.unpersist()
 
 
 def score_targets(df: DataFrame, models: Models, features: Sequence[str],

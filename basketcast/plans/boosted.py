@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from basketcast.constants import EMBED_DIM, FOLDS, TARGETS
 from basketcast.functions.calendar import weekday1_dom
 from basketcast.operators.assemble import assemble_features, split_long
-from basketcast.operators.boosting import Models, average_folds, cross_validate
+from basketcast.operators.boosting import PATIENCE, Models, average_folds, cross_validate
 from basketcast.operators.clean import filter_returns
 from basketcast.operators.encode import one_hot, target_encode_full, target_encode_oof
 from basketcast.operators.coordinates import rank_codes, sparse_rows
@@ -121,10 +121,10 @@ def feature_names(frame: DataFrame, targets: Sequence[str] = TARGETS) -> list[st
 
 
 def boosted_scores(frame: DataFrame, scoring: DataFrame | None, targets: Sequence[str] = TARGETS, folds: int = FOLDS,
-                   params: Mapping[str, object] | None = None) -> tuple[DataFrame, DataFrame | None, list[Models]]:
+                   params: Mapping[str, object] | None = None, patience: int = PATIENCE) -> tuple[DataFrame, DataFrame | None, list[Models]]:
     """(out-of-fold scores, averaged scores of new sessions, models)."""
     features = feature_names(frame, targets)
     stored = materialise(frame)
-    oof, models = cross_validate(stored, features, targets, folds, params)
+    oof, models = cross_validate(stored, features, targets, folds, params, patience=patience)
     averaged = None if scoring is None else average_folds(materialise(scoring), models, features, targets)
     return oof, averaged, models
