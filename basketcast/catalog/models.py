@@ -47,9 +47,9 @@ def learning_frame(retail, folds):
     return learning_parts(retail, folds)[0]
 
 
-# Rounds without gain in the queries below. The plan's default is five times that; every round is a few jobs for
-# each of the sixteen models, which small tables do not make shorter.
-WAIT = 10
+# Rounds without gain in the queries below. The plan's default is 50; every round is a few jobs for each of the
+# sixteen models, which small tables do not make shorter.
+WAIT = 3
 
 
 @query("boosted_multi_target")

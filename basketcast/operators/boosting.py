@@ -30,7 +30,7 @@ PARAMS = {"maxIter": 1000, "maxDepth": 6, "stepSize": 0.05, "subsamplingRate": 0
 PATIENCE = 50
 GAMMA = 0.1
 # Rounds of the first fit, of which the rest are doublings, and fits that are submitted at once.
-FIRST_ROUNDS = 20
+FIRST_ROUNDS = 5
 PARALLEL = 4
 # Rows of one task while trees are grown.
 TASK_ROWS = 100_000
@@ -76,7 +76,7 @@ def cut(model: GBTClassificationModel, rounds: int) -> GBTClassificationModel:
 def fit_patiently(train: DataFrame, valid: DataFrame, target: str, settings: Mapping[str, object], patience: int) -> GBTClassificationModel:
     """Boost until ``valid`` shows no gain for ``patience`` rounds; the model ends at its best round."""
     most = int(settings["maxIter"])
-    rounds = min(max(FIRST_ROUNDS, patience + 10), most)
+    rounds = min(max(FIRST_ROUNDS, patience + patience // 5), most)
     while True:
         model = GBTClassifier(labelCol=target, featuresCol="features", **{**settings, "maxIter": rounds}).fit(train)
         best, ended = best_round(model.evaluateEachIteration(valid), patience)
