@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +19,10 @@ from basketcast.session import delete_at_end, shared_folder
 BATCH_ROWS = 512
 # Text bytes that one step inside a task works on.
 BLOCK_BYTES = 4_000_000
+# Stored frames by folder, until they are dropped.
+_kept: dict[str, DataFrame] = {}
+# Those of them that a stage of the pipeline has made, with a hash of the files that it has read.
+_of_stages: dict[str, int] = {}
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -43,7 +49,37 @@ def stored(df: DataFrame) -> DataFrame:
     path = new_folder(df.sparkSession, "llm")
     df.write.option("compression", "zstd").parquet(path)
     delete_at_end(df.sparkSession, path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    held = df.sparkSession.read.schema(df.schema).parquet(path)
+    _kept[path] = held
+    return held
+
+
+def dropped(*frames: DataFrame) -> None:
+    """Delete frames that ``stored`` has made and nothing reads any more."""
+    for path in [p for p, held in _kept.items() if any(held is f for f in frames)]:
+        delete_folder(_kept.pop(path).sparkSession, path)
+
+
+def stage(build: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """A pipeline stage that first deletes what earlier stages have stored on their way.
+
+    An earlier stage is one that has read other files: ``docs`` are then its written result, or come after
+    it. Frames that ``docs`` itself still reads stay.
+    """
+    @wraps(build)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        files = docs.inputFiles()
+        folders, read = {os.path.dirname(f).split("/llm-")[-1] for f in files}, hash(frozenset(files))
+        for path in [p for p, other in _of_stages.items() if files and other != read and p.split("/llm-")[-1] not in folders]:
+            del _of_stages[path]
+            if path in _kept:
+                dropped(_kept[path])
+        before = set(_kept)
+        out = build(spark, docs, sf_dir)
+        _of_stages.update(dict.fromkeys(set(_kept) - before, read))
+        return out
+
+    return run
 
 
 def fold(doc_id: str | Column, modulus: int) -> Column:

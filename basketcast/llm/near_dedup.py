@@ -33,14 +33,15 @@ table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from basketcast.llm.common import gathered, small_batches, stored, strings, words
+from basketcast.llm.common import dropped, gathered, small_batches, stored, strings, words
 from basketcast.llm.tiling import cleaned
 
 SHINGLE = 5
@@ -49,6 +50,7 @@ BANDS, ROWS = 32, 5
 REGISTERS = BANDS * ROWS
 SMALL = 8                # texts of a bucket that is compared pair by pair
 FAMILY_BLOCK = 64        # texts of a block in the last comparison
+FLUSH = 100_000          # rows that a task holds before it hands them on
 EMPTY = bytes(16)
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -155,6 +157,21 @@ def text_keys(values: np.ndarray, size: np.ndarray) -> pa.Array:
     return pa.array([xxhash.xxh3_128_digest(values[b - n:b].tobytes()) if n else EMPTY for b, n in zip(ends, size)], pa.binary())
 
 
+@contextmanager
+def sifted(spark: SparkSession) -> Iterator[None]:
+    """Joins planned inside sift their larger side by a Bloom filter (of at most 8 MB) of the other before the shuffle, at any size."""
+    prefix = "spark.sql.optimizer.runtime.bloomFilter."
+    wanted = {"enabled": "true", "applicationSideScanSizeThreshold": "0", "creationSideThreshold": "1t"}
+    before = {name: spark.conf.get(prefix + name) for name in wanted}
+    for name, value in wanted.items():
+        spark.conf.set(prefix + name, value)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.set(prefix + name, value)
+
+
 def shingle_table(docs: DataFrame, texts: DataFrame) -> DataFrame:
     """``text_key, hashes, counts`` of the texts named by ``doc_id, text_key``; binary arrays, sorted by hash."""
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,8 +185,12 @@ def shingle_table(docs: DataFrame, texts: DataFrame) -> DataFrame:
                  pa.array([count[a:b].astype(np.int32).tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary())],
                 names=["text_key", "hashes", "counts"])
 
-    ids = texts.select(F.col("doc_id").alias("wanted")).distinct()
-    found = docs.select(F.col("doc_id").cast("long"), "text").join(ids, F.col("doc_id").eqNullSafe(F.col("wanted")), "left_semi")
+    rows = docs.select(F.col("doc_id").cast("long"), "text")
+    ids = stored(texts.select(F.col("doc_id").alias("wanted"), F.lit(1).alias("marked")))
+    # The mark is always set; as a predicate it lets Spark sift the texts by a Bloom filter of the ids (see ``sifted``).
+    found = rows.join(ids.filter("marked > 0"), F.col("doc_id") == F.col("wanted"), "left_semi")
+    if not ids.filter("wanted IS NULL").isEmpty():
+        found = found.unionByName(rows.filter("doc_id IS NULL"))
     table = found.mapInArrow(each, "text_key binary, hashes binary, counts binary")
     return table.join(texts.select("text_key"), "text_key", "left_semi").dropDuplicates(["text_key"])
 
@@ -219,7 +240,7 @@ def close(links: DataFrame) -> DataFrame:
     Labels go to neighbours and then to the label's own label, until nothing changes; each round is stored.
     """
     edges = stored(links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).distinct())
-    labels = stored(edges.groupBy(F.col("a").alias("text_key")).agg(F.min("b").alias("m")).select("text_key", F.least("text_key", "m").alias("label")))
+    labels = before = stored(edges.groupBy(F.col("a").alias("text_key")).agg(F.min("b").alias("m")).select("text_key", F.least("text_key", "m").alias("label")))
     while True:
         offered = edges.join(labels, F.col("b") == F.col("text_key")).groupBy("a").agg(F.min("label").alias("offer"))
         nearer = labels.join(offered, F.col("text_key") == F.col("a"), "left").select(
@@ -228,7 +249,10 @@ def close(links: DataFrame) -> DataFrame:
         jumped = stored(nearer.join(own, F.col("label") == F.col("of"), "left").select(
             "text_key", "old", F.least("label", F.coalesce("further", "label")).alias("label")))
         labels = jumped.select("text_key", "label")
+        dropped(before)
+        before = jumped
         if jumped.filter(F.col("old") != F.col("label")).isEmpty():
+            dropped(edges)
             return labels
 
 
@@ -237,40 +261,99 @@ def with_labels(rows: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.join(named, F.col("text_key") == F.col("k"), "left").drop("k").withColumn("label", F.coalesce("label", "text_key"))
 
 
+def bucket_pairs(texts: DataFrame) -> DataFrame:
+    """``band, key, a, b``: what is compared in each bucket of several texts.
+
+    Rows are dealt by bucket and sorted, and each bucket streams by: all pairs of up to ``SMALL`` texts
+    (without band and key), and of a larger bucket every text ``b`` with its first and its second text.
+    """
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, held, large = None, [], False
+        bands, keys, a, b = [], [], [], []
+
+        def small() -> None:
+            for j, right in enumerate(held):
+                for left in held[:j]:
+                    bands.append(None)
+                    keys.append(None)
+                    a.append(left)
+                    b.append(right)
+
+        def star(text: bytes) -> None:
+            for leader in held[:2]:
+                bands.append(bucket[0])
+                keys.append(bucket[1])
+                a.append(leader)
+                b.append(text)
+
+        def full() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(bands, pa.int32()), pa.array(keys, pa.int64()), pa.array(a, pa.binary()), pa.array(b, pa.binary())],
+                                             names=["band", "key", "a", "b"])
+            for column in (bands, keys, a, b):
+                column.clear()
+            return out
+
+        for batch in batches:
+            for band, key, text in zip(batch.column("band").to_pylist(), batch.column("key").to_pylist(), batch.column("text_key").to_pylist()):
+                if (band, key) != bucket:
+                    if not large:
+                        small()
+                    bucket, held, large = (band, key), [], False
+                if large:
+                    star(text)
+                    continue
+                held.append(text)
+                if len(held) > SMALL:
+                    large = True
+                    for member in held:
+                        star(member)
+            if len(a) > FLUSH:
+                yield full()
+        if not large:
+            small()
+        if a:
+            yield full()
+
+    rows = texts.select("text_key", F.posexplode("bands").alias("band", "key")).filter("key IS NOT NULL").withColumn("band", F.col("band") % BANDS)
+    dealt = rows.repartition("band", "key").sortWithinPartitions("band", "key", "text_key")
+    return dealt.mapInArrow(each, "band int, key long, a binary, b binary")
+
+
 def text_classes(docs: DataFrame, texts: DataFrame) -> DataFrame:
     """``text_key, label`` for every text in a class of several; ``texts`` has ``text_key, doc_id, bands``."""
-    rows = texts.select("text_key", F.posexplode("bands").alias("band", "key")).filter("key IS NOT NULL").withColumn("band", F.col("band") % BANDS)
-    buckets = rows.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("text_key").alias("low"), F.max("text_key").alias("high"))
-    buckets = stored(buckets.filter("n > 1"))
-    members = stored(rows.join(buckets, ["band", "key"]))
-    named = members.select("text_key").distinct().join(texts.select("text_key", "doc_id"), "text_key")
-    table = stored(shingle_table(docs, stored(named)))
-    few = members.filter(F.col("n") <= SMALL).select("band", "key", "text_key")
-    pairs = few.alias("l").join(few.alias("r"), ["band", "key"]).filter(F.col("l.text_key") < F.col("r.text_key")).select(
-        F.col("l.text_key").alias("a"), F.col("r.text_key").alias("b"))
-    large = members.filter(F.col("n") > SMALL)
-    stars = large.select(F.explode(F.array(*[F.struct(*in_order(F.col(c), F.col("text_key"))) for c in ("low", "high")])).alias("p")).select("p.*")
-    done = stored(pairs.union(stars).filter("a <> b").distinct())
+    met = stored(bucket_pairs(texts))
+    pairs = met.filter("a <> b").select("a", "b").distinct()
+    done = stored(pairs.select(*in_order(F.col("a"), F.col("b"))).distinct())
+    named = done.select(F.col("a").alias("text_key")).union(done.select("b")).distinct().join(texts.select("text_key", "doc_id"), "text_key")
+    named = stored(named)
+    with sifted(docs.sparkSession):
+        table = stored(shingle_table(docs, named))
+    dropped(named)
     links = stored(verified(done, table))
     labels = close(links)
     # Texts of larger buckets in which several classes are left meet once more, now by their rarest shingles.
-    told = stored(with_labels(large.select("band", "key", "text_key"), labels))
+    large = met.filter("band IS NOT NULL").select("band", "key", F.col("b").alias("text_key")).distinct()
+    told = stored(with_labels(large, labels))
+    dropped(met)
     several = told.groupBy("band", "key").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).filter("l0 <> l1").select("band", "key")
     left = stored(told.join(several, ["band", "key"], "left_semi").select("text_key").distinct())
+    dropped(told)
     if left.isEmpty():
         return labels
     prefixes = stored(rare_shingles(table.join(left, "text_key", "left_semi")))
     while True:
         # In each shingle all texts meet its first text, as long as this joins classes ...
-        met = stored(with_labels(prefixes, labels))
+        met = stored(with_labels(prefixes, labels))  # every round has other labels
         mixed_ones = met.groupBy("shingle").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.min(F.struct("text_key", "label")).alias("first"))
         mixed_ones = stored(mixed_ones.filter("l0 <> l1").select("shingle", F.col("first.text_key").alias("with"), F.col("first.label").alias("other")))
         fresh = across(met, mixed_ones, done)
         found = stored(verified(fresh, table))
         if found.isEmpty():
             break
+        old = (done, links, labels, met, mixed_ones, fresh, found)
         done, links = stored(done.union(fresh)), stored(links.union(found))
         labels = close(links)
+        dropped(*old)
     # ... and at last every text meets those of other classes, block by block.
     rest = stored(met.join(mixed_ones.select("shingle"), "shingle", "left_semi"))
     if rest.isEmpty():
@@ -340,7 +423,7 @@ def rare_shingles(table: DataFrame) -> DataFrame:
                                              names=["text_key", "shingle", "wanted"])
 
     rows = stored(table.select("text_key", "hashes").mapInArrow(each, "text_key binary, shingle long, wanted long"))
-    often = stored(rows.groupBy("shingle").agg(F.count("*").alias("texts")))
+    often = rows.groupBy("shingle").agg(F.count("*").alias("texts"))
     rank = F.row_number().over(Window.partitionBy("text_key").orderBy("texts", "shingle"))
     ranked = rows.join(often, "shingle").withColumn("rank", rank).filter(F.col("rank") <= F.col("wanted"))
     return ranked.filter("texts > 1").select("text_key", "shingle")
