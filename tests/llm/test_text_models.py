@@ -1,6 +1,7 @@
 """Toxicity grammar, byte network and language model: brute force, invariants and held-out accuracy."""
 
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -266,6 +267,31 @@ def test_numbers_of_tables_are_drawn_from_their_distribution():
         assert got.mean() == pytest.approx(mean, abs=0.08 * sd) and got.std() == pytest.approx(sd, rel=0.1), (customers, fresh, discount)
 
 
+def test_weights_of_seatings_match_the_recursion():
+    for n in (129, 552, 1500):
+        for discount in (0.05, 0.3, 0.6, 0.9, 0.934, 0.95):
+            weight, t = np.full(n + 1, -np.inf), np.arange(n + 1)
+            weight[1] = 0.0
+            for m in range(1, n):
+                more = weight + np.log(np.maximum(m - discount * t, 1e-300))
+                more[1:] = np.logaddexp(more[1:], weight[:-1])
+                weight = more
+            got = pitman_yor.log_seatings(np.full(n, n), t[1:], discount)
+            assert np.abs(got - weight[1:]).max() < 0.05, (n, discount)
+
+
+def test_draws_end_for_any_numbers():
+    rng, began = np.random.default_rng(14), time.thread_time()
+    for discount in [0.05, 0.934, 0.6333, 0.95, *rng.uniform(0.05, 0.95, 6)]:
+        n = np.exp(rng.uniform(0, np.log(3e6), 20_000)).astype(np.int64)
+        weight = rng.uniform(-30, np.log(n) + 3)
+        got = pitman_yor.draw_tables(n, weight, discount, rng, np.ones(len(n), np.int64))
+        assert ((got >= 1) & (got <= n)).all()
+    for n, weight, discount in ((552, 6.4414, 0.934), (1_100_381, 0.4391, 0.6334)):
+        pitman_yor.draw_tables(np.full(500, n), np.full(500, weight), discount, rng)
+    assert time.thread_time() - began < 120
+
+
 def test_large_pairs_are_seated_whole_and_leave_a_bad_start():
     customers, fresh, discount = 100_000, 10.0, 0.6
     mean, sd = table_moments(customers, fresh, discount, 400)
