@@ -2,6 +2,9 @@
 
 import re
 
+import numpy as np
+from pyspark.sql import functions as F
+
 from basketcast.operators import stats
 
 
@@ -23,3 +26,18 @@ def test_pivot_moves_narrow_rows_only(spark):
         # Wide sums are made behind the last exchange, once per key and not once per line.
         top = [line for line in plan.split("\n") if "Exchange" in line or "Aggregate" in line]
         assert re.search("Aggregate.*c3", plan.split("Exchange")[0].replace("\n", " ")) and len(top) >= 2
+
+
+def test_mean_embedding_needs_no_sort_of_all_rows(spark):
+    sessions = spark.range(40).select(F.col("id").alias("session_id"), (F.col("id") % 7).alias("customer_id"),
+                                      F.when(F.col("id") % 3 < 2, (F.col("id") % 3).cast("string")).alias("store"))
+    vectors = spark.range(0, 40, 2).select(F.col("id").alias("session_id"), F.array(F.col("id").cast("double"), F.lit(1.0)).alias("embedding"))
+    out = stats.attribute_mean_embedding(sessions, vectors, 2, ["customer_id", "store"])
+    assert "ObjectHashAggregate" not in plan_of(out) and "SortAggregate" not in plan_of(out)
+    got = {(r["dimension"], r["value"]): r["embedding"] for r in out.collect()}
+    for c in range(7):
+        mine = [i for i in range(0, 40, 2) if i % 7 == c]
+        assert np.allclose(got["customer_id", str(c)], [np.mean(mine), 1.0])
+    assert set(got) == {("customer_id", str(c)) for c in range(7)} | {("store", s) for s in ("0", "1", None)}
+    lone = stats.attribute_mean_embedding(sessions.filter("session_id = 1"), vectors, 2, ["customer_id"]).first()
+    assert lone["embedding"] == [None, None]
