@@ -5,7 +5,11 @@ import re
 import numpy as np
 from pyspark.sql import functions as F
 
-from basketcast.operators import stats
+from basketcast.catalog.sequences import retail_calendar
+from basketcast.operators import sequences, stats
+from basketcast.plans.session_tensors import encoded_sessions, session_vectors
+from basketcast.session import store
+from basketcast.sources.surrogate import MONEY, Retail
 
 
 def plan_of(df) -> str:
@@ -41,3 +45,12 @@ def test_mean_embedding_needs_no_sort_of_all_rows(spark):
     assert set(got) == {("customer_id", str(c)) for c in range(7)} | {("store", s) for s in ("0", "1", None)}
     lone = stats.attribute_mean_embedding(sessions.filter("session_id = 1"), vectors, 2, ["customer_id"]).first()
     assert lone["embedding"] == [None, None]
+
+
+def test_step_features_read_stored_statistics(spark):
+    """Customer money is made once and stored; the vectors' own plan only takes maxima and looks for hot customers' rows."""
+    retail = Retail(spark, "/root/testdata/sf0.001")
+    sessions = store(encoded_sessions(retail_calendar(retail)))
+    vectors, _ = session_vectors(sessions, retail.log, retail.products, MONEY, ["category"])
+    plan = vectors._jdf.queryExecution().optimizedPlan().toString()
+    assert "customer_id" not in "".join(re.findall(r"Aggregate \[.*", plan)) and "map_from_arrays" not in plan
