@@ -47,6 +47,17 @@ def test_mean_embedding_needs_no_sort_of_all_rows(spark):
     assert lone["embedding"] == [None, None]
 
 
+def test_runs_are_slices_of_their_block(spark):
+    """The same steps as windows that carry the vectors, whatever the blocks; each vector is moved once."""
+    rows = spark.range(60).select((F.col("id") % 3).alias("customer_id"), F.col("id").alias("session_id"), (F.col("id") / 3).cast("int").cast("long").alias("pos"),
+                                  F.when(F.col("id") % 5 > 0, F.array(F.col("id").cast("double"))).alias("features"))
+    want = sequences.sliding_windows(rows, 4, step="features")
+    runs = sequences.sliding_windows(rows, 4)
+    for block_rows in (4, 7, 1000):
+        got = sequences.run_steps(runs.unionByName(runs.filter("start = 3")), rows, "features", 4, block_rows=block_rows)
+        assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.unionByName(want.filter("start = 3")).collect()), key=str)
+
+
 def test_step_features_read_stored_statistics(spark):
     """Customer money is made once and stored; the vectors' own plan only takes maxima and looks for hot customers' rows."""
     retail = Retail(spark, "/root/testdata/sf0.001")
