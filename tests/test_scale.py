@@ -1,12 +1,14 @@
 """Shapes of plans that must not grow faster than the tables."""
 
 import re
+import threading
+import time
 
 import numpy as np
 from pyspark.sql import functions as F
 
 from basketcast.catalog.sequences import retail_calendar
-from basketcast.operators import sequences, stats
+from basketcast.operators import boosting, sequences, stats
 from basketcast.plans.session_tensors import encoded_sessions, session_vectors
 from basketcast.session import store
 from basketcast.sources.surrogate import MONEY, Retail
@@ -65,3 +67,24 @@ def test_step_features_read_stored_statistics(spark):
     vectors, _ = session_vectors(sessions, retail.log, retail.products, MONEY, ["category"])
     plan = vectors._jdf.queryExecution().optimizedPlan().toString()
     assert "customer_id" not in "".join(re.findall(r"Aggregate \[.*", plan)) and "map_from_arrays" not in plan
+
+
+def test_folds_of_few_rows_are_fitted_side_by_side(spark, monkeypatch):
+    df = spark.range(40).select(F.col("id").alias("session_id"), (F.col("id") % 4).cast("int").alias("fold"))
+    for few, most in ((40, 4), (39, 1)):
+        lock, now, seen = threading.Lock(), [0], []
+
+        def fit(train, held, *_):
+            with lock:
+                now[0] += 1
+                seen.append(now[0])
+            time.sleep(1)
+            with lock:
+                now[0] -= 1
+            return {"fold": held.first()["fold"]}
+
+        monkeypatch.setattr(boosting, "FEW_ROWS", few)
+        monkeypatch.setattr(boosting, "fit_targets", fit)
+        monkeypatch.setattr(boosting, "score_own_fold", lambda *_: None)
+        _, models = boosting.cross_validate(df, [], [], 4)
+        assert [m["fold"] for m in models] == [0, 1, 2, 3] and max(seen) <= most and (most == 1 or max(seen) > 1)
