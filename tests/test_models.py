@@ -1,13 +1,14 @@
 """Properties of the factorisations, the boosted trees and the tensors."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from basketcast.catalog.encoders import LEVELS
 from basketcast.constants import TARGETS
 from basketcast.functions.calendar import calendar_features
-from basketcast.operators import boosting, coordinates, factorise, stats
+from basketcast.operators import boosting, coordinates, factorise, stats, strips
 from basketcast.operators.evaluate import macro_auc
 from basketcast.operators.bayes import long_scores
 from basketcast.plans import boosted
@@ -62,6 +63,59 @@ def test_range_finder_reaches_the_leading_directions(spark, monkeypatch, blocks)
     assert np.allclose(basis.T @ basis, np.eye(6), atol=1e-9)
 
 
+@pytest.mark.parametrize("tolerance", [1e-9, 1e-3])
+def test_wide_blocks_stay_on_the_executors(spark, monkeypatch, tolerance):
+    """No block reaches the driver, and the directions are those of the matrix; rows that are empty or share a key stay."""
+    width = 2 * strips.STRIP + 100
+    monkeypatch.setattr(factorise, "DRIVER_CELLS", 0)
+    monkeypatch.setattr(factorise, "BLOCKS", 3)
+    monkeypatch.setattr(factorise, "block_sum", None)
+    monkeypatch.setattr(strips, "SLOT", 2)
+    rng = np.random.default_rng(3)
+    x, places = np.zeros((120, width)), np.sort(rng.permutation(np.r_[:strips.STRIP, 2 * strips.STRIP:width])[:40])
+    x[:, places] = rng.normal(size=(120, 40)) * 0.97 ** np.arange(40) * (rng.random((120, 40)) < 0.4)
+    x[7] = 0
+    rows = spark.createDataFrame([(5 if i == 6 else i, c, v) for i, c, v in sparse(x)], SPARSE).repartition(4)
+    basis, values = factorise.svd_fit(rows, width, 6, tolerance=tolerance)
+    assert not isinstance(basis, np.ndarray) and basis.shape == (width, 6)
+    vectors = np.vstack([np.frombuffer(r["cells"]).reshape(-1, 6) for r in basis.table.orderBy("strip").collect()])
+    _, s, vt = np.linalg.svd(x, full_matrices=False)
+    assert np.allclose(values, s[:6], rtol=max(tolerance, 1e-8))
+    assert np.allclose(vectors.T @ vectors, np.eye(6), atol=1e-9)
+    assert tolerance > 1e-6 or subspace_angle(vectors, vt[:6].T) < 1e-6
+    got = sorted((r["session_id"], *r["embedding"]) for r in factorise.project(rows, basis, "session_id").collect())
+    assert np.allclose(got, sorted((5 if i == 6 else i, *(line @ vectors)) for i, line in enumerate(x)), atol=1e-8)
+
+
+@pytest.mark.parametrize("limit", [1, 20, 10_000])
+def test_parts_hold_all_rows(monkeypatch, limit):
+    monkeypatch.setattr(strips, "PART", limit)
+    monkeypatch.setattr(strips.TaskContext, "get", lambda: type("Task", (), {"partitionId": lambda self: 2})())
+    x = np.random.default_rng(1).integers(0, 3, (40, 9)).astype(float)
+    x[3] = 0
+    ids, codes, values = zip(*sparse(x))
+    batch = pa.RecordBatch.from_arrays([pa.array(ids), pa.array(codes, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float64()))], names=["key", "codes", "values"])
+    parts = [p.to_pylist()[0] for p in strips.dealt(iter([batch.slice(0, 15), batch.slice(15)]))]
+    assert len({p["part"] for p in parts}) == len(parts) and len(parts) == (40 if limit == 1 else len(parts))
+    out = {k: np.zeros(9) for k in range(40)}
+    for p in parts:
+        code = np.frombuffer(p["codes"], np.int32)[np.frombuffer(p["place"], np.int32)]
+        for r, c, v in zip(np.frombuffer(p["row"], np.int32), code, np.frombuffer(p["cells"])):
+            out[p["keys"][r]][c] += v
+    assert sorted(k for p in parts for k in p["keys"]) == list(range(40)) and np.array_equal(np.array(list(out.values())), x)
+
+
+@pytest.mark.parametrize("width", [5, 30])
+def test_wide_blocks_of_few_and_empty_rows(spark, monkeypatch, width):
+    monkeypatch.setattr(factorise, "DRIVER_CELLS", 0)
+    x = np.zeros((4, width))
+    x[1, [2, 4]], x[2, 2] = (3.0, 4.0), 1.0
+    rows = spark.createDataFrame(sparse(x), SPARSE)
+    _, values = factorise.svd_fit(rows, width, 5)
+    assert np.allclose(values, np.r_[np.linalg.svd(x, compute_uv=False)[:2], 0, 0, 0], atol=1e-6)
+    assert not factorise.svd_fit(rows.limit(0), width, 5)[1].any()
+
+
 def test_svd_of_few_and_empty_rows(spark):
     x = np.zeros((4, 30))
     x[1, [2, 7]], x[2, 2] = (3.0, 4.0), 1.0
