@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pandas as pd
 import pytest
 
@@ -325,3 +326,29 @@ def test_frequent_words_count_where_they_are_rare_too(spark):
     docs = spark.createDataFrame(spark.sparkContext.parallelize(rows, 3), "doc_id long, text string, held_out boolean")
     got = {r["word"]: r["c"] for r in pitman_yor.frequent_words(docs).collect()}
     assert got["seldom"] == 301 and got["x"] == got["y"] == 50_000
+
+
+def test_a_task_puts_the_places_of_a_word_into_one_row(spark, tmp_path):
+    """Texts that are cut into words one by one; places, contexts and fold stay with their words."""
+    rng = np.random.default_rng(5)
+    names = [f"{'w' * 60}{i:06d}" for i in range(25_000)]
+    texts = [" ".join(names[i] for i in rng.permutation(np.tile(np.arange(25_000), 6))) + " the lone%d" % k for k in range(3)]
+    docs = spark.createDataFrame([(k, k == 1, t) for k, t in enumerate(texts)], "doc_id long, held_out boolean, text string").coalesce(1)
+    assert min(map(len, texts)) > pitman_yor.BLOCK
+    pitman_yor.encode(docs, ["the", pitman_yor.END], str(tmp_path / "tokens"))
+    coded = pitman_yor.coded_tokens(spark, str(tmp_path / "tokens"))
+    rows = {r["word"]: r for r in coded.filter("kind = 'word'").collect()}
+    assert coded.filter("kind = 'word'").count() == len(rows) == 25_003
+    assert np.bincount(np.frombuffer(rows[names[7]]["a"], np.int32) + 2).tolist() == [6, 0, 6, 0, 6]
+    assert [(np.frombuffer(rows[f"lone{k}"]["a"], np.int32).tolist(), rows[f"lone{k}"]["b"]) for k in range(3)] == [([0], b"\1"), ([-2], b"\1"), ([2], b"\1")]
+    assert sorted(r["place"] for r in coded.filter("kind = 'doc'").collect()) == [0, 1, 2]
+
+
+def test_packs_hold_whole_words(monkeypatch):
+    monkeypatch.setattr(pitman_yor, "WORD_ROWS", 3)
+    words = ["a", "a", "b", "c", "c", "c", "d", "e", "f", "f", "g"]
+    for cut in range(1, 12):
+        batches = [pa.RecordBatch.from_arrays([pa.array(words[i:i + cut])], names=["word"]) for i in range(0, len(words), cut)]
+        got = [(rows.column("word").to_pylist(), first.tolist()) for rows, first in pitman_yor.whole_words(iter(batches))]
+        assert [w for w, _ in got] == [words[:6], words[6:10], words[10:]]
+        assert got[1][1] == [True, True, True, False]
