@@ -173,17 +173,16 @@ def sifted(spark: SparkSession) -> Iterator[None]:
 
 
 def shingle_table(docs: DataFrame, texts: DataFrame) -> DataFrame:
-    """``text_key, hashes, counts`` of the texts named by ``doc_id, text_key``; binary arrays, sorted by hash."""
+    """``text_key, hashes`` of the texts named by ``doc_id, text_key``; binary arrays, sorted by hash."""
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in gathered(batches):
             n = len(block)
             values, rows = word_numbers(strings(block.column("text")))
-            of, value, count = shingles(values, rows, n)
+            of, value, _ = shingles(values, rows, n)
             cuts = np.searchsorted(of, np.arange(n + 1))
             yield pa.RecordBatch.from_arrays(
-                [text_keys(values, np.bincount(rows, minlength=n)), pa.array([value[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary()),
-                 pa.array([count[a:b].astype(np.int32).tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary())],
-                names=["text_key", "hashes", "counts"])
+                [text_keys(values, np.bincount(rows, minlength=n)), pa.array([value[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary())],
+                names=["text_key", "hashes"])
 
     rows = docs.select(F.col("doc_id").cast("long"), "text")
     ids = stored(texts.select(F.col("doc_id").alias("wanted"), F.lit(1).alias("marked")))
@@ -191,7 +190,7 @@ def shingle_table(docs: DataFrame, texts: DataFrame) -> DataFrame:
     found = rows.join(ids.filter("marked > 0"), F.col("doc_id") == F.col("wanted"), "left_semi")
     if not ids.filter("wanted IS NULL").isEmpty():
         found = found.unionByName(rows.filter("doc_id IS NULL"))
-    table = found.mapInArrow(each, "text_key binary, hashes binary, counts binary")
+    table = found.mapInArrow(each, "text_key binary, hashes binary")
     return table.join(texts.select("text_key"), "text_key", "left_semi").dropDuplicates(["text_key"])
 
 
@@ -215,19 +214,18 @@ def similarity(a: np.ndarray, x: np.ndarray, b: np.ndarray, y: np.ndarray) -> tu
 
 
 def verified(pairs: DataFrame, table: DataFrame) -> DataFrame:
-    """``a, b`` of the pairs that reach the similarity."""
+    """``a, b`` of the pairs that reach the similarity. Links go by distinct shingles, so no occurrences travel with them."""
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for row in zip(*[batch.column(c).to_pylist() for c in ("ha", "ca", "hb", "cb")]):
-                a, b = np.frombuffer(row[0], np.uint64), np.frombuffer(row[2], np.uint64)
-                x, y = (1 + np.log(np.frombuffer(row[i], np.int32)) for i in (1, 3))
-                keep.append(similarity(a, x, b, y)[0] >= SIMILARITY)
+            for left, right in zip(batch.column("ha").to_pylist(), batch.column("hb").to_pylist()):
+                a, b = np.frombuffer(left, np.uint64), np.frombuffer(right, np.uint64)
+                keep.append(similarity(a, np.ones(len(a)), b, np.ones(len(b)))[0] >= SIMILARITY)
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    left = table.select(F.col("text_key").alias("a"), F.col("hashes").alias("ha"), F.col("counts").alias("ca"))
-    right = table.select(F.col("text_key").alias("b"), F.col("hashes").alias("hb"), F.col("counts").alias("cb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "ha", "ca", "hb", "cb").mapInArrow(each, "a binary, b binary")
+    left = table.select(F.col("text_key").alias("a"), F.col("hashes").alias("ha"))
+    right = table.select(F.col("text_key").alias("b"), F.col("hashes").alias("hb"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "ha", "hb").mapInArrow(each, "a binary, b binary")
 
 
 def in_order(x, y) -> list:

@@ -360,3 +360,16 @@ def test_copies_that_repeat_a_passage_are_found(spark):
     assert sum(want[2 * i + 1] == 2 * i for i in range(60)) == 60
     got = near_dedup.near_classes(documents(spark, [(i, t, None) for i, t in rows])).collect()
     assert {r["doc_id"]: r["class_id"] for r in got} == want
+
+
+def test_links_travel_without_occurrences(spark):
+    """Similarity goes by distinct shingles: a table of texts and the compared pairs hold nothing else, and repeats change no link."""
+    base = " ".join(f"w{i}" for i in range(60))
+    texts = [base + " " + " ".join(["again and again we go"] * 4), base + " again and again we go again and again we", " ".join(f"v{i}" for i in range(60))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    keys = near_dedup.signatures(docs).select("doc_id", "text_key")
+    table = near_dedup.shingle_table(docs, keys)
+    assert table.columns == ["text_key", "hashes"]
+    key = {r["doc_id"]: bytes(r["text_key"]) for r in keys.collect()}
+    pairs = spark.createDataFrame([(key[0], key[1]), (key[0], key[2])], "a binary, b binary")
+    assert [(bytes(r["a"]), bytes(r["b"])) for r in near_dedup.verified(pairs, table).collect()] == [(key[0], key[1])]
