@@ -352,3 +352,57 @@ def test_packs_hold_whole_words(monkeypatch):
         got = [(rows.column("word").to_pylist(), first.tolist()) for rows, first in pitman_yor.whole_words(iter(batches))]
         assert [w for w, _ in got] == [words[:6], words[6:10], words[10:]]
         assert got[1][1] == [True, True, True, False]
+
+
+def test_words_behind_rare_words_have_a_context(spark, tmp_path, monkeypatch):
+    """Pairs of rare words, far from the commonest ones: what follows a word depends on that word, by counts of all rows."""
+    rng = np.random.default_rng(15)
+    fold = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
+    pairs = lambda numbers: " ".join(f"a{i} b{i}" for i in numbers)
+    texts = [" ".join(f"often{i}" for i in range(260)) * 1] * 60 + [pairs(rng.permutation(300)[:100]) for _ in range(60)]
+    at = [i for i in range(len(texts), len(texts) + 60) if fold(i)][:2]
+    texts += [""] * 60
+    texts[at[0]], texts[at[1]] = pairs(range(40)), " ".join(f"a{i} b{39 - i}" for i in range(40))
+    docs = documents(spark, texts)
+    got = pitman_yor.score_documents(docs).toPandas().set_index("doc_id")
+    assert got.held_out[at].all() and got.base_score[at[0]] == pytest.approx(got.base_score[at[1]])
+    assert got.score[at[0]] > got.score[at[1]] + 20
+    # Counts of followers next to plain ones, and the same when Spark adds them up.
+    coded_docs = docs.selectExpr("doc_id", "text", "pmod(crc32(CAST(CAST(doc_id AS STRING) AS BINARY)), 7) = 2 AS held_out")
+    common = [f"often{i}" for i in range(260)] + [pitman_yor.END]
+    pitman_yor.encode(coded_docs, common, str(tmp_path / "tokens"))
+    coded = pitman_yor.coded_tokens(spark, str(tmp_path / "tokens"))
+    train, every = Counter(), Counter()
+    for i, text in enumerate(texts):
+        # Without words there is only an end, the first token; often255 and on are no contexts but stand near them.
+        both = [(u, v) for u, v in zip(text.split(), text.split()[1:] + [pitman_yor.END]) if text.startswith("a")]
+        every.update(both)
+        train.update(both if not fold(i) else [])
+    n, t = Counter(), Counter()
+    for (u, _), c in train.items():
+        n[u] += c
+        t[u] += 1
+    want = Counter()
+    for (u, v), c in every.items():
+        if n[u]:
+            want[v, train[u, v], n[u], t[u]] += c
+    twice = [sum(c == k for c in train.values()) for k in (1, 2)]
+    for listed in (pitman_yor.LISTED, 0):
+        monkeypatch.setattr(pitman_yor, "LISTED", listed)
+        rows = pitman_yor.follower_counts(coded).collect()
+        found = Counter()
+        for r in rows:
+            if r["word"] is not None:
+                for f in np.frombuffer(r["followers"], pitman_yor.FOLLOWERS):
+                    found[r["word"], int(f["c"]), int(f["n"]), int(f["t"])] += 1
+        extra = {k: v for k, v in (found - want).items() if not k[0].startswith("often") and k[0] != pitman_yor.END}
+        assert not extra and not want - found
+        assert np.sum([r["sums"] for r in rows if r["sums"]], axis=0)[1] == twice[1]
+
+
+def test_gains_of_a_context_keep_the_sum_of_one():
+    rng = np.random.default_rng(16)
+    parent, c = rng.dirichlet(np.ones(30)), rng.integers(0, 4, 30)
+    followers = np.zeros(30, pitman_yor.FOLLOWERS)
+    followers["c"], followers["n"], followers["t"] = c, c.sum(), (c > 0).sum()
+    assert (parent * 10 ** pitman_yor.gains(followers, parent, 0.7)).sum() == pytest.approx(1)
