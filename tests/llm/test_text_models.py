@@ -406,3 +406,16 @@ def test_gains_of_a_context_keep_the_sum_of_one():
     followers = np.zeros(30, pitman_yor.FOLLOWERS)
     followers["c"], followers["n"], followers["t"] = c, c.sum(), (c > 0).sum()
     assert (parent * 10 ** pitman_yor.gains(followers, parent, 0.7)).sum() == pytest.approx(1)
+
+
+def test_a_pack_does_not_grow_with_its_tables():
+    """Stored state is a number for each pair and word, whether few or many customers sit there."""
+    sizes = []
+    for customers in (1_000, 1_000_000):
+        totals = pitman_yor.Totals(np.r_[customers, np.zeros(255, int)], np.r_[customers // 2, np.zeros(255, int)], 2.0, 0.9, 0.5, 1)
+        pack = dict.fromkeys(pitman_yor.PACK) | {"names": b"a", "n_pairs": np.ones(1, np.int16).tobytes(), "contexts": bytes(1), "customers": np.array([customers]).tobytes()}
+        for turn in range(3):
+            pack, sums = pitman_yor.reseated(pack, totals, np.random.default_rng(turn), keep=False)
+        assert 1 <= sums[0] <= customers
+        sizes.append(sum(len(pack[c] or b"") for c in pitman_yor.PACK))
+    assert sizes[0] == sizes[1] < 100
