@@ -52,6 +52,8 @@ SMALL = 8                # texts of a bucket that is compared pair by pair
 FAMILY_BLOCK = 64        # texts of a block in the last comparison
 FLUSH = 100_000          # rows that a task holds before it hands them on
 EMPTY = bytes(16)
+BITMAP = 32_768          # bits of one row of ``bitmap_construct_agg``
+MOST_BITS = 1 << 25      # bits of all rows, 4 MB
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -454,12 +456,12 @@ def near_classes(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each class, the one with the smallest id; of rows that share it, the first by text."""
     members = stored(members_of_classes(docs))
-    keep = members.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("doc_id").agg(F.count("*").alias("n"))
-    keep = stored(keep.withColumnRenamed("doc_id", "kept_id"))
-    same = docs["doc_id"].cast("long").eqNullSafe(keep["kept_id"])
-    plain = docs.join(keep.filter("n = 1"), same, "left_semi")
+    kept = F.col("doc_id").eqNullSafe(F.col("class_id"))
+    gone = members.groupBy("doc_id").agg(F.count("*").alias("n"), F.bool_and(kept).alias("kept")).filter("n > 1 OR NOT kept")
+    gone = stored(gone.withColumnRenamed("doc_id", "kept_id"))
+    plain = without(docs, gone.select("kept_id"))
     # An id may also stand on rows that are not in the class it names; then rows are told apart by class.
-    ids = stored(members.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("doc_id").alias("kept_id")))
+    ids = gone.filter("n > 1").select("kept_id")
     if ids.isEmpty():
         return plain
     repeated = docs.join(ids, docs["doc_id"].cast("long").eqNullSafe(ids["kept_id"]), "left_semi")
@@ -469,7 +471,28 @@ def keep_one(docs: DataFrame) -> DataFrame:
     chosen = keyed.join(keys, keyed["doc_id"].cast("long").eqNullSafe(keys["kept_id"]) & (keyed["text_key__"] == keys["kept_key"]), "left_semi")
     first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text", *[c for c in docs.columns if c not in ("doc_id", "text")]))
     chosen = chosen.withColumn("first__", first).filter("first__ = 1").select(*docs.columns)
-    return plain.join(ids, plain["doc_id"].cast("long").eqNullSafe(ids["kept_id"]), "left_anti").unionByName(chosen)
+    return plain.unionByName(chosen)
+
+
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``docs`` but the rows with an id in ``ids`` (one column, distinct, stored).
+
+    A bitmap of hashed ids goes to all tasks. Rows that it clears stay where they are; only the others, those with an id
+    in ``ids`` and a few more, are moved for an exact join.
+    """
+    n = ids.count()
+    if not n:
+        return docs
+    bits = min(MOST_BITS, max(BITMAP, 1 << (16 * n).bit_length()))
+    hashed = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
+    spot = hashed(F.col(ids.columns[0]))
+    rows = ids.select(F.floor(spot / BITMAP).alias("part__"), (spot % BITMAP).alias("spot__")).groupBy("part__").agg(F.bitmap_construct_agg("spot__").alias("bits__"))
+    key = docs["doc_id"].cast("long")
+    marked = docs.withColumn("spot__", hashed(key)).withColumn("part__", F.floor(F.col("spot__") / BITMAP)).join(F.broadcast(rows), "part__", "left")
+    byte = F.conv(F.hex(F.substring("bits__", F.floor(F.col("spot__") % BITMAP / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
+    set_ = F.coalesce(F.getbit(byte, (F.col("spot__") % 8).cast("int")), F.lit(0)) == 1
+    clear, others = marked.filter(~set_).select(*docs.columns), marked.filter(set_).select(*docs.columns)
+    return clear.unionByName(others.join(ids, others["doc_id"].cast("long").eqNullSafe(ids[ids.columns[0]]), "left_anti"))
 
 
 def with_text_key(docs: DataFrame) -> DataFrame:

@@ -373,3 +373,24 @@ def test_links_travel_without_occurrences(spark):
     key = {r["doc_id"]: bytes(r["text_key"]) for r in keys.collect()}
     pairs = spark.createDataFrame([(key[0], key[1]), (key[0], key[2])], "a binary, b binary")
     assert [(bytes(r["a"]), bytes(r["b"])) for r in near_dedup.verified(pairs, table).collect()] == [(key[0], key[1])]
+
+
+def test_texts_that_stay_are_not_moved(spark):
+    """Rows go by a list of ids without a shuffle of all texts, and exactly: null ids, negative ones, repeated rows."""
+    ids = [None, -5, *range(3_000), 7, 2**62]
+    docs = spark.createDataFrame([(i, f"text {n} " + "x" * 50) for n, i in enumerate(ids)], "doc_id long, text string").repartition(4)
+    for out in ([], [None], [-5, 7, 2**62, 99_999], list(range(0, 3_000, 3)) + [None]):
+        listed = spark.createDataFrame([(i,) for i in out], "kept_id long")
+        got = near_dedup.without(docs, listed)
+        assert sorted(r["text"] for r in got.collect()) == sorted(f"text {n} " + "x" * 50 for n, i in enumerate(ids) if i not in out)
+    listed = spark.createDataFrame([(i,) for i in range(10)], "kept_id long")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = near_dedup.without(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), listed)
+        plan = got._jdf.queryExecution().sparkPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    # The first branch of the union are the texts that stay: their only join is a broadcast one.
+    stays, others = plan.split("Union")[1].split("SortMergeJoin")
+    assert "BroadcastHashJoin" in stays and "BroadcastHashJoin" in others
