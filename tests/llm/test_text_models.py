@@ -419,3 +419,38 @@ def test_a_pack_does_not_grow_with_its_tables():
         assert 1 <= sums[0] <= customers
         sizes.append(sum(len(pack[c] or b"") for c in pitman_yor.PACK))
     assert sizes[0] == sizes[1] < 100
+
+
+def test_a_word_takes_its_model_along():
+    """However rows are cut into batches, every row finds the model of its word, or none."""
+    rows = [("a", b"A"), ("a", None), ("a", None), ("b", None), ("c", b"C"), ("d", b"D"), ("d", None), ("d", None), ("e", None), ("e", None)]
+    for cut in range(1, 11):
+        batches = [pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows[i:i + cut]), (pa.string(), pa.binary()))], names=["word", "d"])
+                   for i in range(0, len(rows), cut)]
+        got = [(word, model if at < 0 else batch.column("d")[at].as_py()) for batch, of in pitman_yor.with_models(iter(batches))
+               for word, model, at in zip(batch.column("word").to_pylist(), batch.column("d").to_pylist(), of)]
+        want = [("a", b"A")] * 3 + [("b", None), ("c", b"C")] + [("d", b"D")] * 3 + [("e", None)] * 2
+        # A model that goes into the next batch comes again there.
+        assert sorted(set(got), key=str) == sorted(set(want), key=str) and len(want) <= len(got) <= len(want) + 4
+
+
+def test_batches_and_packs_are_bounded_by_bytes(spark, tmp_path, monkeypatch):
+    """Packs are large: a task must not get all of its packs in one batch."""
+    docs = documents(spark, ["a b c"] * 30).selectExpr("doc_id", "text", "doc_id % 5 = 0 AS held_out")
+    with pitman_yor.setting(spark, "spark.sql.maxConcurrentOutputFileWriters", "0"):
+        pitman_yor.fit(docs, str(tmp_path / "tokens"))
+        assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == "0"
+    sizes = lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"]) for b in batches)
+    large = spark.range(0, 40, 1, 1).selectExpr("CAST(repeat('x', 1000000) AS binary) AS pack").mapInArrow(sizes, "n long").toPandas().n
+    assert large.sum() >= 40_000_000 and large.max() < 2 * pitman_yor.BATCH_BYTES
+    monkeypatch.setattr(pitman_yor, "PACK_BYTES", 100)
+    batches = [pa.RecordBatch.from_arrays([pa.array([w] * 2), pa.array(["x" * 40] * 2)], names=["word", "x"]) for w in "aabcc"]
+    got = [rows.column("word").to_pylist() for rows, _ in pitman_yor.whole_words(iter(batches))]
+    assert got == [["a"] * 4, ["b", "b", "c", "c", "c", "c"]] or got == [["a"] * 4, ["b"] * 2, ["c"] * 4]
+
+
+def test_codes_are_renumbered_as_by_sorting():
+    codes = np.random.default_rng(3).integers(0, 500, 300)
+    used, at = pitman_yor.renumbered(codes, 500)
+    want, place = np.unique(codes, return_inverse=True)
+    assert used.tolist() == want.tolist() and at.tolist() == place.tolist()
