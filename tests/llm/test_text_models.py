@@ -400,6 +400,30 @@ def test_words_behind_rare_words_have_a_context(spark, tmp_path, monkeypatch):
         assert np.sum([r["sums"] for r in rows if r["sums"]], axis=0)[1] == twice[1]
 
 
+def test_a_rare_word_counts_though_a_common_one_stands_near(spark, tmp_path):
+    """``the`` is two words back, and the rare word right before decides; the probabilities of what follows it sum to one."""
+    rng = np.random.default_rng(17)
+    fold = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
+    triples = lambda numbers, shift=0: " ".join(f"the a{i} b{(i + shift) % 30}" for i in numbers)
+    texts = ["the " * 3000 + " ".join(f"often{i} " * 200 for i in range(254))] + [triples(rng.permutation(30)) for _ in range(100)]
+    # One half of the held-out texts have the pairs of the others, one half have new ones.
+    held = [i for i in range(1, len(texts)) if fold(i)]
+    for k, i in enumerate(held):
+        texts[i] = triples(range(30), k % 2)
+    assert not fold(0) and len(held) >= 4
+    got = pitman_yor.score_documents(documents(spark, texts)).toPandas().set_index("doc_id")
+    assert got.held_out[held].all() and got.base_score[held[0]] == pytest.approx(got.base_score[held[1]])
+    assert got.score[held[0]] > got.score[held[1]] + 20
+    # Contexts travel with the tokens, of common and of other words.
+    docs = documents(spark, ["the u v w", "the u v", "u v"]).selectExpr("doc_id", "text", "false AS held_out")
+    pitman_yor.encode(docs, ["the", "v", pitman_yor.END], str(tmp_path / "tokens"))
+    found = Counter()
+    for r in pitman_yor.follower_counts(pitman_yor.coded_tokens(spark, str(tmp_path / "tokens"))).filter("word IS NOT NULL").collect():
+        for f in np.frombuffer(r["followers"], pitman_yor.FOLLOWERS):
+            found[r["word"], int(f["c"]), int(f["n"]), int(f["t"]), int(f["context"])] += 1
+    assert found == {("v", 3, 3, 1, 1): 2, ("v", 3, 3, 1, 0): 1, (pitman_yor.END, 1, 1, 1, 2): 1}
+
+
 def test_gains_of_a_context_keep_the_sum_of_one():
     rng = np.random.default_rng(16)
     parent, c = rng.dirichlet(np.ones(30)), rng.integers(0, 4, 30)
